@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import query_text
+from ..session import checkpointed
 from .lookups import with_citations
 from .search import Names, rank_hits, top_k
 from .sizes import join_checked
@@ -24,13 +25,14 @@ def _finish(hits: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def hit_rows(hits: DataFrame, flat: DataFrame) -> DataFrame:
-    """Hits with the fields a reader needs; hits are the small side where they fit."""
+    """Hits with the fields a reader needs.
+
+    The hits are written to the shared folder first: measuring them is then free of
+    the search, and where they fit they are broadcast, so the chunk texts stay put.
+    """
     fields = with_citations(flat).select("chunk_id", "text", F.col("page_start").alias("page"), "page_start", "page_end",
                                          "section", "urgency", "cancer_types", "citation")
-    if "chunk_id" in hits.columns and hits.count() <= 200_000:
-        wanted = F.broadcast(hits)
-        return fields.join(wanted, "chunk_id")
-    return hits.join(fields, "chunk_id")
+    return join_checked(fields, checkpointed(hits), "chunk_id")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed.DEFAULT_TOP_K, expand: bool = True,
