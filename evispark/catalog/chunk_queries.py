@@ -39,8 +39,8 @@ grp AS (SELECT doc_id, ord, page, sec, ps, 1 AS i, '' AS open_, CAST([] AS VARCH
         OR regexp_matches(ps[i], {quoted('(?mi)' + fixed.PARAGRAPH_RECOMMENDATION)}) AS opens FROM grp WHERE i <= len(ps)))),
 whole AS (SELECT doc_id, ord, page, sec, CASE WHEN open_ <> '' THEN list_append(groups, open_) ELSE groups END AS groups
   FROM grp WHERE i = len(ps) + 1),
-entries AS (SELECT doc_id, ord, 0 AS j, page, sec, NULL AS text FROM whole
-  UNION ALL SELECT doc_id, ord, j, page, NULL, text FROM (SELECT doc_id, ord, page, unnest(groups) AS text, generate_subscripts(groups, 1) AS j FROM whole)),
+entries AS (SELECT doc_id, ord, 0 AS j, page, sec, CAST(NULL AS VARCHAR) AS text FROM whole
+  UNION ALL SELECT doc_id, ord, j, page, CAST(NULL AS VARCHAR), text FROM (SELECT doc_id, ord, page, unnest(groups) AS text, generate_subscripts(groups, 1) AS j FROM whole)),
 elems AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, j) AS n FROM entries),
 pack AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, '' AS cur, CAST([] AS INTEGER[]) AS pages, CAST(NULL AS VARCHAR) AS sec,
     CAST(NULL AS VARCHAR) AS e_text, CAST([] AS INTEGER[]) AS e_pages, CAST(NULL AS VARCHAR) AS e_sec FROM elems
@@ -76,14 +76,14 @@ def _shown(chunks):
 @query("chunk_pack", f"WITH RECURSIVE {PAGES_SQL}, {USED_PAGES}, "
        + pack_sql("used", "page_ordinal", "page_number", "sections[1]", "markdown") + f" SELECT {OUT} FROM packed")
 def chunk_pack(spark, sf):
-    """Pages of every document packed into linked, overlapping chunks."""
-    return _shown(K.chunk_pages(guideline_pages(spark, sf), size=SIZE, order="page_ordinal"))
+    """Pages of every document packed into linked, overlapping chunks, inside the document's row."""
+    return _shown(K.chunk_documents(guideline(spark, sf), "markdown", size=SIZE))
 
 
 @query("chunk_pack_in_parts", f"WITH RECURSIVE {PAGES_SQL}, {USED_PAGES}, "
        + pack_sql("used", "page_ordinal", "page_number", "sections[1]", "markdown") + f" SELECT {OUT} FROM packed")
 def chunk_pack_in_parts(spark, sf):
-    """The same with documents cut into parts of eight pages, as very long documents are."""
+    """The same from page rows, with documents cut into parts of eight pages, as very long ones are."""
     return _shown(K.chunk_pages(guideline_pages(spark, sf), size=SIZE, order="page_ordinal", pages_per_part=8))
 
 
@@ -123,11 +123,7 @@ def chunk_overlap_check(spark, sf):
 @query("chain_check", f"""WITH RECURSIVE {TEXT_CHUNKS} SELECT count(*) AS chunks, count(*) FILTER (prev_chunk_id <> '') AS with_prev,
   count(*) FILTER (next_chunk_id <> '') AS with_next, CAST(0 AS BIGINT) AS breaks FROM packed""")
 def chain_check(spark, sf):
-    chunks = text_chunks(spark, sf)
-    totals = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count("prev_chunk_id").alias("with_prev"),
-                        F.count("next_chunk_id").alias("with_next"))
-    breaks = K.chain_breaks(chunks).agg(F.count(F.lit(1)).alias("breaks"))
-    return totals.join(breaks, F.lit(True))   # two one-row totals
+    return K.chain_report(text_chunks(spark, sf))
 
 
 @query("chunk_value_shares", f"""WITH {FLAT_SQL}, u AS (SELECT 'content_type' AS field, content_type AS value FROM flat

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_array
+from ..operators.sizes import spread
 
 PHRASES = [
     "Refer urgently people aged 40 and over with haemoptysis and weight loss for lung cancer",
@@ -64,9 +65,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table with long texts, whose per-row work is worth spreading."""
+    return spread(table(spark, sf, name))
+
+
 def guideline(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown with page markers, numbered headers, phrases and table rows."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     d = F.col("doc_id")
 
     def line(x: Column, i: Column) -> Column:
@@ -95,7 +101,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     text = F.concat(nth(PHRASES, d), F.lit("\n"), F.col("text"), F.lit("\n"), nth(PHRASES, F.floor(d / 7)), F.lit(". "),
                     nth(PHRASES, F.floor(d / 3) + 5))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", "source", F.concat(F.lit("c"), d.cast("string")).alias("chunk_id"), text.alias("text"),
         (d % 40 + 1).cast("int").alias("page_start"), (d % 40 + 1 + d % 3).cast("int").alias("page_end"),
         F.when(d % 5 == 0, F.lit("")).when(d % 5 == 1, F.lit("Appendix notes")).otherwise(
@@ -153,7 +159,7 @@ def dialogue(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with clinical sayings in their turns."""
     k = F.col("conv_id") * 5 + F.col("turn") * 3
     saying = nth(SAYINGS, k)
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         "conv_id", "turn", "role",
         F.when(k % 4 == 0, F.concat(saying, F.lit(" "), F.col("text"))).otherwise(saying).alias("text"))
 
@@ -174,7 +180,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
            .when((c + t) % 7 == 0, F.concat(F.lit("no structure here "), F.col("text")))
            .otherwise(F.concat(body, F.lit("Action 2: "), tool, F.lit("\nAction Input: {\"query\": \"q"), c.cast("string"),
                                F.lit("\", \"k\": "), t.cast("string"), F.lit("}\n"))))
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         c.alias("run_id"), (t + 1).cast("int").alias("step"), raw.alias("raw_text"), F.col("text").alias("observation"))
 
 

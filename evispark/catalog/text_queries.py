@@ -11,7 +11,7 @@ from ..functions import tagging as T
 from ..functions import vectors as V
 from ..operators import chunking, pages as P
 from . import query
-from .derived import GUIDELINE_SQL, NOTES_SQL, guideline, notes, nth, quoted, sql_list, sql_nth, table
+from .derived import GUIDELINE_SQL, NOTES_SQL, guideline, notes, nth, quoted, sql_list, sql_nth, table, texts
 
 NL = "chr(10)"
 
@@ -228,7 +228,7 @@ PLAIN_SQL = f"""plain AS (SELECT doc_id, CAST(doc_id % 60 + 1 AS INTEGER) AS pag
 def plain(spark, sf):
     d = F.col("doc_id")
     text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(nth(EXTRACT_LINES, d + i), F.lit("\n"), x)), "\n")
-    return table(spark, sf, "documents").select("doc_id", (d % 60 + 1).cast("int").alias("page_number"), text.alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", (d % 60 + 1).cast("int").alias("page_number"), text.alias("text"))
 
 
 MD_LINE = (f"CASE WHEN s = '' THEN '' WHEN regexp_matches(s, {quoted(fixed.LINE_SECTION)}) THEN repeat('#', CAST(least(4, "

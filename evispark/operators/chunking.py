@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import chunks as C
+from ..functions import structure as S
 from ..functions import tagging
 from ..session import checkpointed
-from .sizes import join_checked
+from .sizes import BROADCAST_ROWS
 
 PAGES_PER_PART = 64
 
@@ -81,6 +82,28 @@ def _page_paragraphs(size: ChunkSize, separator: str) -> Column:
     return F.flatten(F.transform("_pages", one))
 
 
+def chunk_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", size: ChunkSize = ChunkSize(),
+                    separator: str = r"\n\n+", total_pages: int = 50, key_by_doc: bool = True) -> DataFrame:
+    """Chunk one document per row, by its pages.
+
+    All pages of a document are in its row, so pages, paragraphs and packing stay in
+    that row: no shuffle.  Use ``chunk_pages`` for documents that come as page rows.
+    """
+    def page(p: Column, i: Column) -> Column:
+        kind = S.page_type(p["markdown"], p["page_number"], total_pages)
+        return F.struct(i.alias("o"), p["page_number"].alias("page_number"), p["markdown"].alias("markdown"),
+                        F.get(S.sections(p["markdown"]), F.lit(0)).alias("sec"), (kind == "content").alias("content"))
+
+    split = docs.select(doc, S.split_pages(F.col(text)).alias("_split"))
+    typed = split.select(doc, F.transform("_split", page).alias("_all"))
+    kept = typed.select(doc, F.when(F.exists("_all", lambda p: p["content"]), F.filter("_all", lambda p: p["content"])
+                                    ).otherwise(F.col("_all")).alias("_pages"))
+    packed = (kept.select(doc, _page_paragraphs(size, separator).alias("_paras"))
+              .withColumn("_packed", C.pack(F.col("_paras"), size.max_chars, size.overlap_chars))
+              .select(doc, C.close(F.col("_packed"), size.min_chars, size.keep_short).alias("_chunks")))
+    return _rows(packed, doc, F.col(doc) if key_by_doc else None)
+
+
 def chunk_pages(pages: DataFrame, doc: str = "doc_id", size: ChunkSize = ChunkSize(),
                 order: str = "page_number", separator: str = r"\n\n+",
                 pages_per_part: int = PAGES_PER_PART, key_by_doc: bool = True) -> DataFrame:
@@ -99,7 +122,12 @@ def chunk_pages(pages: DataFrame, doc: str = "doc_id", size: ChunkSize = ChunkSi
                  F.get("sections", F.lit(0)).alias("sec"), is_content.alias("content")).alias("_page"))
              .groupBy(doc, "_part").agg(F.array_sort(F.collect_list("_page")).alias("_pages"),
                                         F.max(F.col("_page.content")).alias("_part_any")))
-    parts = join_checked(parts, info, doc, "left")
+    # Documents of more than one part are rare; one narrow pass tells whether there are any.
+    n_long = info.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count()
+    if n_long:
+        parts = parts.join(F.broadcast(info) if n_long <= BROADCAST_ROWS else info, doc, "left")
+    else:
+        parts = parts.withColumn("_any", F.lit(None).cast("boolean"))
     use = F.coalesce(F.col("_any"), F.col("_part_any"))
     kept = parts.withColumn("_pages", F.when(use, F.filter("_pages", lambda p: p["content"])).otherwise(F.col("_pages")))
     ready = kept.select(doc, "_part", F.col("_any").isNotNull().alias("_long"),
@@ -109,7 +137,7 @@ def chunk_pages(pages: DataFrame, doc: str = "doc_id", size: ChunkSize = ChunkSi
              .withColumn("_packed", C.pack(F.col("_paras"), size.max_chars, size.overlap_chars))
              .select(doc, C.close(F.col("_packed"), size.min_chars, size.keep_short).alias("_chunks")))
     out = _rows(short, doc, key)
-    if info.limit(1).count() == 0:
+    if not n_long:
         return out
     return out.unionByName(_relay(ready.where("_long").drop("_long"), doc, size, key))
 
@@ -216,13 +244,23 @@ def top_terms(df: DataFrame, column: str, k: int = 10) -> DataFrame:
             .orderBy(F.desc("n"), "term").limit(k))
 
 
+def _with_actual_prev(chunks: DataFrame, doc: str) -> DataFrame:
+    prev = chunks.select(doc, (F.col("chunk_index") + 1).alias("chunk_index"), F.col("chunk_id").alias("actual_prev"))
+    rows = chunks.select(doc, "chunk_index", "chunk_id", "prev_chunk_id", "next_chunk_id").join(
+        prev, [doc, "chunk_index"], "left")
+    return rows.withColumn("broken", ~F.col("prev_chunk_id").eqNullSafe(F.col("actual_prev")))
+
+
 def chain_breaks(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Chunks whose previous id is not the id at the previous index (equi-join, no window)."""
-    prev = chunks.select(doc, (F.col("chunk_index") + 1).alias("chunk_index"),
-                         F.col("chunk_id").alias("actual_prev"))
-    return (chunks.select(doc, "chunk_index", "chunk_id", "prev_chunk_id")
-            .join(prev, [doc, "chunk_index"], "left")
-            .where(~F.col("prev_chunk_id").eqNullSafe(F.col("actual_prev"))))
+    return _with_actual_prev(chunks, doc).where("broken").drop("broken", "next_chunk_id")
+
+
+def chain_report(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """One row: chunks, chunks with links, broken links."""
+    return _with_actual_prev(chunks, doc).agg(
+        F.count(F.lit(1)).alias("chunks"), F.count("prev_chunk_id").alias("with_prev"),
+        F.count("next_chunk_id").alias("with_next"), F.sum(F.col("broken").cast("int")).alias("breaks"))
 
 
 def overlap_check(chunks: DataFrame, doc: str = "doc_id", window: int = 400, shared: int = 5) -> DataFrame:

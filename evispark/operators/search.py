@@ -56,13 +56,13 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _score(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, min_score: float | None,
-           mask: np.ndarray | None = None) -> pd.DataFrame:
+           mask: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
     """The k best chunks of one block for each query row (ties at the edge resolved by id)."""
     found = []
     for lo in range(0, len(q), QUERY_SLICE):
         s = np.round(q[lo:lo + QUERY_SLICE] @ c.T, DIGITS) + 0.0
         if mask is not None:
-            s = np.where(mask[lo:lo + QUERY_SLICE], s, -np.inf)
+            s = np.where(mask[0][mask[1][lo:lo + QUERY_SLICE]], s, -np.inf)
         floor = -1.5 if min_score is None else min_score
         if s.shape[1] > k:
             edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -74,21 +74,26 @@ def _score(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, min_score: flo
     return _best(pd.concat(found), k) if found else pd.DataFrame({"q": [], "row": [], "id": [], "score": []})
 
 
-def _route_mask(routes: pd.DataFrame | None, batch: pd.DataFrame) -> np.ndarray | None:
-    """Which chunks of the batch each query may see: urgent only, else by cancer, else all."""
+def _route_mask(routes: pd.DataFrame | None, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which chunks of the batch a query may see: urgent only, else by cancer, else all.
+
+    One mask per distinct route, and the route number of every query.
+    """
     if routes is None:
         return None
     urgent = batch["is_urgent"].fillna(False).to_numpy(dtype=bool)
     cancers = batch["cancer_types"].fillna("").str.lower()
+    masks: list[np.ndarray] = []
     seen: dict = {}
-    rows = []
-    for only_urgent, cancer in zip(routes["urgent_only"], routes["cancer"]):
-        key = True if only_urgent else (cancer or None)
+    numbers = np.empty(len(routes), dtype=np.int64)
+    for i, (only_urgent, cancer) in enumerate(zip(routes["urgent_only"], routes["cancer"])):
+        key = True if only_urgent else (None if cancer is None or cancer != cancer or cancer == "" else cancer.lower())
         if key not in seen:
-            seen[key] = (urgent if key is True else np.ones(len(batch), dtype=bool) if key is None
-                         else cancers.str.contains(str(key).lower(), regex=False).to_numpy())
-        rows.append(seen[key])
-    return np.stack(rows)
+            seen[key] = len(masks)
+            masks.append(urgent if key is True else np.ones(len(batch), dtype=bool) if key is None
+                         else cancers.str.contains(key, regex=False).to_numpy(dtype=bool))
+        numbers[i] = seen[key]
+    return np.stack(masks), numbers
 
 
 def rank_hits(candidates: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:

@@ -18,3 +18,13 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",
     """Join with the right side broadcast if it is small, a shuffle join (AQE splits
     skewed keys) otherwise."""
     return left.join(F.broadcast(right) if fits(right, max_rows) else right, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; leave an input with enough of them alone.
+
+    A table of one small file is one task, however heavy the work on its rows.  With
+    more splits than cores the extra shuffle would only cost, so there is none.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() <= cores else df

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.vectors import embedding_prefix, embedding_text
-from ..operators import chunking, embedding, pages as P
+from ..operators import chunking, embedding
 
 
 def chunk_documents(docs: DataFrame, text: str = "text", size: chunking.ChunkSize = chunking.ChunkSize(),
                     lexicons: dict | None = None, source: str = fixed.GUIDELINE, run_ts: str | None = None,
                     separator: str = r"\n\n+") -> DataFrame:
-    """Pages, chunks, tags: flat rows.  One shuffle (pages of a document part)."""
-    pages = P.to_pages(docs, text)
-    chunks = chunking.chunk_pages(pages, size=size, order="page_ordinal", separator=separator)
+    """Pages, chunks, tags: flat rows, all inside the document's row (no shuffle)."""
+    chunks = chunking.chunk_documents(docs, text, size=size, separator=separator)
     return chunking.flatten_tags(chunking.enrich(chunks, lexicons, size.chars_per_token, run_ts, source))
 
 
