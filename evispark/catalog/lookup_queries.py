@@ -11,7 +11,7 @@ from ..operators import retrieval
 from ..sources import chunk_files, page_files
 from ..sources import patients as patient_files
 from . import query
-from .derived import CANCERS, PATIENTS_SQL, notes, patients, quoted, table, texts
+from .derived import PATIENTS_SQL, notes, patients, quoted, table, texts
 from .search_queries import CHUNK_VECTORS_SQL, RETRIEVE_CTE, SCORE, embed, ranked_sql, retrieved, search_chunks, sql_expand, sql_vector
 from .text_queries import FLAT_SQL, PAGES_SQL, flat_notes, guideline_pages
 
@@ -31,12 +31,12 @@ def page_lookup(spark, sf):
     return L.on_pages(flat_notes(spark, sf), wanted_pages(spark, sf)).select("page", "chunk_id", "score")
 
 
-@query("section_lookup", f"""WITH {FLAT_SQL} SELECT chunk_id, section_hierarchy, starts_with(section_hierarchy, '2|2.1') AS by_prefix,
-  contains('|' || section_hierarchy || '|', '|2.1|') AS by_element FROM flat WHERE starts_with(section_hierarchy, '2|2.1')""")
+@query("section_lookup", f"""WITH {FLAT_SQL} SELECT chunk_id, section_hierarchy, starts_with(section_hierarchy, '2|2.2') AS by_prefix,
+  contains('|' || section_hierarchy || '|', '|2.2|') AS by_element FROM flat WHERE starts_with(section_hierarchy, '2|2.2')""")
 def section_lookup(spark, sf):
     flat = flat_notes(spark, sf)
-    exact = L.in_section(flat, "2.1").select("chunk_id", F.lit(True).alias("e"))
-    return (L.in_section(flat, "2|2.1", exact=False).join(exact, "chunk_id", "left")
+    exact = L.in_section(flat, "2.2").select("chunk_id", F.lit(True).alias("e"))
+    return (L.in_section(flat, "2|2.2", exact=False).join(exact, "chunk_id", "left")
             .select("chunk_id", "section_hierarchy", F.lit(True).alias("by_prefix"), F.coalesce("e", F.lit(False)).alias("by_element")))
 
 
@@ -222,6 +222,3 @@ def file_audit(spark, sf):
     """Size, type mark and checksum of every table file."""
     out = page_files.audit_files(spark, sf, magic=b"PAR1", glob="*.parquet")
     return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "size_ok", "magic_ok", "sha256", "valid")
-
-
-assert len(CANCERS) == 5   # shared with the SQL of the patients view

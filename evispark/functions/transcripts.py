@@ -10,8 +10,14 @@ from .text import cut, label_lookup, pattern, strip
 
 
 def valid_json(text: Column) -> Column:
-    """The text if it is JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    """The text if it is one whole JSON value, else null.
+
+    Spark's parser stops after the first value, so text behind it would go unseen.  It
+    cannot do so inside both an array and an object: the text has to parse in each.
+    """
+    in_array, in_object = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+    return F.when(F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+                  & (F.json_array_length(in_array) == 1), text)
 
 
 def _matched(text: Column, regex: str, group: int, flags: str) -> Column:
