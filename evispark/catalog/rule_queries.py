@@ -9,7 +9,7 @@ from ..functions import patients as R
 from ..functions import query_text as Q
 from ..operators import triage, validation
 from . import query
-from .derived import PATIENTS_SQL, patients, quoted, table
+from .derived import PATIENTS_SQL, patients, quoted, table, texts
 from .search_queries import sql_patient_query
 
 RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(
@@ -118,26 +118,25 @@ def symptoms_only(spark, sf):
 
 
 def requests(spark, sf):
-    """Order lines as requests with good and bad values."""
-    n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
-    return table(spark, sf, "lineitem").select(
+    """Documents as requests with good and bad values."""
+    n = F.col("doc_id")
+    return texts(spark, sf, "documents").select(
         n.alias("request_id"), (n % 140 - 10).cast("int").alias("age"),
         F.when(n % 4 == 0, "Male").when(n % 4 == 1, "F").when(n % 4 == 2, "robot").alias("sex"),
         F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("cough"))).alias("symptoms"),
-        F.repeat(F.lit("ab "), (n % 2000).cast("int")).alias("query"), F.repeat(F.lit("ab "), (n % 2000).cast("int")).alias("message"),
-        F.repeat(F.lit("x"), (n % 13).cast("int")).alias("text"), (n % 25).cast("int").alias("top_k"), (n % 7).cast("int").alias("rating"),
-        (n % 13 / 10.0).alias("confidence"))
+        F.col("text").alias("query"), F.col("text").alias("message"), "text", (n % 25).cast("int").alias("top_k"),
+        (n % 7).cast("int").alias("rating"), (n % 13 / 10.0).alias("confidence"))
 
 
 REQUESTS_SQL = """requests AS (SELECT n AS request_id, n % 140 - 10 AS age, CASE n % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'F' WHEN 2 THEN 'robot' END AS sex,
-  n % 5 = 0 AS no_symptoms, 3 * (n % 2000) AS query_len, n % 13 AS text_len, n % 25 AS top_k, n % 7 AS rating, n % 13 / 10.0 AS confidence
-  FROM (SELECT l_orderkey * 7 + l_linenumber AS n FROM lineitem))"""
+  n % 5 = 0 AS no_symptoms, text_len AS query_len, text_len, n % 25 AS top_k, n % 7 AS rating, n % 13 / 10.0 AS confidence
+  FROM (SELECT doc_id AS n, length(text) AS text_len FROM documents))"""
 
 
 @query("validate_rows", f"""WITH {REQUESTS_SQL} SELECT request_id, concat_ws(';', CASE WHEN age < 0 OR age > 120 THEN 'age_range' END,
   CASE WHEN lower(sex) NOT IN ('male','female','other','m','f') THEN 'sex_known' END, CASE WHEN no_symptoms THEN 'symptoms_required' END,
   CASE WHEN query_len < 1 OR query_len > 5000 THEN 'message_length' END, CASE WHEN query_len < 1 OR query_len > 1000 THEN 'query_length' END,
-  CASE WHEN top_k < 1 OR top_k > 20 THEN 'top_k_range' END, CASE WHEN text_len < 10 THEN 'text_length' END,
+  CASE WHEN top_k < 1 OR top_k > 20 THEN 'top_k_range' END, CASE WHEN text_len < 10 OR text_len > 10000 THEN 'text_length' END,
   CASE WHEN rating < 1 OR rating > 5 THEN 'rating_range' END, CASE WHEN confidence > 1 THEN 'confidence_range' END) AS violations FROM requests""")
 def validate_rows(spark, sf):
     rules = {"age_range": validation.RULES["patient"]["age_range"], "sex_known": validation.RULES["patient"]["sex_known"],

@@ -87,7 +87,7 @@ def lexicon_tags(spark, sf):
     low = notes(spark, sf).select("doc_id", F.lower("text").alias("low"))
     lists = {"cancer_types": fixed.CANCER_TYPES, "symptoms": fixed.SYMPTOMS, "risk_factors": fixed.RISK_FACTORS,
              "investigations": fixed.INVESTIGATIONS}
-    return low.select("doc_id", *[F.array_join(T.lexicon_tags(F.col("low"), v), ",").alias(k) for k, v in lists.items()])
+    return low.select("doc_id", *[F.array_join(T.lexicon_tags("low", v), ",").alias(k) for k, v in lists.items()])
 
 
 @query("age_timeframe_tags", f"""WITH {NOTES_SQL} SELECT doc_id, array_to_string({sql_distinct(AGES)}, ',') AS ages,
@@ -112,7 +112,7 @@ SELECT doc_id, {sql_content_type('text', 'low')} AS content_type, CAST(greatest(
 FROM l""")
 def content_class(spark, sf):
     low = notes(spark, sf).withColumn("low", F.lower("text"))
-    t, lo = F.col("text"), F.col("low")
+    t, lo = F.col("text"), "low"
     return low.select("doc_id", T.content_type(t, lo).alias("content_type"), T.token_estimate(t).alias("tokens"),
                       T.token_floor(t).alias("tokens_floor"), F.round(T.density(t, lo), 6).alias("density"))
 

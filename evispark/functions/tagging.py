@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import contains_any, matches_any, pattern
+from .text import contains_any, contains_any_in, matches_any, pattern, sql_text
 
 
 def normalise_term(term: str) -> str:
@@ -36,20 +36,24 @@ def guarded_match(col: Column, regexes: Sequence[str], flags: str = "") -> Colum
     return contains_any(col, sorted(set(needed))) & matches_any(col, regexes, flags)
 
 
-def lexicon_tags(low: Column, terms: Sequence[str], word_boundary: bool = False) -> Column:
-    """Normalised terms found in lower-cased text, in lexicon order, distinct."""
+def lexicon_tags(low: str, terms: Sequence[str], word_boundary: bool = False) -> Column:
+    """Normalised terms found in a lower-cased text column, in lexicon order, distinct.
+
+    ``low`` is a column name: the whole list is one parsed expression, not a call per term.
+    """
     shared = Counter(w for t in terms for w in t.split())
 
-    def found(term: str) -> Column:
+    def found(term: str) -> str:
+        hit = f"contains(`{low}`, {sql_text(term)})"
         if word_boundary:
-            return F.contains(low, F.lit(term)) & low.rlike(pattern(r"(?<!\w)\Q" + term + r"\E(?!\w)"))
+            regex = pattern(r"(?<!\w)\Q" + term + r"\E(?!\w)")
+            return f"{hit} and rlike(`{low}`, {sql_text(regex)})"
         # A word several terms share ("cancer", "pain") is looked up once and rules them all out.
         word = max(term.split(), key=lambda w: shared[w])
-        hit = F.contains(low, F.lit(term))
-        return F.contains(low, F.lit(word)) & hit if word != term and shared[word] > 2 else hit
+        return f"contains(`{low}`, {sql_text(word)}) and {hit}" if word != term and shared[word] > 2 else hit
 
-    hits = [F.when(found(t), F.lit(normalise_term(t))) for t in terms]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    cases = ", ".join(f"case when {found(t)} then {sql_text(normalise_term(t))} end" for t in terms)
+    return F.expr(f"array_distinct(array_compact(array({cases})))")
 
 
 def age_thresholds(text: Column) -> Column:
@@ -94,22 +98,22 @@ def actions(text: Column, patterns: dict[str, str] | None = None) -> Column:
         F.when(guarded_match(text, [p]), F.lit(name)) for name, p in patterns.items()]))
 
 
-def content_type(text: Column, low: Column) -> Column:
+def content_type(text: Column, low: str) -> Column:
     return (
-        F.when(contains_any(low, fixed.RECOMMENDATION_HINTS)
+        F.when(contains_any_in(low, fixed.RECOMMENDATION_HINTS)
                & text.rlike(pattern(fixed.PARAGRAPH_RECOMMENDATION, "mi")), "recommendation")
         .when(F.contains(text, F.lit("|")) & text.rlike(pattern(fixed.CHUNK_TABLE_ROW, "m")), "table")
-        .when(contains_any(low, fixed.CRITERIA_PHRASES), "criteria")
-        .when(contains_any(low, fixed.BACKGROUND_PHRASES), "background")
-        .when(contains_any(low, fixed.DEFINITION_PHRASES), "definition")
+        .when(contains_any_in(low, fixed.CRITERIA_PHRASES), "criteria")
+        .when(contains_any_in(low, fixed.BACKGROUND_PHRASES), "background")
+        .when(contains_any_in(low, fixed.DEFINITION_PHRASES), "definition")
         .otherwise("content"))
 
 
-def density(text: Column, low: Column, terms: Sequence[str] | None = None) -> Column:
+def density(text: Column, low: str, terms: Sequence[str] | None = None) -> Column:
     """Distinct lexicon terms per 100 characters, at most 1."""
     terms = terms or [*fixed.CANCER_TYPES, *fixed.SYMPTOMS, *fixed.INVESTIGATIONS]
-    count = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
     # Unconditional, so the term tests are shared with the tag columns of the same projection.
+    count = F.expr(" + ".join(f"cast(contains(`{low}`, {sql_text(t)}) as int)" for t in terms))
     return F.least(F.lit(1.0), count / (F.greatest(F.length(text), F.lit(1)) / F.lit(100.0)))
 
 
@@ -129,14 +133,14 @@ def tag_fields(text: str = "text", lexicons: dict[str, Sequence[str]] | None = N
            **(lexicons or {})}
     t, lo = F.col(text), F.col(low)
     return {
-        "cancer_types": lexicon_tags(lo, lex["cancer_types"]),
-        "symptoms": lexicon_tags(lo, lex["symptoms"]),
+        "cancer_types": lexicon_tags(low, lex["cancer_types"]),
+        "symptoms": lexicon_tags(low, lex["symptoms"]),
         "age_thresholds": age_thresholds(t),
         "timeframes": timeframes(t),
         "urgency": urgency(lo, strict=strict),
         "actions": actions(t),
-        "risk_factors": lexicon_tags(lo, lex["risk_factors"]),
-        "investigations": lexicon_tags(lo, lex["investigations"]),
+        "risk_factors": lexicon_tags(low, lex["risk_factors"]),
+        "investigations": lexicon_tags(low, lex["investigations"]),
     }
 
 

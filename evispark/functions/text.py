@@ -33,6 +33,11 @@ def contains_any(col: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(col, F.lit(t)) for t in terms))
 
 
+def contains_any_in(name: str, terms: Iterable[str]) -> Column:
+    """The same for a column given by name, as one parsed expression."""
+    return F.expr("(" + " or ".join(f"contains(`{name}`, {sql_text(t)})" for t in terms) + ")")
+
+
 def matches_any(col: Column, regexes: Iterable[str], flags: str = "") -> Column:
     return col.rlike(pattern("|".join(f"(?:{r})" for r in regexes), flags))
 
@@ -58,8 +63,14 @@ def label_lookup(col: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[col], col)
 
 
+def sql_text(value: str) -> str:
+    """A string as a literal of a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """One parsed expression: long lists would cost a call per entry otherwise."""
+    return F.expr("cast(array(" + ", ".join(map(sql_text, values)) + ") as array<string>)")
 
 
 def cut(col: Column, limit: int, tail: str = "...") -> Column:

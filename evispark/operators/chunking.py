@@ -194,7 +194,7 @@ def enrich(chunks: DataFrame, lexicons: dict | None = None, chars_per_token: flo
     lex = lexicons or {}
     density_terms = [*lex.get("cancer_types", fixed.CANCER_TYPES), *lex.get("symptoms", fixed.SYMPTOMS),
                      *lex.get("investigations", fixed.INVESTIGATIONS)]
-    text, low = F.col("text"), F.col("text_lower")
+    text, low = F.col("text"), "text_lower"
     out = chunks.withColumn("text_lower", F.lower("text")).withColumns({
         "section_hierarchy": C.section_hierarchy(F.col("section")),
         "content_type": tagging.content_type(text, low),

@@ -120,9 +120,10 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | Non
     q = queries.select(*columns).where(F.col("vec").isNotNull())
     head = q.select(F.size("vec").alias("d")).first()
     dim = max(1, head["d"]) if head else 1
-    if not fits(q, max_query_values // dim):
+    # The count needs the ids only and stops at the limit.
+    if not fits(queries.select(names.query_id), max_query_values // dim):
         return top_k_grid(queries, chunks, k, None, min_score, names, routed, carry)
-    side = q.toPandas()   # bounded by the check above
+    side = q.toArrow().to_pandas()   # bounded by the check above
     matrix, ids = _unit(side["vec"]), side["query_id"].to_numpy()
     routes = side[["urgent_only", "cancer"]] if routed else None
     shared = queries.sparkSession.sparkContext.broadcast((matrix, ids, routes))
@@ -230,7 +231,7 @@ def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column
     q, c = _sides(queries, chunks, names, routed, carry)
     context = queries.sparkSession.sparkContext
     # A fixed number of rows, picked by hash: bounded whatever the corpus size.
-    sample = c.orderBy(F.xxhash64("id"), "id").limit(seeds).toPandas()
+    sample = c.orderBy(F.xxhash64("id"), "id").limit(seeds).toArrow().to_pandas()
     if len(sample) == 0:
         return q.select("query_id", F.lit(None).cast("int").alias("rank"),
                         F.lit(None).cast(c.schema["id"].dataType).alias("chunk_id"),
