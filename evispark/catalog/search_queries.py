@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..functions.predicates import clinical_filter, compile_filter
 from ..operators import embedding, retrieval
 from ..operators import search as S
+from ..operators.sizes import spread
 from . import query
 from .derived import PATIENTS_SQL, nth, patients, sql_nth, table, texts
 from .text_queries import FLAT_SQL, flat_notes
@@ -198,7 +199,7 @@ PATIENT_QUERY_CTE = (f"{CHUNK_VECTORS_SQL}, {PATIENTS_SQL}, q AS (SELECT patient
 
 
 def patient_requests(spark, sf):
-    return patients(spark, sf).select(F.col("patient_id").alias("query_id"), F.col("presenting_complaint").alias("query"), "age",
+    return spread(patients(spark, sf)).select(F.col("patient_id").alias("query_id"), F.col("presenting_complaint").alias("query"), "age",
                                       "symptoms", "cancer", (F.col("patient_id") % 5 == 0).alias("urgent_only"))
 
 

@@ -69,15 +69,13 @@ def read_chunks_markdown(spark: SparkSession, path: str, prefix: str = fixed.GUI
     """Chunk metadata from exported Markdown.
 
     The block header is the record separator, so files of any size split over tasks.
+    Records that do not open with a chunk id (preamble, headings inside a chunk's text)
+    hold no metadata lines and are dropped.
     """
-    raw = spark.read.option("lineSep", "\n## " + prefix).text(path)
-    first = F.concat(F.lit("## " + prefix), F.regexp_replace("value", "^(?:---\\n+)?## " + prefix, ""))
-    block = F.when(F.col("value").startswith("---\n") | F.col("value").startswith("## "), first).otherwise(
-        F.concat(F.lit("## " + prefix), F.col("value")))
-    rows = raw.withColumn("block", block)
-    chunk_id = F.regexp_extract("block", r"(?Ud)^## (" + prefix + r"\S+)", 1)
-    return rows.select(chunk_id.alias("chunk_id"), *[c.alias(n) for n, c in markdown_fields(F.col("block")).items()]
-                       ).where(F.col("chunk_id") != "")
+    raw = spark.read.option("lineSep", "\n## ").text(path)
+    chunk_id = F.regexp_extract("value", r"(?Ud)^(?:## )?(" + prefix + r"\S+)", 1)
+    return raw.select(chunk_id.alias("chunk_id"), *[c.alias(n) for n, c in markdown_fields(F.col("value")).items()]
+                      ).where(F.col("chunk_id") != "")
 
 
 def evaluation_fields(flat: DataFrame) -> DataFrame:

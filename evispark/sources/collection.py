@@ -9,24 +9,34 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# Error classes of Spark for a folder that is not there or holds no file yet ...
+MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+# ... and for files that are there but are no readable Parquet.
+DAMAGED = ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "FAILED_READ_FILE")
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``; None if it is missing or cannot be read."""
+    """The table at ``path``, None if there is none.  Any other failure is an error:
+    a table that cannot be read right now must not be taken for an empty one."""
     try:
-        df = spark.read.parquet(path)
-        df.limit(1).count()
-        return df
-    except Exception as problem:   # a missing or damaged table is built anew
-        if isinstance(problem, AnalysisException) or "java" in type(problem).__module__ or "captured" in type(problem).__module__:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if any(m in str(problem) for m in MISSING):
             return None
         raise
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """Reuse a stage's table, or build and write it."""
+    """Reuse a stage's table; build and write it if it is missing, damaged, or on ``force``."""
     if not force:
-        found = read_if_present(spark, path)
-        if found is not None:
-            return found
+        try:
+            found = read_if_present(spark, path)
+            if found is not None:
+                found.limit(1).count()
+                return found
+        except Exception as problem:
+            if not any(m in str(problem) for m in DAMAGED):
+                raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -80,11 +90,14 @@ class Collection:
         return self.append(chunks)
 
     def clear(self) -> None:
-        """Drop all rows, keep the table."""
+        """Drop all rows, keep the table: one empty batch holds its schema."""
         raw = self._raw()
-        if raw is not None:
-            self.spark.createDataFrame([], raw.schema).write.mode("overwrite").option(
-                "partitionOverwriteMode", "static").parquet(self.path)
+        if raw is None:
+            return
+        empty = self.spark.createDataFrame([], raw.drop("batch").schema)
+        empty.withColumn("batch", F.lit(-1)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").partitionBy("batch").parquet(self.path)
+        empty.write.mode("overwrite").parquet(self.path + "/batch=-1")
 
     def reset(self) -> None:
         """Drop the table."""
