@@ -223,7 +223,7 @@ def session_windows_stream(spark, sf):
     """Sessions of the conversations, read and aggregated as a stream."""
     source = table(spark, sf, "conversations")
     stream = spark.readStream.schema(source.schema).format("parquet").load(f"{sf}/conversation[s].parquet")
-    timed = stream.withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 7200 + F.col("turn") * 60))
+    timed = stream.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 7200 + F.col("turn") * 60))
     return _drained(spark, live.session_statistics(timed, watermark="1 minute"), "append")
 
 
@@ -232,7 +232,7 @@ def live_state_stream(spark, sf):
     """Running conversation state, read and kept as a stream."""
     source = table(spark, sf, "conversations")
     stream = spark.readStream.schema(source.schema).format("parquet").load(f"{sf}/conversation[s].parquet")
-    timed = stream.withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 7200 + F.col("turn") * 60))
+    timed = stream.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 7200 + F.col("turn") * 60))
     return _drained(spark, live.live_state(timed), "append")
 
 

@@ -11,7 +11,7 @@ TURNS = "conv_id long, turn long, role string, text string, ts timestamp"
 
 def written(spark, path, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, minute long")
-    df.select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("minute") * 60).alias("ts")).coalesce(1).write.mode(
+    df.select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000).alias("ts")).coalesce(1).write.mode(
         "append").parquet(path)
 
 
