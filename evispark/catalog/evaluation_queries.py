@@ -76,7 +76,7 @@ def eval_gate(spark, sf):
 
 @query("eval_missed", f"WITH {QRELS_CTE} SELECT query_id, chunk_id, grade FROM qrels ANTI JOIN (SELECT query_id, chunk_id FROM hits WHERE rank <= 3) USING (query_id, chunk_id)")
 def eval_missed(spark, sf):
-    return E.missed_chunks(retrieved(spark, sf), qrels(spark, sf), 3)
+    return E.missed_chunks(checkpointed(retrieved(spark, sf)), qrels(spark, sf), 3)
 
 
 @query("compare_runs", f"""WITH {QRELS_CTE}, b AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS r FROM qrels) WHERE r <= 2),
@@ -90,7 +90,8 @@ def compare_runs(spark, sf):
     truth = checkpointed(qrels(spark, sf))
     best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "chunk_id")
     oracle = truth.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select("query_id", "rank", "chunk_id")
-    return E.compare_runs(retrieved(spark, sf).select("query_id", "rank", "chunk_id"), oracle, truth, 3)
+    run = checkpointed(retrieved(spark, sf).select("query_id", "rank", "chunk_id"))
+    return E.compare_runs(run, checkpointed(oracle), truth, 3)
 
 
 @query("groundedness", f"""WITH {HITS_CTE}, ans AS (SELECT query_id, string_agg(citation, ' and ' ORDER BY rank) || CASE WHEN query_id % 3 = 0 THEN ' [NG12 Section 99.9, p.1]' ELSE '' END AS answer FROM shown GROUP BY query_id),

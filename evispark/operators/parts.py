@@ -28,11 +28,17 @@ def part_window(key: str, pos: str) -> Window:
     return Window.partitionBy(key, "_part").orderBy(pos)
 
 
+def has_long(df: DataFrame, pos: str, span: int = SPAN) -> bool:
+    """Whether any position lies beyond the first part (on a table, a test the scan can answer)."""
+    return df.where(F.col(pos) >= span).limit(1).count() > 0
+
+
 def running(df: DataFrame, key: str, pos: str, states: dict[str, tuple[str, Column]],
-            inclusive: bool = True, span: int = SPAN) -> DataFrame:
+            inclusive: bool = True, span: int = SPAN, long: bool | None = None) -> DataFrame:
     """Add running columns: ``last`` (non-null), ``or`` (bits), ``count`` (sum of a number).
 
-    With ``inclusive=False`` the row itself is left out.
+    With ``inclusive=False`` the row itself is left out.  ``long`` tells whether any key
+    has more than one part; unless given, it is looked up in ``df``.
     """
     df = df.withColumns({"_part": F.floor(F.col(pos) / span), **{f"_v_{n}": c for n, (_, c) in states.items()}})
     upto = part_window(key, pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -43,8 +49,8 @@ def running(df: DataFrame, key: str, pos: str, states: dict[str, tuple[str, Colu
         return (F.bit_or(col) if kind == "or" else F.sum(col)).over(window)
 
     within = df.withColumns({f"_r_{n}": over(kind, F.col(f"_v_{n}"), upto) for n, (kind, _) in states.items()})
-    # Long keys are rare; look before planning a second pass for them (a pushed-down test).
-    if df.where(F.col(pos) >= span).limit(1).count() == 0:
+    # Long keys are rare; a second pass is planned only where there are any.
+    if not (has_long(df, pos, span) if long is None else long):
         before = {n: F.lit(None) for n in states}
     else:
         def total(kind: str, col: Column) -> Column:

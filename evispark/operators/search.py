@@ -16,6 +16,7 @@ the partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
 from .sizes import fits
 
 DIGITS = 6
@@ -163,28 +165,36 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | Non
     return rank_hits(candidates, k).select("query_id", "rank", "chunk_id", "score", *carry)
 
 
-def _blocks(queries: DataFrame, chunks: DataFrame, cell: Sequence[str], block: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, chunks: DataFrame, cell: Sequence[str], block: int,
+            chunk_counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Split both sides of every cell into bounded blocks; each pair of blocks meets once.
 
-    Chunks of a cell are spread over ``c`` blocks and copied to each of the cell's
-    ``q`` query blocks, and the other way round.  Counts per cell are one narrow row.
+    Chunks of a cell are spread over ``_nc`` blocks and copied to each of the cell's
+    ``_nq`` query blocks, and the other way round.  Counts per cell are one narrow row.
     """
     cell = list(cell)
-    nc = chunks.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nc"))
+    if chunk_counts is None:
+        chunk_counts = chunks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    nc = chunk_counts.select(*cell, F.ceil(F.col("n") / block).cast("int").alias("_nc"))
     nq = queries.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
-    sizes = nc.join(nq, cell)
+    sizes = checkpointed(nc.join(nq, cell))   # narrow, and used by both sides
     sizes = F.broadcast(sizes) if fits(sizes) else sizes
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    def own(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     c = chunks.join(sizes, cell).withColumn("_cb", own("id", "_nc")).withColumn("_qb", every("_nq"))
     q = queries.join(sizes, cell).withColumn("_qb", own("query_id", "_nq")).withColumn("_cb", every("_nc"))
     return q.drop("_nc", "_nq"), c.drop("_nc", "_nq")
 
 
 def _meet(queries: DataFrame, chunks: DataFrame, cell: Sequence[str], k: int, min_score: float | None,
-          routed: bool, carry: Sequence[str], block: int) -> DataFrame:
+          routed: bool, carry: Sequence[str], block: int, chunk_counts: DataFrame | None = None) -> DataFrame:
     """Score every pair of blocks; at most k rows per query leave a pair."""
-    q, c = _blocks(queries, chunks, cell, block)
+    q, c = _blocks(queries, chunks, cell, block, chunk_counts)
     keys = [*cell, "_cb", "_qb"]
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -253,10 +263,11 @@ def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column
 
     placed = c.mapInPandas(assign, T.StructType([
         *c.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
-    # At most pivots + 1 rows.
-    radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect()}
-    cells = np.array(sorted(radius))
-    radii = np.array([radius[x] for x in cells])
+    # One pass for radius and size of the cells: at most pivots + 1 rows.
+    found = sorted(placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect())
+    cells = np.array([r["cell"] for r in found])
+    radii = np.array([r["r"] for r in found])
+    counts = queries.sparkSession.createDataFrame([(r["cell"], r["n"]) for r in found], "cell int, n long")
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, s, seen = shared.value
@@ -283,16 +294,23 @@ def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column
             out["cell"] = cells[ci].astype("int32")
             yield out
 
-    probes = q.mapInPandas(visit, T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())]))
-    candidates = _meet(probes, placed.drop("angle"), ["cell"], k, min_score, routed, carry, block)
+    # Counted per cell and joined: written once, so the bounds are not worked out twice.
+    probes = checkpointed(q.mapInPandas(visit, T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])))
+    candidates = _meet(probes, placed.drop("angle"), ["cell"], k, min_score, routed, carry, block, counts)
     return rank_hits(candidates, k).select("query_id", "rank", "chunk_id", "score", *carry)
 
 
 def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float | None = None,
-                      names: Names = Names(), bands: int = 8, bits: int = 8, seed: int = 7,
+                      names: Names = Names(), bands: int = 8, bits: int | None = None, seed: int = 7,
                       block: int = BLOCK) -> DataFrame:
-    """Approximate top-k: compare only chunks that share a hyperplane signature in some band."""
+    """Approximate top-k: compare only chunks that share a hyperplane signature in some band.
+
+    Without ``bits``, signatures are as long as it takes for buckets of about 2000
+    chunks.  A bucket that is far larger is split into bounded blocks.
+    """
     q, c = _sides(queries, chunks, names, False, ())
+    if bits is None:
+        bits = min(24, max(3, round(math.log2(max(1, chunks.count() / 2000)))))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes, weights = None, 1 << np.arange(bits)

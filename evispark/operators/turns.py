@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intents, query_text, transcripts
-from .parts import SPAN, part_window, running, with_overlap
+from .parts import SPAN, has_long, part_window, running, with_overlap
 
 FACTS = ["age", "symptoms", "duration", "risk_factors"]
 
@@ -40,6 +40,7 @@ def conversation_state(turns: DataFrame, span: int = SPAN) -> DataFrame:
 
     A question about the conversation itself adds nothing and changes no state.
     """
+    long = has_long(turns, "turn", span)   # asked of the table, not of what is derived from it
     facts = extracted_facts(turns, span).withColumns({
         "context_question": intents.asks_about_context(F.col("text")),
         "wants_assessment": intents.wants_assessment(F.col("text"))})
@@ -48,7 +49,7 @@ def conversation_state(turns: DataFrame, span: int = SPAN) -> DataFrame:
         "age": ("last", F.when(adds, F.col("stated_age"))),
         "bits": ("or", F.when(adds, F.col("symptom_bits")).otherwise(F.lit(0).cast("long"))),
         "duration": ("last", F.when(adds, F.col("stated_duration"))),
-    }, span=span).where(F.col("role") == "user")
+    }, span=span, long=long).where(F.col("role") == "user")
     has = {"age": F.col("age").isNotNull(), "symptoms": F.col("bits") != 0,
            "duration": F.col("duration").isNotNull(), "risk_factors": F.lit(False)}
     ask, ready = F.col("wants_assessment"), has["age"] & has["symptoms"] & has["duration"]
@@ -60,7 +61,7 @@ def conversation_state(turns: DataFrame, span: int = SPAN) -> DataFrame:
                      .when(ready, "confirm").otherwise("ask_missing")})
     to_state = (F.when(F.col("decision") == "assess", "complete").when(F.col("decision") == "confirm", "clarifying")
                 .when(F.col("decision") == "ask_missing", "gathering"))
-    out = running(decided, "conv_id", "turn", {"state": ("last", to_state)}, span=span)
+    out = running(decided, "conv_id", "turn", {"state": ("last", to_state)}, span=span, long=long)
     return out.withColumn("state", F.coalesce("state", F.lit("greeting"))).select(
         "conv_id", "turn", "age", "symptoms", "duration", "missing", "decision", "state")
 

@@ -83,7 +83,8 @@ class Collection:
 
     def ingest(self, chunks: DataFrame, force: bool = False) -> dict[str, int]:
         """Write only into an empty collection, unless forced; forced, it is replaced."""
-        if self.count() > 0:
+        raw = self._raw()
+        if raw is not None and raw.limit(1).count() > 0:
             if not force:
                 return {"added": 0, "urgent": 0, "recommendations": 0}
             self.clear()
