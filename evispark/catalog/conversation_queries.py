@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import transcripts as X
 from ..operators import traces, turns
+from ..session import shared_folder
 from ..streaming import conversations as live
 from . import query
-from .derived import DIALOGUE_SQL, NOTES_SQL, SYMPTOM_WORDS, TRANSCRIPTS_SQL, dialogue, notes, quoted, sql_list, table, transcripts
+from .derived import DIALOGUE_SQL, NOTES_SQL, SYMPTOM_WORDS, TRANSCRIPTS_SQL, dialogue, notes, quoted, sql_list, table, transcripts, with_sayings
 
 NL = "chr(10)"
 
@@ -218,35 +219,61 @@ def trace_lookup(spark, sf):
     return out.select("run_id", "found", F.coalesce("step", F.lit(-1)).alias("step"), F.coalesce("observation", F.lit("")).alias("observation"))
 
 
-@query("session_windows_stream")
+def streamed(spark, sf):
+    """The dialogue view as a stream of timed turns."""
+    schema = table(spark, sf, "conversations").schema
+    raw = spark.readStream.schema(schema).format("parquet").load(f"{sf}/conversation[s].parquet")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 7200 + F.col("turn") * 60)
+    return with_sayings(raw).withColumn("ts", ts)
+
+
+TIMED_SQL = f"{DIALOGUE_SQL}, timed AS (SELECT *, 1700000000 + conv_id * 7200 + turn * 60 AS at_s FROM dialogue)"
+
+
+@query("session_windows_stream", f"""WITH {TIMED_SQL}, s AS (SELECT conv_id, min(at_s) AS session_start, max(at_s) + 3600 AS session_end, count(*) AS turns,
+  count(*) FILTER (role = 'user') AS user_turns FROM timed GROUP BY conv_id)
+SELECT * FROM s WHERE session_end <= (SELECT max(at_s) - 60 FROM timed)""")
 def session_windows_stream(spark, sf):
-    """Sessions of the conversations, read and aggregated as a stream."""
-    source = table(spark, sf, "conversations")
-    stream = spark.readStream.schema(source.schema).format("parquet").load(f"{sf}/conversation[s].parquet")
-    timed = stream.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 7200 + F.col("turn") * 60))
-    return _drained(spark, live.session_statistics(timed, watermark="1 minute"), "append")
+    """Sessions of the conversations, read and aggregated as a stream; the watermark has to pass a session's end."""
+    out = _drained(spark, live.session_statistics(streamed(spark, sf), watermark="1 minute"), "append")
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("session_start", "session_end")})
 
 
-@query("live_state_stream")
+# Facts of each turn on its own, as the stream reads them.
+OWN_FACTS = f"""{TIMED_SQL}, rec AS (SELECT *, lower(text) AS recent FROM timed), facts AS (SELECT *, coalesce({", ".join(_age(i, p) for i, p in enumerate(fixed.TURN_AGE_PATTERNS))}) AS stated_age, {BITS} AS bits,
+  nullif(regexp_extract(recent, {quoted(fixed.TURN_DURATION_PATTERN)}, 0), '') AS stated_duration, {CONTEXT} AS ctx, {WANTS} AS wants FROM rec)"""
+
+
+@query("live_state_stream", f"""WITH {OWN_FACTS}, run AS (SELECT conv_id, turn, at_s, role, ctx, wants, count(*) OVER w AS turns,
+  last_value(CASE WHEN role = 'user' AND NOT ctx THEN stated_age END IGNORE NULLS) OVER w AS age,
+  bit_or(CASE WHEN role = 'user' AND NOT ctx THEN bits ELSE 0 END) OVER w AS symptom_bits,
+  last_value(CASE WHEN role = 'user' AND NOT ctx THEN stated_duration END IGNORE NULLS) OVER w AS duration FROM facts
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+dec AS (SELECT *, CASE WHEN ctx THEN 'answer_context' WHEN wants AND symptom_bits <> 0 THEN 'assess' WHEN wants THEN 'ask_missing'
+  WHEN age IS NOT NULL AND symptom_bits <> 0 AND duration IS NOT NULL THEN 'confirm' ELSE 'ask_missing' END AS decision FROM run WHERE role = 'user'),
+ends AS (SELECT r.*, at_s + 3600 AS due FROM run r JOIN (SELECT conv_id, max(turn) AS turn FROM run GROUP BY conv_id) USING (conv_id, turn)),
+rows_ AS (SELECT conv_id, at_s, age, symptom_bits, duration, turns, decision, CASE decision WHEN 'assess' THEN 'complete' WHEN 'confirm' THEN 'clarifying'
+    WHEN 'ask_missing' THEN 'gathering' ELSE '' END AS state, false AS expired FROM dec
+  UNION ALL SELECT conv_id, due, age, symptom_bits, duration, turns, 'expire', 'greeting', true FROM ends WHERE due <= (SELECT max(at_s) - 3600 FROM timed))
+SELECT conv_id, at_s, coalesce(age, -1) AS age, CAST(symptom_bits AS BIGINT) AS symptom_bits, coalesce(duration, '') AS duration, turns, decision, state, expired FROM rows_""")
 def live_state_stream(spark, sf):
-    """Running conversation state, read and kept as a stream."""
-    source = table(spark, sf, "conversations")
-    stream = spark.readStream.schema(source.schema).format("parquet").load(f"{sf}/conversation[s].parquet")
-    timed = stream.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 7200 + F.col("turn") * 60))
-    return _drained(spark, live.live_state(timed), "append")
+    """Running conversation state, read and kept as a stream; silent conversations expire with the watermark."""
+    out = _drained(spark, live.live_state(streamed(spark, sf)), "append")
+    return out.select("conv_id", F.unix_timestamp("ts").alias("at_s"), F.coalesce("age", F.lit(-1)).alias("age"), "symptom_bits",
+                      F.coalesce("duration", F.lit("")).alias("duration"), "turns", "decision",
+                      F.coalesce("state", F.lit("")).alias("state"), "expired")
 
 
 def _drained(spark, df, mode):
-    """Run a stream over all present files into a Parquet folder and read that."""
-    folder = tempfile.mkdtemp(dir=None, prefix="evispark-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else (
-        spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/stream-" + spark._jvm.java.util.UUID.randomUUID().toString())
-    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
+    """Run a stream over all present files into a Parquet folder of its own and read that."""
+    folder = shared_folder(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         q = (df.writeStream.outputMode(mode).format("parquet").option("path", folder + "/out")
              .option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        spark.conf.set(provider, before)
     return spark.read.schema(df.schema).parquet(folder + "/out")

@@ -157,9 +157,14 @@ PATIENTS_SQL = f"""patients AS (
 
 def dialogue(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with clinical sayings in their turns."""
+    return with_sayings(texts(spark, sf, "conversations"))
+
+
+def with_sayings(conversations: DataFrame) -> DataFrame:
+    """The same for any frame of conversations, a stream as well."""
     k = F.col("conv_id") * 5 + F.col("turn") * 3
     saying = nth(SAYINGS, k)
-    return texts(spark, sf, "conversations").select(
+    return conversations.select(
         "conv_id", "turn", "role",
         F.when(k % 4 == 0, F.concat(saying, F.lit(" "), F.col("text"))).otherwise(saying).alias("text"))
 
