@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import patients as R
 from ..functions import query_text as Q
-from ..operators import triage, validation
+from ..operators import retrieval, triage, validation
+from ..operators.sizes import spread
+from ..plans import assess
 from . import query
 from .derived import PATIENTS_SQL, patients, quoted, table, texts
-from .search_queries import sql_patient_query
+from .lookup_queries import CITATION_SQL
+from .search_queries import (CHUNK_VECTORS_SQL, SCORE, embed, patient_requests, ranked_sql, search_chunks, sql_patient_query,
+                             sql_vector)
+from .text_queries import flat_notes
 
 RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {quoted(f)}, {quoted(c)}, {quoted(n)})" for i, (f, c, n) in enumerate(fixed.RED_FLAGS)) + ") t(rule_no, flag, condition, note))"
@@ -91,6 +96,31 @@ def patient_query(spark, sf):
                     Q.assessment_query(F.col("presenting_complaint"), F.col("symptoms"), F.col("age"), F.col("risk_factors")).alias("assessment_query"))
 
 
+@query("request_contexts", f"""WITH {PATIENTS_SQL} SELECT patient_id, {sql_patient_query('presenting_complaint', 'age', 'symptoms', 'cancer')} AS expanded_query,
+  concat_ws(';', CASE WHEN age <> 0 THEN 'age=' || age END, 'symptoms=' || array_to_string(symptoms, ', '), 'cancer_type=' || cancer,
+    CASE WHEN patient_id % 5 = 0 THEN 'urgent_only=true' END) AS filters FROM patients""")
+def request_contexts(spark, sf):
+    out = retrieval.request_contexts(patient_requests(spark, sf))
+    pairs = F.transform(F.map_entries("filters_applied"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select(F.col("query_id").alias("patient_id"), "expanded_query", F.array_join(pairs, ";").alias("filters"))
+
+
+ASSESSMENT_TEXT = """coalesce(nullif(concat_ws(' ', nullif(presenting_complaint, ''), array_to_string(list_slice(symptoms, 1, 5), ' '), CASE WHEN age >= 40 THEN 'aged 40 and over' END,
+    CASE WHEN age >= 50 THEN 'aged 50 and over' END, CASE WHEN len(risk_factors) > 0 THEN array_to_string(list_slice(risk_factors, 1, 3), ' ') END), ''), 'cancer referral criteria')"""
+
+
+@query("assess_patients", f"""WITH {CHUNK_VECTORS_SQL}, {RISK_CTE}, q AS (SELECT patient_id AS query_id, {sql_vector(ASSESSMENT_TEXT, 32)} AS e FROM patients), """
+       + ranked_sql("wide", f"SELECT query_id, chunk_id, {SCORE} AS score FROM q, c", 3)
+       + f""", ev AS (SELECT query_id AS patient_id, string_agg({CITATION_SQL}, ';' ORDER BY rank) AS citations FROM wide JOIN flat USING (chunk_id) WHERE score >= 0.55 GROUP BY query_id)
+SELECT patient_id, score, CASE WHEN citations IS NULL THEN 'insufficient_info' ELSE risk_level END AS risk_level, CASE WHEN citations IS NULL THEN 'routine' ELSE urgency END AS urgency,
+  CASE WHEN citations IS NULL THEN 'Gather additional clinical information' ELSE recommendation END AS action, coalesce(citations, '') AS citations FROM risk LEFT JOIN ev USING (patient_id)""")
+def assess_patients(spark, sf):
+    """Rules, evidence and citations for every patient."""
+    out = assess.assess_patients(spread(patients(spark, sf)), search_chunks(spark, sf), flat_notes(spark, sf), embed, k=3, threshold=0.55)
+    return out.select("patient_id", "score", "risk_level", "urgency", F.get("recommended_actions", F.lit(0)).alias("action"),
+                      F.coalesce(F.array_join("citations", ";"), F.lit("")).alias("citations"))
+
+
 LINE = "CASE WHEN {} THEN '{}' || {} || '{}' END"
 AGE, SEX = LINE.format("age <> 0", "- Age: ", "age", " years"), LINE.format("sex <> ''", "- Sex: ", "sex", "")
 COMPLAINT = LINE.format("presenting_complaint <> ''", "- Presenting complaint: ", "presenting_complaint", "")

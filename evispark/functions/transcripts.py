@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import cut, label_lookup, pattern, strip
+from .text import cut, pattern, strip
 
 
 def valid_json(text: Column) -> Column:
@@ -88,7 +88,3 @@ def reasoning_line() -> Column:
         F.lit("Step "), F.col("step").cast("string"), F.lit(": "), F.left("thought", F.lit(100)), F.lit("...\n"),
         F.when(F.col("action").isNotNull(), F.concat(F.lit("  → Used tool: "), F.col("action"), F.lit("\n"))
                ).otherwise(F.lit("")))
-
-
-__all__ = ["valid_json", "step_fields", "lenient_json", "citations", "observation_cut", "step_block",
-           "step_display", "reasoning_line", "label_lookup"]

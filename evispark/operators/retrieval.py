@@ -17,7 +17,7 @@ from .sizes import join_checked
 Embed = Callable[[Column], Column]
 
 
-def _finish(hits: DataFrame, k: int, threshold: float) -> DataFrame:
+def finish(hits: DataFrame, k: int, threshold: float) -> DataFrame:
     """Count candidates per query, apply the threshold, keep the first k."""
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))   # at most the search horizon per query
     kept = hits.withColumn("total_candidates", total).where(F.col("score") >= threshold)
@@ -41,7 +41,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed
     text = query_text.expand_query(F.col("query")) if expand else F.col("query")
     vectors = queries.select("query_id", embed(text).alias("embedding"))
     hits = top_k(vectors, chunks, 2 * k, names=names)
-    return _finish(hits, k, threshold)
+    return finish(hits, k, threshold)
 
 
 def retrieve_for_patients(requests: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed.DEFAULT_TOP_K,
@@ -57,14 +57,29 @@ def retrieve_for_patients(requests: DataFrame, chunks: DataFrame, embed: Embed,
     vectors = requests.select("query_id", embed(text).alias("embedding"),
                               F.coalesce("urgent_only", F.lit(False)).alias("urgent_only"), "cancer")
     if mode == "pre":
-        return _finish(top_k(vectors, chunks, 2 * k, names=names, routed=True), k, threshold)
+        return finish(top_k(vectors, chunks, 2 * k, names=names, routed=True), k, threshold)
     wide = vectors.withColumn("_cancer", F.when(~F.col("urgent_only"), F.col("cancer"))).drop("cancer").withColumn(
         "cancer", F.lit(None).cast("string"))
     hits = top_k(wide, chunks, 2 * k * overfetch, names=names, routed=True, carry=["cancer_types"])
     horizon = join_checked(hits, wide.select("query_id", "_cancer"), "query_id")
     seen = F.col("_cancer").isNull() | F.contains(F.lower("cancer_types"), F.lower("_cancer"))
     cut = rank_hits(horizon.where(seen).drop("rank"), 2 * k).drop("_cancer", "cancer_types")
-    return _finish(cut, k, threshold)
+    return finish(cut, k, threshold)
+
+
+def request_contexts(requests: DataFrame) -> DataFrame:
+    """What was searched for each patient request: enhanced query and the filters it named."""
+    text = query_text.patient_query(F.col("query"), F.col("age"), F.col("symptoms"), F.col("cancer"))
+
+    def entry(name: str, given: Column, value: Column) -> Column:
+        return F.when(given, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+
+    applied = F.map_from_entries(F.array_compact(F.array(
+        entry("age", F.col("age") != 0, F.col("age")),
+        entry("symptoms", F.size("symptoms") > 0, F.array_join("symptoms", ", ")),
+        entry("cancer_type", F.col("cancer") != "", F.col("cancer")),
+        entry("urgent_only", F.col("urgent_only"), F.lit("true")))))
+    return requests.select("query_id", "query", text.alias("expanded_query"), applied.alias("filters_applied"))
 
 
 def dispatch(requests: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed.DEFAULT_TOP_K,
@@ -79,7 +94,7 @@ def dispatch(requests: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixe
     ).otherwise(query_text.expand_query(F.col("query")))
     vectors = requests.select("query_id", embed(text).alias("embedding"),
                               F.coalesce("urgent_only", F.lit(False)).alias("urgent_only"), "cancer")
-    return _finish(top_k(vectors, chunks, 2 * k, names=names, routed=True), k, threshold)
+    return finish(top_k(vectors, chunks, 2 * k, names=names, routed=True), k, threshold)
 
 
 def cancer_criteria(cancers: DataFrame, chunks: DataFrame, flat: DataFrame, embed: Embed,

@@ -16,7 +16,7 @@ def assess_patients(patients: DataFrame, chunks: DataFrame, flat: DataFrame, emb
     ruled = triage.assess(patients)
     query = query_text.assessment_query(F.col("presenting_complaint"), F.col("symptoms"), F.col("age"), F.col("risk_factors"))
     vectors = patients.select(F.col(key).alias("query_id"), embed(query).alias("embedding"))
-    hits = retrieval._finish(top_k(vectors, chunks, 2 * k), k, threshold)
+    hits = retrieval.finish(top_k(vectors, chunks, 2 * k), k, threshold)
     evidence = lookups.context_texts(retrieval.hit_rows(hits, flat), k).withColumnRenamed("query_id", key)
     joined = ruled.join(evidence, key, "left")
     none = F.col("citations").isNull()
