@@ -51,7 +51,7 @@ ideal AS (SELECT query_id, sum(grade / log2(r + 1)) AS idcg FROM (SELECT *, row_
 m AS (SELECT query_id, coalesce(num_retrieved, 0) AS num_retrieved, coalesce(num_relevant, 0) AS num_relevant, coalesce(nrr, 0) AS num_relevant_retrieved,
   CASE WHEN num_relevant > 0 THEN coalesce(nrr, 0) / num_relevant ELSE 0.0 END AS recall, coalesce(nrr, 0) / 3.0 AS precision, coalesce(1.0 / first_rank, 0.0) AS mrr,
   CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0.0 END AS ndcg, CASE WHEN num_relevant > 0 THEN coalesce(ap, 0) / num_relevant ELSE 0.0 END AS average_precision,
-  CASE WHEN nrr > 0 THEN 1.0 ELSE 0.0 END AS hit_rate FROM eq LEFT JOIN found USING (query_id) LEFT JOIN rel USING (query_id) LEFT JOIN ideal USING (query_id))"""
+  CAST(CASE WHEN nrr > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hit_rate FROM eq LEFT JOIN found USING (query_id) LEFT JOIN rel USING (query_id) LEFT JOIN ideal USING (query_id))"""
 
 
 def per_query(spark, sf):

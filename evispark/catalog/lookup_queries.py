@@ -26,7 +26,7 @@ def wanted_pages(spark, sf):
 
 
 @query("page_lookup", f"""WITH {FLAT_SQL}, w AS (SELECT DISTINCT CAST(item_id % 45 AS INTEGER) AS page FROM benchmark)
-SELECT w.page, chunk_id, 1.0 AS score FROM flat JOIN w ON w.page BETWEEN page_start AND page_end""")
+SELECT w.page, chunk_id, CAST(1 AS DOUBLE) AS score FROM flat JOIN w ON w.page BETWEEN page_start AND page_end""")
 def page_lookup(spark, sf):
     return L.on_pages(flat_notes(spark, sf), wanted_pages(spark, sf)).select("page", "chunk_id", "score")
 
@@ -54,7 +54,7 @@ sec AS (SELECT * FROM (SELECT l.*, CAST(row_number() OVER (PARTITION BY section_
   FROM lev l SEMI JOIN wanted USING (section_number)) WHERE rank <= 10)"""
 
 
-@query("section_retrieval", f"WITH {SECTION_HITS} SELECT section_number, rank, chunk_id, 1.0 AS score FROM sec")
+@query("section_retrieval", f"WITH {SECTION_HITS} SELECT section_number, rank, chunk_id, CAST(1 AS DOUBLE) AS score FROM sec")
 def section_retrieval(spark, sf):
     return L.sections_of(flat_notes(spark, sf), wanted_sections(spark, sf)).select("section_number", "rank", "chunk_id", "score")
 
@@ -163,7 +163,7 @@ def cancer_criteria(spark, sf):
 
 
 @query("no_evidence", f"""WITH {RETRIEVE_CTE} SELECT query_id, 'insufficient_info' AS risk_level, 'routine' AS urgency,
-  'Unable to complete assessment: No matching guidelines found' AS summary, 0.0 AS confidence
+  'Unable to complete assessment: No matching guidelines found' AS summary, CAST(0 AS DOUBLE) AS confidence
 FROM (SELECT item_id AS query_id FROM benchmark) WHERE query_id NOT IN (SELECT query_id FROM hits WHERE score >= 0.55)""")
 def no_evidence(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))

@@ -104,7 +104,7 @@ def ann_bucketed(spark, sf):
 
 
 @query("vector_norms", """SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm,
-  round(CASE WHEN n.vec IS NULL THEN 0 ELSE list_cosine_similarity(CAST(embedding AS DOUBLE[]), n.vec) END, 6) AS next_cosine, 1.0 AS unit_norm
+  round(CASE WHEN n.vec IS NULL THEN 0 ELSE list_cosine_similarity(CAST(embedding AS DOUBLE[]), n.vec) END, 6) AS next_cosine, CAST(1 AS DOUBLE) AS unit_norm
 FROM embeddings LEFT JOIN (SELECT vec_id - 1 AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) n ON n.id = vec_id""")
 def vector_norms(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", V.norm(F.col("embedding")).alias("n"))
@@ -129,7 +129,7 @@ def text_vectors(spark, sf):
         "doc_id", (F.col("i") + 1).alias("i"), F.round("value", 6).alias("value"))
 
 
-@query("embed_provider", """SELECT doc_id, length(text) + 0.0 AS chars, length(text) - length(replace(text, ' ', '')) + 0.0 AS spaces,
+@query("embed_provider", """SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces,
   '' AS error FROM documents""")
 def embed_provider(spark, sf):
     """Vectors from a user's provider, called per token-limited batch."""

@@ -25,12 +25,14 @@ def normalise_term(term: str) -> str:
 def guarded_match(col: Column, regexes: Sequence[str], flags: str = "") -> Column:
     """``rlike`` on any of the patterns, tried only where a word they need occurs.
 
-    ``contains`` is many times cheaper than a regex, and most rows fail it.
+    ``contains`` is many times cheaper than a regex, and most rows fail it.  A pattern
+    with groups, alternatives, counts or other case has no word it surely needs.
     """
     needed = []
     for regex in regexes:
-        runs = re.findall(r"[A-Za-z]{3,}", re.sub(r"\\[A-Za-z]|.[?*]|\(\?[^)]*\)", " ", regex))
-        if not runs:
+        plain = re.sub(r"\[[^\]]*\][?*+]?|\\[A-Za-z][?*+]?|.[?*]", " ", regex)
+        runs = re.findall(r"[A-Za-z]{3,}", plain)
+        if not runs or "i" in flags or any(c in regex for c in "|({"):
             return matches_any(col, regexes, flags)
         needed.append(max(runs, key=len))
     return contains_any(col, sorted(set(needed))) & matches_any(col, regexes, flags)

@@ -68,3 +68,11 @@ def test_flags_and_flat_form(spark):
     assert (row["has_recommendation"], row["is_urgent"], row["has_table"]) == (True, True, False)
     assert row["section_hierarchy"] == "1|1.2|1.2.3"
     assert row["cancer_types"] == "lung_cancer" and row["age_thresholds"] == "40+"
+
+
+@pytest.mark.parametrize("regex, text", [
+    ("(cat|horse)", "a cat"), ("[abc]de", "bde"), ("(foo)?bars", "bars"), ("weeks{0,1}", "week"), ("x?weeks?", "week"),
+    (r"two[\s\-]?week", "twoweek"), (r"refer\s+urgently", "refer  urgently")])
+def test_guard_never_hides_a_match(spark, regex, text):
+    df = spark.createDataFrame([(text,), ("nothing",)], "t string")
+    assert [r[0] for r in df.select(T.guarded_match(F.col("t"), [regex])).collect()] == [True, False]
