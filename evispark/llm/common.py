@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 BROADCAST_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 # Words of letters, digits and all characters past ASCII, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,6 +56,18 @@ def joined_rows(rows: Column) -> Column:
     return F.array_join(rows, ",")
 
 
+def word_blocks(data: bytes, size: int = 1) -> Iterator[list[bytes]]:
+    """Words of a text, a block at a time; each list begins with the last ``size - 1`` words of the one before."""
+    begin, last = 0, []
+    while begin < len(data):
+        end = begin + BLOCK_BYTES
+        while end < len(data) and not data[end:end + 1].isspace():
+            end += 1
+        part = last + data[begin:end].split()
+        yield part
+        last, begin = part[max(0, len(part) - size + 1):], end
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: ``a``, ``b`` longs -> ``node``, ``component`` (its smallest node), for every node of an edge.
 

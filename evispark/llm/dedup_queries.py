@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, embeddings, simhash
 from .common import table
 from .registry import query
 
@@ -43,3 +43,23 @@ def op9_decontaminate(spark, sf_dir):
         F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_LINK_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] e, embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 ok
+  from embeddings),
+pairs as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and a.ok and b.ok and len(a.e) = len(b.e)
+          where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) as (select vec_id, vec_id from v union select reach.vec_id, pairs.b from reach join pairs on reach.other = pairs.a),
+least as (select vec_id, min(other) component_id from reach group by vec_id),
+degree as (select a vec_id, count(*) n_links from pairs group by a)
+select vec_id, coalesce(n_links, 0) n_links, component_id, vec_id = component_id kept from least left join degree using (vec_id)"""
+
+
+@query("op10_embeddings", _LINK_SQL)
+def op10_embeddings(spark, sf_dir):
+    found = embeddings.find_near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -12,38 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpointed
-from .common import components, is_small
+from .common import components, is_small, word_blocks
 
 SEED = 42
 SHINGLE = 3
 DIFFERENCES = 3
 HOT = 2048
-BLOCK = 1 << 20
 # Generator polynomial of the (23, 12, 7) binary Golay code, and its lengths.
 GENERATOR, LENGTH, CHECK_BITS = 0b110001110101, 23, 11
 #: First bit and width of the segments of a fingerprint; the last is filled up with zeros.
 SEGMENTS = [(0, 23), (23, 23), (46, 18)]
 
 
-def _pieces(data: bytes, size: int) -> Iterator[list[bytes]]:
-    """Words of a text, a block at a time; each list begins with the last ``size - 1`` words of the one before."""
-    begin, last = 0, []
-    while begin < len(data):
-        end = begin + BLOCK
-        while end < len(data) and not data[end:end + 1].isspace():
-            end += 1
-        part = last + data[begin:end].split()
-        yield part
-        last, begin = part[max(0, len(part) - size + 1):], end
-
-
 def fingerprint(text: str | None) -> int:
     """Majority bits of the XXH64 of all 3-word shingles of a text in A-Z lower case; of all its words if there
     are fewer than three; zero without words."""
     if not text:
         return 0
     ones, total, few = np.zeros(64, np.int64), 0, []
-    for w in _pieces(text.encode("utf-8", "surrogatepass").lower(), SHINGLE):   # bytes: only A-Z change, only ASCII space parts
+    for w in word_blocks(text.encode("utf-8", "surrogatepass").lower(), SHINGLE):   # bytes: only A-Z change, only ASCII space parts
         few = w
         hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(w[i:] for i in range(SHINGLE))))]
         if hashes:
