@@ -47,6 +47,11 @@ def is_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> boo
     return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
+def fits(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> bool:
+    """True if the measured bytes of all rows together stay under the limit."""
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit
+
+
 def same(pairs: list[tuple[Column, Column]]) -> Column:
     """Null-safe equality of several columns."""
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in pairs))

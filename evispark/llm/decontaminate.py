@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import BROADCAST_BYTES, is_small, same, words
+from .common import fits, is_small, same, words
 
 WINDOW = 10
 SHINGLE = 5
@@ -66,7 +66,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
         F.expr("cast(array() as array<array<bigint>>)")
     seen = tokens.select(*key, F.size("w").alias("n_words"), F.explode(each).alias("hashes")).select(
         *key, "n_words", F.posexplode("hashes").alias("pos", "shingle"))
-    seen = seen.join(F.broadcast(vocabulary) if is_small(vocabulary, 16, BROADCAST_BYTES) else vocabulary, "shingle")
+    seen = seen.join(F.broadcast(vocabulary) if is_small(vocabulary, 16) else vocabulary, "shingle")
     seen = checkpointed(seen)
 
     counts = seen.groupBy("shingle").agg(F.count("*").alias("count"))
@@ -74,8 +74,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
         F.min(F.coalesce("count", F.lit(0))).alias("least"),
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "off")).alias("rarest"), F.first("ws").alias("ws"))
     prefix = checkpointed(prefix.where("least > 0").select("win", "ws", F.col("rarest.shingle").alias("shingle"), F.col("rarest.off").alias("off")))
-    row_bytes = 400
-    candidates = seen.join(F.broadcast(prefix) if is_small(prefix, row_bytes) else prefix, "shingle")
+    held = F.octet_length("win") * 2 + F.size("ws") * 16 + 64
+    candidates = seen.join(F.broadcast(prefix) if fits(prefix, held) else prefix, "shingle")
     candidates = candidates.select(*key, "n_words", (F.col("pos") - F.col("off")).alias("start"), "win", "ws").where(
         (F.col("start") >= 0) & (F.col("start") + F.size("ws") <= F.col("n_words")))
     candidates = candidates.groupBy(*key).agg(F.collect_set(F.struct("start", "win", "ws")).alias("candidates"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import spans
-from .common import same
+from .common import fits, same
 from .spans import Kind
 
 SCOPE = 200
@@ -95,6 +96,8 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     found = find_secrets(packed.select(F.struct("k0", "k1", "k2").alias("key"), F.col("doc")[text_column].alias("text")), "key", "text")
     found = found.where(F.size("spans") > 0).groupBy("id").agg(F.first("spans").alias("spans")).select(
         *(F.col("id")[f"k{i}"].alias(f"f{i}") for i in range(3)), "spans")
+    found = checkpointed(found)
+    found = F.broadcast(found) if fits(found, F.size("spans") * 128 + 128) else found
     text = F.col("doc")[text_column]
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
