@@ -84,9 +84,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     met = [(F.col(k), F.col(f"c_{k}")) for k in key]
     checked = docs.join(F.broadcast(candidates.select("c_h").distinct()).withColumnRenamed("c_h", "b_h"), F.col("h") == F.col("b_h"), "left_semi") \
         if is_small(candidates, 16) else docs
-    checked = checked.join(candidates, same(met)).dropDuplicates(key).select(*key, words(F.col("text")).alias("w"), "candidates")
-    occurs = F.filter("candidates", lambda c: F.forall(F.sequence(F.lit(0), F.size(c["ws"]) - 1), lambda j: F.get(
-        F.col("w"), c["start"] + j) == F.get(c["ws"], j)))
+    checked = checked.join(candidates, same(met)).dropDuplicates(key).select(*key, "text", "candidates")
+    # the outer lambda binds the words, which would be split again for each candidate otherwise
+    occurs = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.filter("candidates", lambda c: F.forall(
+        F.sequence(F.lit(0), F.size(c["ws"]) - 1), lambda j: F.get(w, c["start"] + j) == F.get(c["ws"], j)))), F.lit(0))
     checked = checkpointed(checked.select(*key, F.transform(occurs, lambda c: F.struct(
         c["start"].alias("start"), F.size(c["ws"]).alias("size"), c["win"].alias("win"))).alias("found")).where(F.size("found") > 0))
     positions = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))))
