@@ -19,6 +19,7 @@ BITS = 256
 BAND = 12
 CONFIDENCE = 4.0
 BLOCK = 1024
+SMALL = 64
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,9 @@ def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return turned, signs, (turned * signs).sum(1) / np.sqrt(turned.shape[1])
 
 
-def may_link(units: np.ndarray, turn: np.ndarray, settings: Settings) -> np.ndarray:
-    """Pairs whose cosine may reach the threshold by either vector's code: the estimate <code, other> / factor is
-    unbiased, and its error stays within confidence * sqrt((1 - factor^2) / factor^2 / (n - 1))."""
-    turned, signs, factor = encode(units, turn)
-    n = turned.shape[1]
-    estimate = (signs.astype(np.float32) @ turned.astype(np.float32).T) / (np.sqrt(n) * factor[:, None])
-    error = settings.confidence * np.sqrt(np.maximum(0.0, 1 - factor ** 2) / factor ** 2 / max(1, n - 1))
-    upper = estimate + error[:, None]
-    return np.minimum(upper, upper.T) >= settings.threshold
+def errors(factor: np.ndarray, bits: int, settings: Settings) -> np.ndarray:
+    """Bounds of the estimate <code, other> / factor, which is unbiased: confidence * sqrt((1 - factor^2) / factor^2 / (n - 1))."""
+    return settings.confidence * np.sqrt(np.maximum(0.0, 1 - factor ** 2) / factor ** 2 / max(1, bits - 1))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -94,28 +89,51 @@ def _keys(settings: Settings):
     return F.pandas_udf(keys, T.ArrayType(T.LongType()))
 
 
-def _compare(ids: np.ndarray, sizes: np.ndarray, sides: np.ndarray, vectors: np.ndarray, keys: np.ndarray, band: int,
-             turn: np.ndarray, settings: Settings, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block or between two (``mixed``): partners of each vector that first meet at this band, and edges that
-    connect what is linked."""
-    units = unit(vectors)
-    pairs = may_link(units, turn, settings)
-    pairs = np.triu(pairs | pairs.T, 1)
-    if mixed:
-        pairs &= sides[:, None] != sides[None, :]
-    a, b = np.nonzero(pairs)
-    first = np.ones(len(a), bool)
-    for begin in range(0, len(a), 65536):   # a pair is counted at the first band at which its stored keys agree
-        part = slice(begin, begin + 65536)
-        first[part] = ~(keys[a[part], :band] == keys[b[part], :band]).any(1)
-    a, b = a[first], b[first]
-    exact = np.empty(len(a))
-    for begin in range(0, len(a), 65536):
-        part = slice(begin, begin + 65536)
-        exact[part] = np.einsum("ij,ij->i", units[a[part]], units[b[part]])
-    a, b = a[exact >= settings.threshold], b[exact >= settings.threshold]
-    partners = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
-    return partners, *_forest(a, b, len(ids)), np.flatnonzero(partners)
+def _candidates(groups: np.ndarray, turned: np.ndarray, signs: np.ndarray, factor: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (``groups``: where they begin, and the end) whose cosine may reach the threshold by either code.
+
+    Small groups are paired row by row at equal distances, all groups at once; large ones are multiplied."""
+    n = turned.shape[1]
+    error, scale = errors(factor, n, settings), np.sqrt(n) * factor
+    turned, signs = turned.astype(np.float32), signs.astype(np.float32)
+    begins, sizes = groups[:-1], np.diff(groups)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    small = np.flatnonzero(sizes[group] <= SMALL)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def kept(a: np.ndarray, b: np.ndarray) -> None:
+        for begin in range(0, len(a), 16384):
+            x, y = a[begin:begin + 16384], b[begin:begin + 16384]
+            upper = np.minimum(np.einsum("ij,ij->i", signs[x], turned[y]) / scale[x] + error[x],
+                               np.einsum("ij,ij->i", signs[y], turned[x]) / scale[y] + error[y])
+            found.append((x[upper >= settings.threshold], y[upper >= settings.threshold]))
+    for apart in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        small = small[small + apart < len(group)]
+        small = small[group[np.minimum(small + apart, len(group) - 1)] == group[small]]
+        kept(small, small + apart)
+    for g in np.flatnonzero(sizes > SMALL):
+        rows = np.arange(begins[g], begins[g] + sizes[g])
+        upper = signs[rows] @ turned[rows].T / scale[rows][:, None] + error[rows][:, None]
+        x, y = np.nonzero(np.triu(np.minimum(upper, upper.T) >= settings.threshold, 1))
+        found.append((rows[x], rows[y]))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
+
+
+def _links(frame: pd.DataFrame, groups: np.ndarray, turn: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole groups -> pairs of rows that link, each at the first of its bands."""
+    units = unit(np.stack(frame["embedding"].to_numpy()))
+    a, b = _candidates(groups, *encode(units, turn), settings)
+    own, mixed = frame["own"].to_numpy(), (frame["bi"] != frame["bj"]).to_numpy()
+    apart = ~mixed[a] | (own[a] != own[b])   # two blocks that meet: only pairs across them
+    a, b = a[apart], b[apart]
+    keys, band = np.stack(frame["keys"].to_numpy()), frame["key"].to_numpy() >> settings.band
+    ahead = np.arange(keys.shape[1])
+    good = np.ones(len(a), bool)
+    for begin in range(0, len(a), 16384):
+        x, y = a[begin:begin + 16384], b[begin:begin + 16384]
+        first = ~((keys[x] == keys[y]) & (ahead < band[x][:, None])).any(1)
+        good[begin:begin + 16384] = first & (np.einsum("ij,ij->i", units[x], units[y]) >= settings.threshold)
+    return a[good], b[good]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,41 +153,41 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _blocks(settings: Settings):
-    """Sorted rows of (key, bi, bj, ..) -> per vector and edge what its blocks add."""
+    """Rows sorted by (dims, key, bi, bj) -> what they add to each vector's partners, and edges of a spanning forest."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turns: dict[int, np.ndarray] = {}
 
-        def done(group: pd.DataFrame) -> pd.DataFrame | None:
-            if len(group) < 2:
-                return None
-            vectors = np.stack(group["embedding"].to_numpy())
-            size = vectors.shape[1]
-            turn = turns.setdefault(size, rotation(size, settings))
-            ids = group["id"].to_numpy()
-            mixed = group["bi"].iloc[0] != group["bj"].iloc[0]
-            partners, node, least, seen = _compare(
-                ids, group["size"].to_numpy(np.float64), group["own"].to_numpy(), vectors,
-                np.stack(group["keys"].to_numpy()), int(group["key"].iloc[0]) >> settings.band, turn, settings, mixed)
-            if not len(seen):
-                return None
-            return pd.concat([pd.DataFrame({"id": ids[seen], "other": None, "partners": partners[seen].astype(np.int64)}),
-                              pd.DataFrame({"id": ids[node], "other": ids[least], "partners": 0})], ignore_index=True).astype(
-                                  {"other": "Int64"})
+        def done(frame: pd.DataFrame, groups: np.ndarray) -> Iterator[pd.DataFrame]:
+            """Whole groups; vectors of one length at a time."""
+            dims = frame["dims"].to_numpy()[groups[:-1]]
+            for size in np.unique(dims):
+                at = np.flatnonzero(dims == size)   # they follow each other, as rows are sorted by it
+                begin, end = groups[at[0]], groups[at[-1] + 1]
+                part = frame.iloc[begin:end]
+                turn = turns.setdefault(int(size), rotation(int(size), settings))
+                a, b = _links(part, np.append(groups[at], end) - begin, turn, settings)
+                if not len(a):
+                    continue
+                ids, place = np.unique(part["id"].to_numpy(), return_inverse=True)
+                sizes = part["size"].to_numpy(np.float64)
+                partners = (np.bincount(place[a], sizes[b], len(ids)) + np.bincount(place[b], sizes[a], len(ids))).astype(np.int64)
+                seen = np.flatnonzero(partners)
+                node, least = _forest(place[a], place[b], len(ids))
+                yield pd.DataFrame({"id": np.r_[ids[seen], ids[node]], "partners": np.r_[partners[seen], np.zeros(len(node), np.int64)],
+                                    "other": pd.array([None] * len(seen) + ids[least].tolist(), "Int64")})[["id", "other", "partners"]]
 
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
             marks = batch[["dims", "key", "bi", "bj"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)])
-            for begin, end in zip(starts[:-1], starts[1:]):
-                out = done(batch.iloc[begin:end])
-                if out is not None:
-                    yield out
+            if len(starts) > 1:
+                yield from done(batch, starts)
             rest = batch.iloc[starts[-1]:]
-        if rest is not None:
-            out = done(rest)
-            if out is not None:
-                yield out
+        if rest is not None and len(rest):
+            yield from done(rest, np.array([0, len(rest)]))
     return run
 
 
