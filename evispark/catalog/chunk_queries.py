@@ -141,13 +141,12 @@ def chunk_top_terms(spark, sf):
     return K.top_terms(K.enrich(notes(spark, sf)), "symptoms")
 
 
-@query("token_batches", f"""WITH RECURSIVE {NOTES_SQL}, t AS (SELECT source, doc_id // 4096 AS part, row_number() OVER (PARTITION BY source, doc_id // 4096 ORDER BY doc_id) AS n, doc_id,
-  CAST(length(text) // 4 AS INTEGER) AS tokens FROM notes),
-f AS (SELECT source, part, doc_id, n, tokens, tokens AS total, 0 AS batch FROM t WHERE n = 1
-  UNION ALL SELECT t.source, t.part, t.doc_id, t.n, t.tokens, CASE WHEN f.total + t.tokens > 3000 THEN t.tokens ELSE f.total + t.tokens END,
-    CASE WHEN f.total + t.tokens > 3000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN t ON t.source = f.source AND t.part = f.part AND t.n = f.n + 1)
-SELECT source, doc_id, CAST(part AS INTEGER) AS part, batch, tokens FROM f""")
+@query("token_batches", f"""WITH RECURSIVE {NOTES_SQL}, t AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id,
+  CAST(length(text) // 4 AS BIGINT) AS tokens FROM notes),
+f AS (SELECT source, doc_id, n, tokens, tokens AS total, 0::BIGINT AS batch FROM t WHERE n = 1
+  UNION ALL SELECT t.source, t.doc_id, t.n, t.tokens, CASE WHEN f.total + t.tokens > 3000 THEN t.tokens ELSE f.total + t.tokens END,
+    CASE WHEN f.total + t.tokens > 3000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN t ON t.source = f.source AND t.n = f.n + 1)
+SELECT source, doc_id, batch, tokens FROM f""")
 def token_batches(spark, sf):
-    """Batches per source, in parts of 4096 documents, whatever the size of a source."""
-    return embedding.token_batches(notes(spark, sf), "source", "doc_id", limit=3000, span=4096).select(
-        "source", "doc_id", "part", "batch", "tokens")
+    """Batches per source, packed straight on in order; folded in parts of 128 positions."""
+    return embedding.token_batches(notes(spark, sf), "source", "doc_id", limit=3000, span=128)

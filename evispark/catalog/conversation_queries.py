@@ -199,14 +199,14 @@ DISPLAY_SQL = f"""concat_ws({NL}, {NL} || '**Step ' || step || ':** ' || CASE WH
 REASON_SQL = f"'Step ' || step || ': ' || left(thought, 100) || '...' || {NL} || CASE WHEN action IS NOT NULL THEN '  → Used tool: ' || action || {NL} ELSE '' END"
 
 
-@query("trace_render", f"""WITH {STEPS_CTE} SELECT run_id, CAST((step - 1) // 256 AS INTEGER) AS part, md5(string_agg({PROMPT_SQL}, {NL} || {NL} ORDER BY step)) AS prompt_md5,
-  md5(string_agg({DISPLAY_SQL}, {NL} ORDER BY step)) AS display_md5, md5(string_agg({REASON_SQL}, '' ORDER BY step)) AS reasoning_md5 FROM steps GROUP BY run_id, (step - 1) // 256""")
+@query("trace_render", f"""WITH {STEPS_CTE} SELECT run_id, md5(string_agg({PROMPT_SQL}, {NL} || {NL} ORDER BY step)) AS prompt_md5,
+  md5(string_agg({DISPLAY_SQL}, {NL} ORDER BY step)) AS display_md5, md5(string_agg({REASON_SQL}, '' ORDER BY step)) AS reasoning_md5 FROM steps GROUP BY run_id""")
 def trace_render(spark, sf):
     steps = parsed(spark, sf)
     out = None
     for form in ("prompt", "display", "reasoning"):
-        one = traces.render(steps, form).select("run_id", "part", F.md5("text").alias(f"{form}_md5"))
-        out = one if out is None else out.join(one, ["run_id", "part"])
+        one = traces.render(steps, form).select("run_id", F.md5("text").alias(f"{form}_md5"))
+        out = one if out is None else out.join(one, "run_id")
     return out
 
 

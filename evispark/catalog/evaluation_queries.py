@@ -26,6 +26,11 @@ def queries(spark, sf):
         F.nullif(nth(Q_URGENCIES, i), F.lit("")).alias("urgency"))
 
 
+def tags(spark, sf):
+    """The tags of all chunks, written once: narrow, and read by several steps."""
+    return checkpointed(chunking.enrich(notes(spark, sf)).select("chunk_id", "cancer_types", "symptoms", "urgency"))
+
+
 def qrels(spark, sf):
     return E.build_qrels(queries(spark, sf), chunking.enrich(notes(spark, sf)))
 
@@ -56,7 +61,8 @@ m AS (SELECT query_id, coalesce(num_retrieved, 0) AS num_retrieved, coalesce(num
 
 def per_query(spark, sf):
     run = checkpointed(retrieved(spark, sf).select("query_id", "rank", "chunk_id"))
-    return E.per_query_metrics(run, checkpointed(qrels(spark, sf)), 3, queries=queries(spark, sf))
+    asked, tagged = queries(spark, sf), tags(spark, sf)
+    return E.graded_metrics(E.grade_run(run, asked, tagged), E.grade_counts(asked, tagged), asked, 3)
 
 
 @query("eval_per_query", f"""WITH {METRICS_CTE} SELECT query_id, num_retrieved, num_relevant, num_relevant_retrieved, {", ".join(f"round({c}, 6) AS {c}" for c in E.METRICS)} FROM m""")
@@ -86,12 +92,25 @@ SELECT query_id, coalesce(x.n, 0) AS first_hits, coalesce(y.n, 0) AS second_hits
 FROM z LEFT JOIN x USING (query_id) LEFT JOIN y USING (query_id)""")
 def compare_runs(spark, sf):
     """The search run against a run that returns the two best graded chunks."""
-    from pyspark.sql import Window
-    truth = checkpointed(qrels(spark, sf))
-    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "chunk_id")
-    oracle = truth.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select("query_id", "rank", "chunk_id")
-    run = checkpointed(retrieved(spark, sf).select("query_id", "rank", "chunk_id"))
-    return E.compare_runs(run, checkpointed(oracle), truth, 3)
+    asked, tagged = queries(spark, sf), tags(spark, sf)
+    run = retrieved(spark, sf).select("query_id", "rank", "chunk_id").where("rank <= 3")
+    return E.compare_graded(*(E.grade_run(checkpointed(r), asked, tagged) for r in (run, E.best_chunks(asked, tagged, 2))), 3)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]::VARCHAR[]"
+
+
+_DEFAULT_VALUES = ", ".join(f"({i}, {_sql_list(r[1])}, {_sql_list(r[2])}, '{r[3] or ''}')" for i, r in enumerate(fixed.EVALUATION_QUERIES))
+
+
+@query("eval_default_queries", f"""WITH {HITS_CTE}, dq(query_id, qc, qs, qu) AS (VALUES {_DEFAULT_VALUES}),
+p AS (SELECT query_id, len(list_intersect(qc, string_split(cancer_types, ','))) AS nc, len(list_intersect(qs, string_split(symptoms, ','))) AS ns, qu, urgency FROM dq, flat),
+g AS (SELECT query_id, greatest(0, CASE WHEN nc > 0 AND ns >= 2 THEN 3 WHEN nc > 0 THEN 2 WHEN ns > 0 THEN 1 ELSE 0 END - CASE WHEN qu <> '' AND urgency <> '' AND qu <> urgency THEN 1 ELSE 0 END) AS grade FROM p)
+SELECT query_id, CAST(grade AS INTEGER) AS grade, count(*) AS n FROM g WHERE grade > 0 GROUP BY query_id, grade""")
+def eval_default_queries(spark, sf):
+    """How many chunks are relevant to each of the default evaluation queries, by grade."""
+    return E.grade_counts(E.default_queries(spark), tags(spark, sf))
 
 
 @query("groundedness", f"""WITH {HITS_CTE}, ans AS (SELECT query_id, string_agg(citation, ' and ' ORDER BY rank) || CASE WHEN query_id % 3 = 0 THEN ' [NG12 Section 99.9, p.1]' ELSE '' END AS answer FROM shown GROUP BY query_id),

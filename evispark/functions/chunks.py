@@ -26,6 +26,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fold_in_blocks(items: Column, fields: dict[str, Column], out: str, kind: str, step: Callable[[Column, Column], Column],
+                   finish: Callable[[Column], Column]) -> Column:
+    """A fold whose state has ``fields`` and a list ``out`` of ``kind`` that ``step`` adds to.
+
+    Adding to an array copies it, so one long list would cost the square of its length.  Items are folded in
+    blocks of about the root of their number; a block begins with an empty list, and the lists are put together at the end.
+    """
+    def folded(all_items: Column) -> Column:
+        n = F.size(all_items)
+        block = F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))
+        blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")),
+                                           lambda i: F.slice(all_items, i * block + 1, block))).otherwise(F.array())
+        start = F.struct(*(c.alias(f) for f, c in fields.items()), F.array().cast(f"array<array<{kind}>>").alias("done"))
+
+        def one(s: Column, part: Column) -> Column:
+            begin = F.struct(*(s[f].alias(f) for f in fields), F.array().cast(f"array<{kind}>").alias(out))
+            return let(F.aggregate(part, begin, step), lambda r: F.struct(
+                *(r[f].alias(f) for f in fields), F.concat(s["done"], F.array(r[out])).alias("done")))
+        return F.aggregate(blocks, start, one, lambda s: let(F.struct(
+            *(s[f].alias(f) for f in fields), F.flatten(s["done"]).alias(out)), finish))
+    return let(items, folded)
+
+
 def protect_tables(text: Column) -> Column:
     """Put blank lines around runs of lines that start and end with ``|``."""
     lines = F.split(text, "\n")
@@ -53,7 +76,6 @@ def paragraphs(text: Column, max_chars: int, separator: str = r"\n\n+") -> Colum
         p.alias("text"),
         p.rlike(pattern(fixed.PARAGRAPH_SECTION.rstrip("$"))).alias("header"),
         p.rlike(pattern(fixed.PARAGRAPH_RECOMMENDATION, "mi")).alias("rec")))
-    start = F.struct(F.array().cast("array<string>").alias("groups"), F.lit("").alias("open"))
     limit = F.lit(max_chars * 0.8)
 
     def step(state: Column, p: Column) -> Column:
@@ -62,12 +84,12 @@ def paragraphs(text: Column, max_chars: int, separator: str = r"\n\n+") -> Colum
             F.concat(state["open"], F.lit(GAP), p["text"]))
         closed = F.when(opens & (state["open"] != ""), F.concat(state["groups"], F.array(state["open"]))
                         ).otherwise(state["groups"])
-        return let(F.struct(closed.alias("groups"), grown.alias("open")), lambda s: F.when(
+        return let(F.struct(grown.alias("open"), closed.alias("groups")), lambda s: F.when(
             F.length(s["open"]) > limit,
-            F.struct(F.concat(s["groups"], F.array(s["open"])).alias("groups"), F.lit("").alias("open"))
+            F.struct(F.lit("").alias("open"), F.concat(s["groups"], F.array(s["open"])).alias("groups"))
         ).otherwise(s))
 
-    return F.aggregate(flagged, start, step, lambda s: F.when(
+    return fold_in_blocks(flagged, {"open": F.lit("")}, "groups", "string", step, lambda s: F.when(
         s["open"] != "", F.concat(s["groups"], F.array(s["open"]))).otherwise(s["groups"]))
 
 
@@ -90,13 +112,10 @@ def pack(paras: Column, max_chars: int, overlap_chars: int, carry: Column | None
     """
     none = F.lit(None).cast(CARRY)
     carry = none if carry is None else carry
-    start = F.struct(
-        F.coalesce(F.length(carry["text"]), F.lit(0)).alias("size"),
-        F.lit(0).alias("at"), F.lit(1).alias("first"),
-        F.coalesce(carry["text"], F.lit("")).alias("lead"),
-        carry["page_first"].alias("lead_first"), carry["page_start"].alias("lead_start"),
-        carry["page_end"].alias("lead_end"), carry["section"].alias("sec"),
-        F.array().cast(f"array<{CHUNK}>").alias("chunks"))
+    start = {
+        "size": F.coalesce(F.length(carry["text"]), F.lit(0)), "at": F.lit(0), "first": F.lit(1),
+        "lead": F.coalesce(carry["text"], F.lit("")), "lead_first": carry["page_first"], "lead_start": carry["page_start"],
+        "lead_end": carry["page_end"], "sec": carry["section"]}
 
     def open_chunk(s: Column, upto: Column, sec: Column) -> Column:
         """The text gathered since the last cut, with its pages."""
@@ -144,7 +163,7 @@ def pack(paras: Column, max_chars: int, overlap_chars: int, carry: Column | None
     def finish(s: Column) -> Column:
         return F.struct(s["chunks"].alias("chunks"), open_chunk(s, s["at"], s["sec"]).alias("tail"))
 
-    return F.aggregate(paras, start, step, finish)
+    return fold_in_blocks(paras, start, "chunks", CHUNK, step, finish)
 
 
 def close(packed: Column, min_chars: int, keep_short: bool = False) -> Column:

@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .chunks import fold_in_blocks, let
 from .text import occurrences, pattern, starts_with_any, strip
 
+LENGTH_BLOCK = 1 << 16
+
 
 def split_by_marker(text: Column) -> Column:
     """``array<struct<page_number, markdown>>`` from page markers.
@@ -30,25 +33,44 @@ def marker_count(text: Column) -> Column:
 
 
 def split_by_length(text: Column, chars_per_page: int = fixed.CHARS_PER_PAGE) -> Column:
-    """Pages of about ``chars_per_page``, cut at a blank line near the target."""
-    size = F.length(text)
-    step = F.floor(size / F.greatest(F.lit(1), F.floor(size / F.lit(chars_per_page)))).cast("int")
-    # A cut moves back at most 200 characters, so this many steps always reach the end.
-    steps = F.floor(size / F.lit(max(1, chars_per_page - 200))).cast("int") + F.lit(2)
-    empty = F.array().cast("array<struct<page_number:int,markdown:string>>")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("pages"))
-
-    def advance(state: Column, _step: Column) -> Column:
-        target = F.least(state["pos"] + step, size)
-        blank = F.position(F.lit("\n\n"), text, F.greatest(F.lit(1), target - 199)) - 1
-        end = F.when((target < size) & (blank >= target - 200) & (blank <= target + 198),
-                     blank).otherwise(target).cast("int")
-        piece = strip(F.substring(text, state["pos"] + 1, end - state["pos"]))
-        page = F.struct((F.size(state["pages"]) + 1).alias("page_number"), piece.alias("markdown"))
-        grown = F.when(F.length(piece) > 0, F.concat(state["pages"], F.array(page))).otherwise(state["pages"])
-        return F.when(state["pos"] < size, F.struct(end.alias("pos"), grown.alias("pages"))).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(1), steps), start, advance, lambda s: s["pages"])
+    """Pages of about ``chars_per_page``, cut at a blank line near the target.
+
+    The text is cut into blocks first and a step looks at two of them, as finding a place in a text takes
+    as long as the text before it.
+    """
+    block = max(LENGTH_BLOCK, 4 * chars_per_page)
+
+    def pages(known: Column) -> Column:
+        size, step, parts = known["size"], known["step"], known["parts"]
+
+        def advance(state: Column, _step: Column) -> Column:
+            at = F.floor(state["pos"] / F.lit(block)).cast("int")
+            near = F.struct(F.concat(F.get(parts, at), F.coalesce(F.get(parts, at + 1), F.lit(""))).alias("text"),
+                            (at * block).alias("before"), F.least(state["pos"] + step, size).alias("target"))
+
+            def cut(w: Column) -> Column:
+                before, target = w["before"], w["target"]
+                blank = F.position(F.lit("\n\n"), w["text"], F.greatest(F.lit(1), target - 199 - before)) - 1 + before
+
+                def ended(found: Column) -> Column:
+                    near_target = (target < size) & (found >= target - 200) & (found >= before) & (found <= target + 198)
+                    return F.when(near_target, found).otherwise(target).cast("int")
+                return let(let(blank, ended), lambda end: F.struct(
+                    end.alias("end"), strip(F.substring(w["text"], state["pos"] - before + 1, end - state["pos"])).alias("piece")))
+            return F.when(state["pos"] < size, let(let(near, cut), lambda c: F.struct(
+                c["end"].alias("pos"), F.when(F.length(c["piece"]) > 0, F.concat(state["pages"], F.array(c["piece"])))
+                .otherwise(state["pages"]).alias("pages")))).otherwise(state)
+
+        # A cut moves back at most 200 characters, so this many steps always reach the end.
+        steps = F.floor(size / F.lit(max(1, chars_per_page - 200))).cast("int") + F.lit(2)
+        return fold_in_blocks(F.sequence(F.lit(1), steps), {"pos": F.lit(0)}, "pages", "string", advance, lambda s: F.transform(
+            s["pages"], lambda p, i: F.struct((i + 1).cast("int").alias("page_number"), p.alias("markdown"))))
+
+    # What every step needs is worked out once and bound.
+    return let(F.length(text), lambda size: let(F.struct(
+        size.alias("size"), F.floor(size / F.greatest(F.lit(1), F.floor(size / F.lit(chars_per_page)))).cast("int").alias("step"),
+        F.transform(F.sequence(F.lit(0), F.floor(size / F.lit(block)).cast("int")),
+                    lambda i: F.substring(text, i * block + 1, F.lit(block))).alias("parts")), pages))
 
 
 def split_pages(text: Column) -> Column:

@@ -14,9 +14,9 @@ def norm(v: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """Unit vector; a zero vector stays as it is."""
-    return let(norm(v), lambda n: F.when(n == 0, v.cast("array<double>")).otherwise(
-        F.transform(v, lambda x: x.cast("double") / n)))
+    """Unit vector; a zero vector stays as it is.  ``v`` is bound first: it may be a costly expression."""
+    return let(v, lambda u: let(norm(u), lambda n: F.when(n == 0, u.cast("array<double>")).otherwise(
+        F.transform(u, lambda x: x.cast("double") / n))))
 
 
 def dot(a: Column, b: Column) -> Column:

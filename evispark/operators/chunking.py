@@ -12,7 +12,7 @@ from ..functions import chunks as C
 from ..functions import structure as S
 from ..functions import tagging
 from ..session import checkpointed
-from .sizes import BROADCAST_ROWS
+from .sizes import fits
 
 PAGES_PER_PART = 64
 
@@ -123,9 +123,9 @@ def chunk_pages(pages: DataFrame, doc: str = "doc_id", size: ChunkSize = ChunkSi
              .groupBy(doc, "_part").agg(F.array_sort(F.collect_list("_page")).alias("_pages"),
                                         F.max(F.col("_page.content")).alias("_part_any")))
     # Documents of more than one part are rare; one narrow pass tells whether there are any.
-    n_long = info.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count()
+    n_long = not info.isEmpty()
     if n_long:
-        parts = parts.join(F.broadcast(info) if n_long <= BROADCAST_ROWS else info, doc, "left")
+        parts = parts.join(F.broadcast(info) if fits(info) else info, doc, "left")
     else:
         parts = parts.withColumn("_any", F.lit(None).cast("boolean"))
     use = F.coalesce(F.col("_any"), F.col("_part_any"))
@@ -159,17 +159,25 @@ def _relay(parts: DataFrame, doc: str, size: ChunkSize, key: Column | None) -> D
     def packed(df: DataFrame) -> DataFrame:
         return df.withColumn("_packed", C.pack(F.col("_paras"), size.max_chars, size.overlap_chars, F.col("_carry")))
 
-    state = checkpointed(packed(parts.withColumn("_carry", F.lit(None).cast(C.CARRY))).drop("_paras"))
+    # Each round writes only what it packed; where each part's open text stands is a narrow table of its own.
+    narrow = [F.col(doc), F.col("_part"), F.col("_prev"), F.col("_carry"), F.col("_packed.tail").alias("_tail")]
+    rounds = [checkpointed(packed(parts.withColumn("_carry", F.lit(None).cast(C.CARRY))).drop("_paras"))]
+    redone: list[DataFrame] = []
+    tails = rounds[0].select(*narrow)
     while True:
-        tails = state.select(doc, F.col("_part").alias("_prev"), F.col("_packed.tail").alias("_next"))
-        moved = state.join(tails, [doc, "_prev"], "left")
+        ends = tails.select(doc, F.col("_part").alias("_prev"), F.col("_tail").alias("_next"))
         changed = F.struct("_next").eqNullSafe(F.struct("_carry"))
-        again = checkpointed(moved.where(~changed).select(doc, "_part", F.col("_next").alias("_carry")))
-        if again.limit(1).count() == 0:
+        again = checkpointed(tails.join(ends, [doc, "_prev"], "left").where(~changed).select(doc, "_part", F.col("_next").alias("_carry")))
+        if again.isEmpty():
             break
-        redone = packed(parts.join(again, [doc, "_part"])).drop("_paras")
-        rest = state.join(again, [doc, "_part"], "left_anti")
-        state = checkpointed(rest.unionByName(redone))
+        redone.append(again.select(doc, "_part"))
+        rounds.append(checkpointed(packed(parts.join(again, [doc, "_part"])).drop("_paras")))
+        tails = checkpointed(tails.join(again, [doc, "_part"], "left_anti").unionByName(rounds[-1].select(*narrow)))
+    state = rounds[-1]
+    later = None
+    for done, keys in zip(reversed(rounds[:-1]), reversed(redone)):
+        later = keys if later is None else later.union(keys)
+        state = state.unionByName(done.join(later, [doc, "_part"], "left_anti"))
 
     chunks = F.when(F.col("_last"), C.close(F.col("_packed"), size.min_chars, size.keep_short)
                     ).otherwise(F.col("_packed.chunks"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
-from ..functions.chunks import let
 from ..functions.tagging import token_floor
 from ..functions.vectors import text_vector
+from ..session import checkpointed
 
 # texts, mode ("document" or "query") -> one vector per text
 Provider = Callable[[list[str], str], list[list[float]]]
@@ -63,24 +63,42 @@ def attach(df: DataFrame, text: str = "embedding_text", provider: Provider | Non
 
 def token_batches(df: DataFrame, key: str, order: str, text: str = "text", limit: int = fixed.MAX_TOKENS_PER_BATCH,
                   span: int = 4096) -> DataFrame:
-    """Batch number of every row, greedy in order within ``key``.
+    """Batch number of every row, greedy in order within ``key``, as one pass over the key would give.
 
-    Rows are folded in parts of ``span`` positions, so a key of any size is spread
-    out; a batch never crosses a part.
+    A key's rows are folded in parts of ``span`` positions, all at once.  A part needs the tokens of the batch that is
+    open where it begins: parts start from a guess, and only those whose guess was wrong are folded again, until
+    none is.  Only two numbers per part take part in that; the rows stay where they are.
     """
-    part = F.floor(F.col(order) / span)
-    lists = (df.select(key, part.alias("part"), F.struct(F.col(order).alias("o"), token_floor(F.col(text)).alias("n")).alias("r"))
-             .groupBy(key, "part").agg(F.array_sort(F.collect_list("r")).alias("rows")))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("total"),
-                     F.array().cast("array<struct<o:bigint,n:int,batch:int>>").alias("out"))
+    rows = checkpointed(df.select(key, F.floor(F.col(order) / span).alias("part"), F.struct(
+        F.col(order).cast("long").alias("o"), token_floor(F.col(text)).cast("long").alias("n")).alias("r")).groupBy(key, "part").agg(
+        F.array_sort(F.collect_list("r")).alias("rows")))
+    place = Window.partitionBy(key).orderBy("part")
 
     def step(s: Column, r: Column) -> Column:
-        cut = (s["total"] + r["n"] > limit) & (F.size(s["out"]) > 0)
-        return let(F.when(cut, s["batch"] + 1).otherwise(s["batch"]), lambda b: F.struct(
-            b.alias("batch"), F.when(cut, r["n"]).otherwise(s["total"] + r["n"]).alias("total"),
-            F.concat(s["out"], F.array(F.struct(r["o"].cast("long").alias("o"), r["n"].alias("n"), b.alias("batch")))).alias("out")))
-
-    folded = lists.withColumn("_b", F.aggregate("rows", start, step, lambda s: s["out"]))
-    return folded.select(key, "part", F.explode_outer("_b").alias("b")).where(F.col("b").isNotNull()).select(
-        key, F.col("b.o").alias(order), F.col("part").cast("int").alias("part"), F.col("b.batch").alias("batch"),
-        F.col("b.n").alias("tokens"))
+        cut = (s["open"] >= 0) & (s["open"] + r["n"] > limit)
+        return F.struct(F.when(cut | (s["open"] < 0), r["n"]).otherwise(s["open"] + r["n"]).alias("open"),
+                        F.when(cut, F.concat(s["cuts"], F.array(r["o"]))).otherwise(s["cuts"]).alias("cuts"))
+
+    def folded(parts: DataFrame) -> DataFrame:
+        begin = F.struct(F.col("begins").alias("open"), F.expr("cast(array() as array<bigint>)").alias("cuts"))
+        return parts.withColumn("f", F.aggregate("rows", begin, step)).select(
+            key, "part", "begins", F.col("f.open").alias("ends"), F.col("f.cuts").alias("cuts"))
+
+    # -1: no batch is open yet; only right for a key's first part, a guess elsewhere
+    state = checkpointed(folded(rows.withColumn("begins", F.lit(-1).cast("long"))))
+    while True:
+        asked = state.withColumn("wanted", F.coalesce(F.lag("ends").over(place), F.lit(-1).cast("long")))
+        wrong = checkpointed(asked.where("wanted <> begins").select(F.col(key).alias("_key"), F.col("part").alias("_part"), "wanted"))
+        if wrong.isEmpty():
+            break
+        met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))
+        again = folded(rows.join(wrong, met).withColumn("begins", F.col("wanted")))
+        state = checkpointed(state.join(wrong, met, "left_anti").unionByName(again))
+    base = place.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = state.select(F.col(key).alias("_key"), F.col("part").alias("_part"), "cuts", F.coalesce(
+        F.sum(F.size("cuts")).over(base), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(key, "part").orderBy("o")
+    each = rows.join(numbered, F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))).select(
+        key, "part", "base", "cuts", F.inline("rows"))
+    return each.select(key, F.col("o").alias(order), (F.col("base") + F.sum(
+        F.array_contains("cuts", F.col("o")).cast("int")).over(inside)).cast("long").alias("batch"), F.col("n").alias("tokens"))

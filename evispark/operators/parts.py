@@ -3,8 +3,8 @@
 A window partitioned by key alone puts a hot key into one task.  Here a key's rows
 are cut into parts of ``SPAN`` positions.  A window that looks back a few rows gets
 those rows copied into the next part; a running aggregate gets the combined state
-of the parts before, which is one row per part.  ``pos`` is the row's place in its
-list (0, 1, 2, ...), as turns and steps are numbered.
+of the parts before, which is one row per part.  ``pos`` orders the rows of
+a key, as turns and steps are numbered; it may have gaps.
 """
 
 from __future__ import annotations
@@ -15,12 +15,34 @@ from pyspark.sql import functions as F
 SPAN = 1024
 
 
-def with_overlap(df: DataFrame, pos: str, back: int, span: int = SPAN) -> DataFrame:
-    """Add ``_part`` and ``_own``; the last ``back`` rows of a part also enter the next."""
-    part = F.floor(F.col(pos) / span)
-    parts = F.when(F.col(pos) % span >= span - back, F.array(part, part + 1)).otherwise(F.array(part))
+def with_places(df: DataFrame, key: str, pos: str, span: int = SPAN) -> DataFrame:
+    """Add ``_pos``: the row's place (0, 1, 2, ...) in its key by ``pos``, which may have gaps.
+
+    Rows are counted per stretch of ``span`` positions, and numbered inside it.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(pos) / span))
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(key).alias("_key"), F.col("_stretch").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_stretch").orderBy(pos)
+    return cut.withColumn("_i", F.row_number().over(inside) - 1).join(
+        base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at"))).withColumn(
+        "_pos", F.col("_base") + F.col("_i")).drop("_stretch", "_i", "_base", "_key", "_at")
+
+
+def with_overlap(df: DataFrame, key: str, pos: str, back: int, span: int = SPAN, long: bool | None = None) -> DataFrame:
+    """Add ``_pos`` (place in the key), ``_part`` and ``_own``; the last ``back`` rows of a part also enter the next.
+
+    Parts are cut by place, not by ``pos``: gaps in ``pos`` lose no row.  ``back`` must not exceed ``span``.
+    """
+    if not (has_long(df, pos, span) if long is None else long):
+        whole = Window.partitionBy(key).orderBy(pos)
+        return df.withColumns({"_pos": F.row_number().over(whole) - 1, "_part": F.lit(0).cast("long"), "_own": F.lit(True)})
+    placed = with_places(df, key, pos, span)
+    part = F.floor(F.col("_pos") / span)
+    parts = F.when(F.col("_pos") % span >= span - back, F.array(part, part + 1)).otherwise(F.array(part))
     # A literal list of parts per row, exploded: one copy for all but span edges.
-    out = df.withColumn("_part", F.explode(parts))
+    out = placed.withColumn("_part", F.explode(parts))
     return out.withColumn("_own", F.col("_part") == part)
 
 

@@ -16,7 +16,6 @@ the partitioning.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -76,26 +75,25 @@ def _score(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, min_score: flo
     return _best(pd.concat(found), k) if found else pd.DataFrame({"q": [], "row": [], "id": [], "score": []})
 
 
-def _route_mask(routes: pd.DataFrame | None, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Which chunks of the batch a query may see: urgent only, else by cancer, else all.
-
-    One mask per distinct route, and the route number of every query.
-    """
+def _routes(routes: pd.DataFrame | None) -> tuple[list, np.ndarray] | None:
+    """The distinct routes (True: urgent only; a cancer; None: all) and the route number of every query."""
     if routes is None:
         return None
+    urgent = routes["urgent_only"].fillna(False).to_numpy(dtype=bool)
+    cancer = routes["cancer"].fillna("").astype(str).str.lower().to_numpy()
+    numbers, distinct = pd.factorize(np.where(urgent, "urgent", np.char.add("of ", cancer.astype(str))))
+    return [True if d == "urgent" else d[3:] or None for d in distinct], numbers
+
+
+def _route_mask(routes: tuple[list, np.ndarray] | None, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which chunks of the batch each distinct route sees, and the route number of every query."""
+    if routes is None or not routes[0]:
+        return None
     urgent = batch["is_urgent"].fillna(False).to_numpy(dtype=bool)
     cancers = batch["cancer_types"].fillna("").str.lower()
-    masks: list[np.ndarray] = []
-    seen: dict = {}
-    numbers = np.empty(len(routes), dtype=np.int64)
-    for i, (only_urgent, cancer) in enumerate(zip(routes["urgent_only"], routes["cancer"])):
-        key = True if only_urgent else (None if cancer is None or cancer != cancer or cancer == "" else cancer.lower())
-        if key not in seen:
-            seen[key] = len(masks)
-            masks.append(urgent if key is True else np.ones(len(batch), dtype=bool) if key is None
-                         else cancers.str.contains(key, regex=False).to_numpy(dtype=bool))
-        numbers[i] = seen[key]
-    return np.stack(masks), numbers
+    masks = [urgent if key is True else np.ones(len(batch), dtype=bool) if key is None
+             else cancers.str.contains(key, regex=False).to_numpy(dtype=bool) for key in routes[0]]
+    return np.stack(masks), routes[1]
 
 
 def rank_hits(candidates: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
@@ -119,20 +117,21 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | Non
     columns = [F.col(names.query_id).alias("query_id"), F.col(names.query_vec).alias("vec")]
     if routed:
         columns += ["urgent_only", "cancer"]
-    q = queries.select(*columns).where(F.col("vec").isNotNull())
+    # Written once: measuring and reading must not embed the queries again.
+    q = checkpointed(queries.select(*columns)).where(F.col("vec").isNotNull())
     head = q.select(F.size("vec").alias("d")).first()
     dim = max(1, head["d"]) if head else 1
     # The count needs the ids only and stops at the limit.
-    if not fits(queries.select(names.query_id), max_query_values // dim):
-        return top_k_grid(queries, chunks, k, None, min_score, names, routed, carry)
+    if not fits(q.select("query_id"), max_query_values // dim):
+        return top_k_grid(q.withColumnsRenamed({"query_id": names.query_id, "vec": names.query_vec}), chunks, k, None, min_score,
+                          names, routed, carry)
     side = q.toArrow().to_pandas()   # bounded by the check above
     matrix, ids = _unit(side["vec"]), side["query_id"].to_numpy()
-    routes = side[["urgent_only", "cancer"]] if routed else None
+    routes = _routes(side[["urgent_only", "cancer"]] if routed else None)
     shared = queries.sparkSession.sparkContext.broadcast((matrix, ids, routes))
 
     extra = list(dict.fromkeys([*carry, *(["is_urgent", "cancer_types"] if routed else [])]))
     scan = chunks.select(F.col(names.chunk_id).alias("id"), F.col(names.chunk_vec).alias("vec"), *extra)
-    scan = scan.where(F.col("vec").isNotNull())
     schema = T.StructType([
         T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("chunk_id", scan.schema["id"].dataType),
         T.StructField("score", T.DoubleType()), *[scan.schema[c] for c in carry]])
@@ -145,6 +144,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | Non
             return [_best(pd.concat(kept), k)] if kept else []
 
         for batch in batches:
+            batch = batch[batch["vec"].notna()]   # here, as a filter in the plan would compute each vector twice
             if len(batch) == 0 or len(m) == 0:
                 continue
             best = _score(m, _unit(batch["vec"]), batch["id"].to_numpy(), k, min_score, _route_mask(r, batch))
@@ -159,9 +159,8 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | Non
             yield pd.DataFrame({"query_id": qids[best["q"].to_numpy(dtype=int)], "chunk_id": best["id"].to_numpy(),
                                 "score": best["score"].to_numpy(), **{c: best[c].to_numpy() for c in carry}})
 
-    # A task emits up to k rows per query, so few large tasks keep the merge small.
-    most = 4 * queries.sparkSession.sparkContext.defaultParallelism
-    candidates = scan.coalesce(most).mapInPandas(scan_batches, schema)
+    # A task emits up to k rows per query, and ``rank_hits`` cuts each task's rows to k before the shuffle.
+    candidates = scan.mapInPandas(scan_batches, schema)
     return rank_hits(candidates, k).select("query_id", "rank", "chunk_id", "score", *carry)
 
 
@@ -205,7 +204,7 @@ def _meet(queries: DataFrame, chunks: DataFrame, cell: Sequence[str], k: int, mi
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        routes = left[["urgent_only", "cancer"]] if routed else None
+        routes = _routes(left[["urgent_only", "cancer"]] if routed else None)
         best = _score(_unit(left["vec"]), _unit(right["vec"]), right["id"].to_numpy(), k, min_score,
                       _route_mask(routes, right))
         rows = best["row"].to_numpy(dtype=int)
@@ -220,10 +219,10 @@ def _sides(queries: DataFrame, chunks: DataFrame, names: Names, routed: bool,
            carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     extra = list(dict.fromkeys([*carry, *(["is_urgent", "cancer_types"] if routed else [])]))
     q = queries.select(F.col(names.query_id).alias("query_id"), F.col(names.query_vec).alias("vec"),
-                       *(["urgent_only", "cancer"] if routed else [])).where(F.col("vec").isNotNull())
-    c = chunks.select(F.col(names.chunk_id).alias("id"), F.col(names.chunk_vec).alias("vec"),
-                      *extra).where(F.col("vec").isNotNull())
-    return q, c
+                       *(["urgent_only", "cancer"] if routed else []))
+    c = chunks.select(F.col(names.chunk_id).alias("id"), F.col(names.chunk_vec).alias("vec"), *extra)
+    # Both are read several times: written once, so that no vector is computed again.
+    return checkpointed(q).where(F.col("vec").isNotNull()), checkpointed(c).where(F.col("vec").isNotNull())
 
 
 def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | None = None,
@@ -276,7 +275,7 @@ def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column
                 continue
             u = _unit(b["vec"])
             known = _score(u, s, seen["id"].to_numpy(), k, None,
-                           _route_mask(b[["urgent_only", "cancer"]] if routed else None, seen))
+                           _route_mask(_routes(b[["urgent_only", "cancer"]] if routed else None), seen))
             known = known[known["score"] >= -1.0]
             worst = known.groupby("q")["score"].agg(["min", "size"])
             to_beat = np.full(len(b), -2.0)
@@ -301,16 +300,14 @@ def top_k_grid(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column
 
 
 def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float | None = None,
-                      names: Names = Names(), bands: int = 8, bits: int | None = None, seed: int = 7,
-                      block: int = BLOCK) -> DataFrame:
+                      names: Names = Names(), bands: int = 8, bits: int = 8, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Approximate top-k: compare only chunks that share a hyperplane signature in some band.
 
-    Without ``bits``, signatures are as long as it takes for buckets of about 2000
-    chunks.  A bucket that is far larger is split into bounded blocks.
+    ``bits`` is the length of a signature: about log2(chunks / 2000) makes buckets of some 2000 chunks, longer ones are
+    faster and find less.  It is never derived from the data.  A bucket that is far larger is split into
+    bounded blocks.  A query with fewer than k hits is searched again, exactly.
     """
     q, c = _sides(queries, chunks, names, False, ())
-    if bits is None:
-        bits = min(24, max(3, round(math.log2(max(1, chunks.count() / 2000)))))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes, weights = None, 1 << np.arange(bits)
@@ -333,7 +330,11 @@ def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, min_sco
 
     found = _meet(keyed(q), keyed(c), ["band", "sig"], k, min_score, False, (), block)
     once = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return rank_hits(once, k).select("query_id", "rank", "chunk_id", "score")
+    hits = checkpointed(rank_hits(once, k).select("query_id", "rank", "chunk_id", "score"))
+    full = hits.groupBy("query_id").count().where(F.col("count") >= k)
+    short = q.join(full.select("query_id"), "query_id", "left_anti")
+    exact = top_k(short, c, k, min_score=min_score, names=Names(query_id="query_id", query_vec="vec", chunk_id="id", chunk_vec="vec"))
+    return hits.join(short.select("query_id"), "query_id", "left_anti").unionByName(exact)
 
 
 def filtered_after(queries: DataFrame, chunks: DataFrame, column: str, needle: str, k: int = 5, overfetch: int = 3,

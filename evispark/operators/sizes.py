@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if the frame has at most ``max_rows`` rows; reads no more than it must."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 16
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column) + 16
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(ROW_BYTES))
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+        size = F.size(column) * 8 + ROW_BYTES
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        size = 2 * F.length(F.to_json(F.struct(column.alias("v")))) + ROW_BYTES
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the frame has at most ``max_rows`` rows of at most ``max_bytes`` in all, as measured; reads no more rows than it must."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    n, size = df.select(width.cast("long").alias("w")).limit(max_rows + 1).agg(F.count("*"), F.sum("w")).first()
+    return n <= max_rows and (size or 0) <= max_bytes
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",

@@ -29,17 +29,18 @@ def run_totals(trace: DataFrame) -> DataFrame:
 
 
 def render(trace: DataFrame, form: str = "prompt", per_part: int = STEPS_PER_PART) -> DataFrame:
-    """Steps as text, ``per_part`` steps to a row, so a run of any length stays whole.
+    """One text per run.  Steps are joined ``per_part`` at a time first, so that no task sorts all steps of a long run.
 
     ``form`` is ``prompt`` (full), ``display`` (labels and cuts) or ``reasoning`` (short).
     """
     block, gap = {"prompt": (X.step_block(), "\n\n"), "display": (X.step_display(), "\n"),
                   "reasoning": (X.reasoning_line(), "")}[form]
-    lines = trace.select("run_id", F.floor((F.col("step") - 1) / per_part).cast("int").alias("part"),
-                         F.struct("step", block.alias("text")).alias("s"))
-    steps = F.array_sort(F.collect_list("s"))
-    return lines.groupBy("run_id", "part").agg(
-        F.array_join(F.transform(steps, lambda s: s["text"]), gap).alias("text"))
+
+    def joined(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+        texts = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "text")))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(texts, lambda s: s["text"]), gap).alias("text"))
+    lines = trace.select("run_id", F.floor((F.col("step") - 1) / per_part).alias("part"), "step", block.alias("text"))
+    return joined(joined(lines, ["run_id", "part"], "step"), ["run_id"], "part")
 
 
 def step_table(trace: DataFrame) -> DataFrame:

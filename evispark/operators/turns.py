@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intents, query_text, transcripts
+from ..session import checkpointed
 from .parts import SPAN, has_long, part_window, running, with_overlap
 
 FACTS = ["age", "symptoms", "duration", "risk_factors"]
@@ -23,8 +24,8 @@ def recent_user_text(turns: DataFrame, back: int = 3, span: int = SPAN) -> DataF
     """Add ``recent``: lower-cased user text of the last ``back + 1`` turns."""
     w = part_window("conv_id", "turn").rowsBetween(-back, 0)
     said = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)
-    return (with_overlap(turns, "turn", back, span).withColumn("recent", F.lower(F.array_join(said, " ")))
-            .where("_own").drop("_part", "_own"))
+    return (with_overlap(turns, "conv_id", "turn", back, span).withColumn("recent", F.lower(F.array_join(said, " ")))
+            .where("_own").drop("_part", "_own", "_pos"))
 
 
 def extracted_facts(turns: DataFrame, span: int = SPAN) -> DataFrame:
@@ -70,8 +71,8 @@ def follow_up_queries(turns: DataFrame, span: int = SPAN) -> DataFrame:
     """Search text of every user turn; a follow-up is joined to the user text before it."""
     user = F.col("role") == "user"
     seen = running(turns, "conv_id", "turn", {
-        "previous": ("last", F.when(user, F.col("text")))}, inclusive=False, span=span)
-    follow = query_text.is_follow_up(F.col("text")) & (F.col("turn") >= 2) & F.col("previous").isNotNull()
+        "previous": ("last", F.when(user, F.col("text"))), "earlier": ("count", F.lit(1))}, inclusive=False, span=span)
+    follow = query_text.is_follow_up(F.col("text")) & (F.col("earlier") >= 2) & F.col("previous").isNotNull()
     return seen.where(user).select(
         "conv_id", "turn", follow.alias("is_follow_up"),
         F.when(follow, F.concat("previous", F.lit(" "), "text")).otherwise(F.col("text")).alias("search_text"))
@@ -85,12 +86,12 @@ def history_text(turns: DataFrame, last: int = 10, summary: str | None = None, s
                  short: int = 4, span: int = SPAN) -> DataFrame:
     """The last turns as text, per turn; with a summary column and enough turns, summary and fewer turns."""
     w = part_window("conv_id", "turn")
-    lines = with_overlap(turns, "turn", last - 1, span).withColumn("_line", _spoken())
+    lines = with_overlap(turns, "conv_id", "turn", last - 1, span).withColumn("_line", _spoken())
     out = lines.withColumn("_last", F.collect_list("_line").over(w.rowsBetween(-(last - 1), 0))).where("_own")
     text = F.array_join("_last", "\n\n")
     if summary is not None:
         recent = F.array_join(F.slice("_last", F.greatest(F.lit(1), F.size("_last") - short + 1), F.lit(short)), "\n\n")
-        text = F.when((F.coalesce(F.col(summary), F.lit("")) != "") & (F.col("turn") + 1 > summarise_after),
+        text = F.when((F.coalesce(F.col(summary), F.lit("")) != "") & (F.col("_pos") + 1 > summarise_after),
                       F.concat(F.lit("[Previous conversation summary: "), F.col(summary),
                                F.lit("]\n\nRecent conversation:\n"), recent)).otherwise(text)
     return out.select("conv_id", "turn", text.alias("history"))
@@ -145,13 +146,15 @@ def extract_with_negation(notes: DataFrame, text: str = "text", terms: list[str]
 def number_turns(turns: DataFrame, order: str) -> DataFrame:
     """Give turns 0-based places when they only have an order column.
 
-    Rows are sorted by range over (conversation, order), numbered inside each range,
-    and shifted by the counts of the ranges before: no task holds a whole conversation.
+    Rows are sorted by range over (conversation, order), written once with the number of their range,
+    numbered inside each range, and shifted by the counts of the ranges before: no task holds a whole
+    conversation, and both sides of the join see the same ranges.
     """
-    ranged = turns.repartitionByRange(F.col("conv_id"), F.col(order)).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(turns.repartitionByRange(F.col("conv_id"), F.col(order)).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("conv_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    base = counts.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("conv_id", "_range").orderBy(order)
-    return (ranged.withColumn("_i", F.row_number().over(inside) - 1).join(base, ["conv_id", "_range"])
-            .withColumn("turn", (F.col("_base") + F.col("_i")).cast("long")).drop("_range", "_i", "_base"))
+    numbered = ranged.withColumn("_i", F.row_number().over(inside) - 1).join(
+        base, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of")))
+    return numbered.withColumn("turn", (F.col("_base") + F.col("_i")).cast("long")).drop("_range", "_i", "_base", "_conv", "_of")

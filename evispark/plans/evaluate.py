@@ -28,8 +28,9 @@ def evaluate(queries: DataFrame, chunks: DataFrame, flat: DataFrame, embed: Embe
     """``queries``: ``query_id, query, cancers, symptoms, urgency``; ``flat`` has comma-string tags."""
     tagged = flat.select("chunk_id", parse_tag_field(F.col("cancer_types")).alias("cancer_types"),
                          parse_tag_field(F.col("symptoms")).alias("symptoms"), "urgency")
-    qrels = checkpointed(E.build_qrels(queries, tagged))
     run = checkpointed(retrieve(queries.select("query_id", "query"), chunks, embed, k, threshold=threshold))
-    per_query = E.per_query_metrics(run, qrels, k, queries=queries)
+    # Metrics need the grades of the run and counts of the rest; the table of all relevant pairs is only a report.
+    per_query = E.graded_metrics(E.grade_run(run, queries, tagged), E.grade_counts(queries, tagged), queries, k)
     mean = E.mean_metrics(per_query)
+    qrels = E.build_qrels(queries, tagged)
     return Evaluation(qrels, run, per_query, mean, E.quality_gates(mean), E.missed_chunks(run, qrels, k))

@@ -13,12 +13,13 @@ def ingest_stream(docs: DataFrame, collection: Collection, checkpoint: str, size
                   dim: int = 64, **trigger):
     """Write every micro-batch of ``doc_id, text`` rows as one batch of the collection.
 
-    The batch number is the stream's epoch, and a batch overwrites only itself, so a
-    replayed epoch leaves no duplicates.
+    The writer is the stream, by the id that its checkpoint keeps, and the batch number its epoch: a replayed epoch
+    overwrites itself, and neither another stream nor an append is touched.
     """
     def write(batch: DataFrame, epoch: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         chunks = embed_chunks(chunk_documents(batch, size=size), dim=dim)
-        collection.append(chunks.drop("embedding_error"), batch=epoch)
+        collection.append(chunks.drop("embedding_error"), batch=epoch, writer=f"stream-{stream}")
 
     return (docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evispark import fixed
@@ -161,9 +162,9 @@ def test_json(spark):
 def test_rendering_in_parts(spark):
     rows = [(1, i, f"t{i}", "get_section" if i % 2 else None, "{}" if i % 2 else None, "o" * 300 if i % 2 else None) for i in range(1, 11)]
     df = spark.createDataFrame(rows, "run_id long, step int, thought string, action string, action_input string, observation string")
-    parts = traces.render(df, "reasoning", per_part=4).orderBy("part").collect()
-    whole = traces.render(df, "reasoning").collect()
-    assert len(parts) == 3 and "".join(p.text for p in parts) == whole[0].text
+    for form in ("reasoning", "prompt", "display"):
+        parts, whole = (traces.render(df, form, per_part=n).collect() for n in (4, 256))
+        assert len(parts) == 1 and parts == whole
     assert traces.render(df.where("step = 1"), "display").first().text == (
         "\n**Step 1:** t1\n   → 📄 Retrieved guideline section\n   ✓ Found: " + "o" * 100 + "...")
     assert traces.run_totals(df).first()[1:] == (10, 5, 1)
@@ -179,3 +180,30 @@ def test_grounded(spark):
 
 def test_fits_stops_early(spark):
     assert fits(spark.range(10), 10) and not fits(spark.range(11), 10)
+
+
+def test_numbers_of_many_written_rows(spark, tmp_path):
+    """Every row is written with its place: 400,000 rows over conversations from short to a third of all, in random order."""
+    n = 400_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000 + 10).alias("conv_id"),
+                                 (F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("at"), "id")
+    turns.number_turns(rows.repartition(7), "at").write.parquet(str(tmp_path / "numbered"))
+    got = spark.read.parquet(str(tmp_path / "numbered"))
+    assert got.count() == n
+    w = Window.partitionBy("conv_id").orderBy("at")
+    assert got.withColumn("want", F.row_number().over(w) - 1).where("want <> turn").count() == 0
+
+
+def test_look_backs_over_gaps(spark):
+    """Turn numbers with gaps at part edges: the last rows count, not the last numbers."""
+    numbers = [*range(0, 20), *range(1000, 1020), *range(1030, 1040), 2047, 2048, 5000]
+    rows = [(c, t, "user" if i % 2 == 0 else "assistant", f"{c}-{t} age {i}") for c in (1, 2) for i, t in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.history for r in turns.history_text(df, span=16).collect()}
+    said = {(c, t): ("User: " if role == "user" else "Assistant: ") + text for c, t, role, text in rows}
+    assert got == {(c, t): "\n\n".join(said[c, x] for x in numbers[max(0, i - 9):i + 1]) for c in (1, 2) for i, t in enumerate(numbers)}
+    for span in (16, 1024, 100_000):
+        recent = {(r.conv_id, r.turn): r.recent for r in turns.recent_user_text(df, span=span).collect()}
+        users = {(c, t): text for c, t, role, text in rows if role == "user"}
+        assert recent == {(c, t): " ".join(users[c, x] for x in numbers[max(0, i - 3):i + 1] if (c, x) in users).lower()
+                          for c in (1, 2) for i, t in enumerate(numbers)}
