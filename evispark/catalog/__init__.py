@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     from . import chunk_queries, conversation_queries, evaluation_queries  # noqa: F401
-    from . import lookup_queries, rule_queries, search_queries, text_queries  # noqa: F401
+    from . import lookup_queries, rule_queries, search_queries, source_queries, text_queries  # noqa: F401

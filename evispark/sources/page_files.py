@@ -20,23 +20,33 @@ def document_header(title: Column, source: Column, total_pages: Column) -> Colum
                     total_pages.cast("string"), F.lit("\n\n---\n\n"))
 
 
-def write_pages_markdown(pages: DataFrame, path: str, per_page: bool = True) -> None:
-    """One folder per document; with ``per_page`` one file per page below it."""
-    keys = ["doc_id", "page_number"] if per_page else ["doc_id"]
-    out = pages.select(*keys, page_block().alias("value"))
-    out = out if per_page else out.sortWithinPartitions("doc_id")
-    out.write.mode("overwrite").partitionBy(*keys).text(path)
+def write_pages_markdown(pages: DataFrame, path: str, folders: int = 64) -> None:
+    """Pages as Markdown in ``folders`` folders by a hash of the document, however many documents there are.
 
+    A document's pages follow each other; each begins with a comment that names document and page.
+    """
+    mark = F.concat(F.lit("<!-- Document "), F.col("doc_id").cast("string"), F.lit(", page "), F.col("page_number").cast("string"), F.lit(" -->\n"))
+    _write_folders(pages.select("doc_id", "page_number", F.concat(mark, page_block()).alias("value")), path, folders, ["doc_id", "page_number"])
 
-def write_documents_markdown(docs: DataFrame, path: str) -> None:
-    """Whole documents (``doc_id, title, source, total_pages, markdown``), one folder each."""
+
+def write_documents_markdown(docs: DataFrame, path: str, folders: int = 64) -> None:
+    """Whole documents (``doc_id, title, source, total_pages, markdown``), in folders likewise."""
     text = F.concat(document_header(F.col("title"), F.col("source"), F.col("total_pages")), F.col("markdown"))
-    docs.select("doc_id", text.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    _write_folders(docs.select("doc_id", text.alias("value")), path, folders, ["doc_id"])
+
+
+def _write_folders(rows: DataFrame, path: str, folders: int, order: list[str]) -> None:
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(folders))
+    (rows.withColumn("bucket", bucket).repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+     .select("bucket", "value").write.mode("overwrite").partitionBy("bucket").text(path))
 
 
 def audit_files(spark: SparkSession, path: str, magic: bytes = b"%PDF-", min_bytes: int = 1000,
                 expected_sha256: str | None = None, glob: str = "*") -> DataFrame:
-    """Size, file type and checksum of every file.  A checksum that differs only warns."""
+    """Size, file type and checksum of every file.  A checksum that differs only warns.
+
+    A file is one value of the source, so files of 2 GiB and more are an error, not a wrong row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     head = F.hex(F.substring("content", 1, len(magic))) == magic.hex().upper()
     out = files.select("path", "length", (F.col("length") >= min_bytes).alias("size_ok"), head.alias("magic_ok"),
