@@ -126,6 +126,14 @@ def chain_check(spark, sf):
     return K.chain_report(text_chunks(spark, sf))
 
 
+@query("chain_check_broken", f"""WITH RECURSIVE {TEXT_CHUNKS} SELECT count(*) AS chunks, count(*) FILTER (prev_chunk_id <> '' OR chunk_index % 7 = 3) AS with_prev,
+  count(*) FILTER (next_chunk_id <> '') AS with_next, count(*) FILTER (chunk_index % 7 = 3) AS breaks FROM packed""")
+def chain_check_broken(spark, sf):
+    """Every seventh link back is wrong."""
+    wrong = F.when(F.col("chunk_index") % 7 == 3, F.lit("elsewhere")).otherwise(F.col("prev_chunk_id"))
+    return K.chain_report(text_chunks(spark, sf).withColumn("prev_chunk_id", wrong))
+
+
 @query("chunk_value_shares", f"""WITH {FLAT_SQL}, u AS (SELECT 'content_type' AS field, content_type AS value FROM flat
   UNION ALL SELECT 'urgency', urgency FROM flat), c AS (SELECT field, value, count(*) AS n FROM u GROUP BY field, value)
 SELECT field, value, n, CAST(n * 100 // sum(n) OVER (PARTITION BY field) AS BIGINT) AS pct FROM c""")

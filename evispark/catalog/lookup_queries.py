@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import display
+from ..functions.predicates import clinical_filter, compile_filter
 from ..operators import lookups as L
 from ..operators import retrieval
 from ..sources import chunk_files, page_files
@@ -190,6 +191,31 @@ def chunk_markdown(spark, sf):
                          *[c.alias(n) for n, c in chunk_files.markdown_fields(F.col("block")).items()])
 
 
+CONDITIONS = {
+    "cancer_type": ({"cancer_type": "lung_cancer"}, "contains(cancer_types, 'lung_cancer')"),
+    "urgency": ({"urgency": "urgent_2_week"}, "urgency = 'urgent_2_week'"),
+    "is_urgent": ({"is_urgent": True}, "is_urgent"),
+    "has_recommendation": ({"has_recommendation": False}, "has_recommendation = false"),
+    "symptom": ({"symptom": "cough"}, "contains(symptoms, 'cough')"),
+    "has_table": ({"has_table": False}, "has_table = false"),
+    "content_type": ({"content_type": "text"}, "content_type = 'text'"),
+    "investigation": ({"investigation": "ct"}, "contains(investigations, 'ct')"),
+    "all": ({"is_urgent": True, "has_recommendation": True, "symptom": "cough", "has_table": False},
+            "is_urgent AND has_recommendation AND contains(symptoms, 'cough') AND has_table = false"),
+}
+
+
+@query("clinical_conditions", f"WITH {FLAT_SQL} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS condition, chunk_id FROM flat WHERE {sql}" for name, (_, sql) in CONDITIONS.items()))
+def clinical_conditions(spark, sf):
+    """Each condition of the combined filter on its own, and several at once."""
+    flat, out = flat_notes(spark, sf), None
+    for name, (wanted, _) in CONDITIONS.items():
+        rows = flat.where(compile_filter(clinical_filter(**wanted), flat.columns)).select(F.lit(name).alias("condition"), "chunk_id")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("evaluation_fields", f"WITH {FLAT_SQL} SELECT chunk_id, cancer_types, symptoms, urgency, section FROM flat")
 def evaluation_fields(spark, sf):
     return chunk_files.evaluation_fields(flat_notes(spark, sf))

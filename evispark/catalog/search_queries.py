@@ -81,6 +81,25 @@ def topk_overfetch(spark, sf):
     return S.filtered_after(q, c, "cancer_types", "bladder", 5)
 
 
+FIELDS = ["symptoms", "investigations"]
+FIELD_TAGS = {"symptoms": ["cough", "weight_loss,cough", "", "Back_Pain"], "investigations": ["ct", "x_ray,ct", "", "Ultrasound", "fit"]}
+WANTED = {"symptoms": "back_pain", "investigations": "ultrasound"}
+
+
+@query("topk_overfetch_fields", f"WITH {VECTORS_SQL}, c2 AS (SELECT c.*, {sql_nth(FIELD_TAGS['symptoms'], 'label * 3 + chunk_id')} AS symptoms, "
+       f"{sql_nth(FIELD_TAGS['investigations'], 'label + chunk_id * 2')} AS investigations FROM c), "
+       + ranked_sql("wide", f"SELECT query_id, chunk_id, symptoms, investigations, {SCORE.replace('c.e', 'c2.e')} AS score FROM q, c2", 15) + ", "
+       + ", ".join(ranked_sql(f"r_{f}", f"SELECT query_id, chunk_id, score FROM wide WHERE contains(lower({f}), '{WANTED[f]}')", 5) for f in FIELDS)
+       + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, query_id, rank, chunk_id, score FROM r_{f}" for f in FIELDS))
+def topk_overfetch_fields(spark, sf):
+    """Over-fetch and filter by a symptom and by an investigation."""
+    q, c = vectors(spark, sf)
+    c = c.withColumns({"symptoms": nth(FIELD_TAGS["symptoms"], F.col("label") * 3 + F.col("chunk_id")),
+                       "investigations": nth(FIELD_TAGS["investigations"], F.col("label") + F.col("chunk_id") * 2)})
+    one, two = (S.filtered_after(q, c, f, WANTED[f], 5).select(F.lit(f).alias("field"), "query_id", "rank", "chunk_id", "score") for f in FIELDS)
+    return one.union(two)
+
+
 @query("topk_min_score", f"WITH {VECTORS_SQL}, " + ranked_sql("r", f"SELECT query_id, chunk_id, {SCORE} AS score FROM q, c", 5)
        + " SELECT query_id, rank, chunk_id, score FROM r WHERE score >= 0.3")
 def topk_min_score(spark, sf):

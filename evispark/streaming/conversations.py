@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,23 +40,29 @@ class ConversationState(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         k = self._load()
-        out = []
-        # The turns of one conversation in one micro-batch.
-        for r in pd.concat(list(rows)).sort_values(["ts", "turn"]).itertuples():
-            k["turns"] += 1
-            k["last_ms"] = max(k["last_ms"], int(r.ts.timestamp() * 1000))
-            if r.role != "user":
-                continue
-            if not r.context_question:
-                k["age"] = k["age"] if pd.isna(r.stated_age) else int(r.stated_age)
-                k["bits"] |= int(r.symptom_bits)
-                k["duration"] = k["duration"] if pd.isna(r.stated_duration) else r.stated_duration
-            full = k["age"] is not None and k["bits"] and k["duration"] is not None
-            decision = ("answer_context" if r.context_question else
-                        "assess" if r.wants_assessment and k["bits"] else
-                        "ask_missing" if r.wants_assessment else "confirm" if full else "ask_missing")
-            state = {"assess": "complete", "confirm": "clarifying", "ask_missing": "gathering"}.get(decision)
-            out.append((key[0], r.ts, k["age"], k["bits"], k["duration"], k["turns"], decision, state, False))
+        # The turns of one conversation in one micro-batch, merged column by column.
+        turns = pd.concat(list(rows)).sort_values(["ts", "turn"]).reset_index(drop=True)
+        adds = (turns["role"] == "user") & ~turns["context_question"].fillna(False).astype(bool)
+
+        def newest(name: str, before: Any) -> list:
+            """What is known after each turn: the place of the last stated value, looked up."""
+            stated = (adds & turns[name].notna()).to_numpy()
+            at = np.maximum.accumulate(np.where(stated, np.arange(1, len(turns) + 1), 0))
+            values = [before, *turns[name].tolist()]
+            return [values[i] for i in at]
+        age, duration = newest("stated_age", k["age"]), newest("stated_duration", k["duration"])
+        bits = np.bitwise_or.accumulate(np.r_[k["bits"], np.where(adds, turns["symptom_bits"].fillna(0).astype("int64"), 0)])[1:]
+        count = k["turns"] + np.arange(1, len(turns) + 1)
+        asked, known = turns["wants_assessment"].fillna(False).astype(bool), bits != 0
+        full = known & [a is not None and d is not None for a, d in zip(age, duration)]
+        decision = np.select([turns["context_question"].fillna(False).astype(bool), asked & known, asked, full],
+                             ["answer_context", "assess", "ask_missing", "confirm"], "ask_missing")
+        states = {"assess": "complete", "confirm": "clarifying", "ask_missing": "gathering"}
+        out = [(key[0], ts, None if a is None else int(a), int(b), d, int(n), x, states.get(x), False) for ts, a, b, d, n, x, user in zip(
+            turns["ts"], age, bits, duration, count, decision, turns["role"] == "user") if user]
+        last = int(turns["ts"].max().timestamp() * 1000)
+        k = {"age": None if age[-1] is None else int(age[-1]), "bits": int(bits[-1]), "duration": duration[-1],
+             "turns": int(count[-1]), "last_ms": max(k["last_ms"], last)}
         self.known.update((k["age"], k["bits"], k["duration"], k["turns"], k["last_ms"]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)

@@ -133,3 +133,17 @@ def test_provider_failure_keeps_rows(spark):
     rows = {r.i: r for r in embedding.attach(df, "text", provider).collect()}
     assert rows[3].embedding == [4.0] and rows[2].embedding is None and "refused" in rows[2].embedding_error
     assert len(rows) == 3
+
+
+def test_long_texts_take_linear_time(spark):
+    """40,000 paragraphs in one document: the old folds took minutes."""
+    import time
+    from evispark.functions import structure as S
+    n = 40_000
+    headers = spark.createDataFrame([(1, "\n\n".join(f"## 1.{i} Head" for i in range(n)))], "doc_id long, text string")
+    plain = spark.createDataFrame([(1, "word " * (n * 20))], "doc_id long, text string")
+    begun = time.time()
+    assert headers.select(F.size(C.paragraphs(F.col("text"), 1000))).first()[0] == n
+    pages = plain.select(S.split_by_length(F.col("text")).alias("p")).select(F.inline("p")).collect()
+    assert " ".join(p.markdown for p in pages).split() == ["word"] * (n * 20) or sum(len(p.markdown.replace(" ", "")) for p in pages) == n * 80
+    assert time.time() - begun < 60
