@@ -145,6 +145,31 @@ def negation_extract(spark, sf):
     return out.select("doc_id", F.array_join("negated", ";").alias("negated"), F.array_join("symptoms", ";").alias("symptoms"))
 
 
+_STATED_SQL = ("'A ' || (doc_id % 130) || CASE WHEN doc_id % 3 = 0 THEN ' year old woman' WHEN doc_id % 3 = 1 THEN ' years old man' ELSE ' year old' END || "
+               "CASE WHEN doc_id % 2 = 0 THEN ' denies smoking, reports alcohol' ELSE ' is a smoker without hepatitis' END || "
+               "CASE WHEN doc_id % 5 = 0 THEN ' for 3 weeks. ' ELSE '. ' END || text")
+
+
+@query("negation_fields", f"""WITH {NOTES_SQL}, n AS (SELECT doc_id, lower({_STATED_SQL}) AS recent FROM notes),
+s AS (SELECT doc_id, recent, string_split_regex(recent, '[.;,\\n]|\\bbut\\b|\\breports?\\b') AS cl FROM n),
+g AS (SELECT doc_id, recent, list_filter([{", ".join(f"CASE WHEN {_negated(t)} THEN {quoted(t)} END" for t in fixed.RISK_FACTORS)}], lambda x: x IS NOT NULL) AS neg,
+  list_filter({sql_list(fixed.RISK_FACTORS)}, lambda t: contains(recent, t)) AS found FROM s)
+SELECT doc_id, array_to_string(list_filter(found, lambda t: NOT list_contains(neg, t)), ';') AS risk_factors,
+  coalesce({", ".join(_age(i, p) for i, p in enumerate(fixed.TURN_AGE_PATTERNS))}, -1) AS age,
+  regexp_extract(recent, {quoted(fixed.TURN_DURATION_PATTERN)}, 0) AS duration,
+  CASE WHEN regexp_matches(recent, '\\b(?:female|woman|she|her)\\b|\\b\\d{{1,3}}\\s*f\\b') THEN 'female'
+       WHEN regexp_matches(recent, '\\b(?:male|man|he|his)\\b|\\b\\d{{1,3}}\\s*m\\b') THEN 'male' ELSE '' END AS sex FROM g""")
+def negation_fields(spark, sf):
+    """Risk factors, age, duration and sex of notes that state them."""
+    d = F.col("doc_id")
+    text = F.concat(F.lit("A "), (d % 130).cast("string"), F.when(d % 3 == 0, " year old woman").when(d % 3 == 1, " years old man").otherwise(" year old"),
+                    F.when(d % 2 == 0, " denies smoking, reports alcohol").otherwise(" is a smoker without hepatitis"),
+                    F.when(d % 5 == 0, " for 3 weeks. ").otherwise(". "), F.col("text"))
+    out = turns.extract_with_negation(notes(spark, sf).select("doc_id", text.alias("text")), terms=NEG_TERMS)
+    return out.select("doc_id", F.array_join("risk_factors", ";").alias("risk_factors"), F.coalesce("age", F.lit(-1)).alias("age"),
+                      F.coalesce("duration", F.lit("")).alias("duration"), F.coalesce("sex", F.lit("")).alias("sex"))
+
+
 FINAL = quoted("(?is)" + fixed.FINAL_ANSWER_PATTERN)
 THOUGHT = quoted(r"(?is)Thought(?:\s*\d*)?:\s*(.+?)(?:Action|Final Answer|$)")
 NAME, INPUT = quoted("(?i)" + fixed.ACTION_NAME_PATTERN), quoted("(?is)" + fixed.ACTION_INPUT_PATTERN)
