@@ -138,9 +138,7 @@ def chain_check_broken(spark, sf):
   UNION ALL SELECT 'urgency', urgency FROM flat), c AS (SELECT field, value, count(*) AS n FROM u GROUP BY field, value)
 SELECT field, value, n, CAST(n * 100 // sum(n) OVER (PARTITION BY field) AS BIGINT) AS pct FROM c""")
 def chunk_value_shares(spark, sf):
-    flat = flat_notes(spark, sf)
-    one = lambda c: K.value_shares(flat, c).select(F.lit(c).alias("field"), "value", "n", "pct")
-    return one("content_type").unionByName(one("urgency"))
+    return K.value_shares(flat_notes(spark, sf), "content_type", "urgency")
 
 
 @query("chunk_top_terms", f"""WITH {FLAT_SQL}, t AS (SELECT unnest(string_split(symptoms, ',')) AS term FROM flat WHERE symptoms <> '')

@@ -96,7 +96,7 @@ def neighbour_context(spark, sf):
   (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT unnest(string_split(cancer_types, ',')) AS t FROM flat WHERE cancer_types <> '')) AS cancer_types,
   (SELECT string_agg(u, ',' ORDER BY u) FROM (SELECT DISTINCT urgency AS u FROM flat WHERE urgency <> '')) AS urgency_levels FROM flat""")
 def collection_stats(spark, sf):
-    return L.statistics(flat_notes(spark, sf)).withColumns({c: F.array_join(c, ",") for c in ("cancer_types", "urgency_levels")})
+    return L.statistics(flat_notes(spark, sf), values=True).withColumns({c: F.array_join(c, ",") for c in ("cancer_types", "urgency_levels")})
 
 
 @query("cancer_type_facet", f"""WITH {FLAT_SQL} SELECT cancer_type, count(*) AS chunks FROM (SELECT unnest(string_split(cancer_types, ',')) AS cancer_type

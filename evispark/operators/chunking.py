@@ -237,13 +237,16 @@ def chunk_statistics(chunks: DataFrame, target_tokens: int = 512, chars_per_toke
         F.sum((F.col("char_count") > limit).cast("int")).alias("over_limit"))
 
 
-def value_shares(df: DataFrame, column: str, total: int | None = None) -> DataFrame:
-    """Count and integer percentage per value; the total is a one-row side."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if total is not None:
-        return counts.withColumn("pct", F.floor(F.col("n") * 100 / F.lit(total)).cast("long"))
-    # Few distinct values by contract (types, urgencies), so one window over the counts is cheap.
-    return counts.withColumn("pct", F.floor(F.col("n") * 100 / F.sum("n").over(Window.partitionBy())).cast("long"))
+def value_shares(df: DataFrame, *columns: str) -> DataFrame:
+    """``field, value, n, pct``: count and integer percentage per value of each column, in one pass over the rows.
+
+    The totals are one row per column, joined by its name, so no task sees all values.
+    """
+    each = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))))
+    counts = each.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("field").agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(totals), "field").select(
+        "field", "value", "n", F.floor(F.col("n") * 100 / F.col("_total")).cast("long").alias("pct"))
 
 
 def top_terms(df: DataFrame, column: str, k: int = 10) -> DataFrame:

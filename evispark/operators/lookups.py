@@ -74,15 +74,15 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, hit_id: str = "chunk_id"
             .join(side("next_chunk_id", "next_text"), "next_chunk_id", "left"))
 
 
-def statistics(chunks: DataFrame, collection: str = "guidelines") -> DataFrame:
-    """Totals of the flat table in one row, with the sorted cancer types and urgency levels (small sets by contract)."""
+def statistics(chunks: DataFrame, collection: str = "guidelines", values: bool = False) -> DataFrame:
+    """Totals of the flat table in one row; with ``values``, the sorted cancer types and urgency levels too (small sets by contract)."""
     count_true = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(parse_tag_field(F.col("cancer_types")))))).alias("cancer_types"),
+             F.array_sort(F.collect_set(F.nullif("urgency", F.lit("")))).alias("urgency_levels")] if values else []
     return chunks.agg(F.lit(collection).alias("collection_name"), F.count(F.lit(1)).alias("total_chunks"),
                       count_true("is_urgent").alias("urgent_chunks"),
                       count_true("has_recommendation").alias("recommendation_chunks"),
-                      count_true("has_table").alias("table_chunks"),
-                      F.array_sort(F.array_distinct(F.flatten(F.collect_set(parse_tag_field(F.col("cancer_types")))))).alias("cancer_types"),
-                      F.array_sort(F.collect_set(F.nullif("urgency", F.lit("")))).alias("urgency_levels")).fillna(0)
+                      count_true("has_table").alias("table_chunks"), *lists).fillna(0)
 
 
 def cancer_type_facet(chunks: DataFrame) -> DataFrame:

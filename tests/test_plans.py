@@ -64,3 +64,34 @@ def test_upsert_keeps_newest_of_many_copies(spark, tmp_path, n, copies):
         store.append(spark.createDataFrame(rows, "chunk_id string, text string, is_urgent boolean, has_recommendation boolean"))
     got = store.read()
     assert got.count() == n + (1 if copies else 0) and got.where(F.col("text") != "b1").count() == 0
+
+
+def test_a_vector_is_computed_once(spark):
+    """However often it is used: by its norm, by the result and by the search."""
+    from evispark.functions.vectors import text_vector
+    from evispark.operators import search as S
+
+    def uses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "chunk_id long, text string")
+    vectors = texts.withColumn("embedding", text_vector(F.col("text"), 8))
+    queries = vectors.withColumnRenamed("chunk_id", "query_id")
+    assert uses(vectors) == 2   # the text's digest and its components
+    assert uses(S.top_k(queries, vectors, 3)) == 2
+
+
+def test_runs_are_graded_without_pairs(spark):
+    """The metrics' plan has no join of queries with chunks by tag other than over signatures."""
+    from evispark.operators import evaluation as E
+    queries = spark.createDataFrame([(1, ["a"], ["x", "y"], "u"), (2, ["b"], [], None)], "query_id long, cancers array<string>, symptoms array<string>, urgency string")
+    chunks = spark.createDataFrame([(i, ["a"] if i % 2 else ["b", "a"], ["x", "y"][:i % 3], "u" if i % 5 else "v") for i in range(200)],
+                                   "chunk_id long, cancer_types array<string>, symptoms array<string>, urgency string")
+    run = spark.createDataFrame([(q, r, (q * 37 + r * 11) % 220) for q in (1, 2) for r in range(1, 6)], "query_id long, rank int, chunk_id long")
+    pairs = E.per_query_metrics(run, E.build_qrels(queries, chunks), 3, queries=queries)
+    graded = E.graded_metrics(E.grade_run(run, queries, chunks), E.grade_counts(queries, chunks), queries, 3)
+    assert sorted(map(str, graded.collect())) == sorted(map(str, pairs.collect()))
+    best = E.build_qrels(queries, chunks)
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "chunk_id")
+    want = best.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_id", "rank", "chunk_id")
+    assert sorted(map(str, E.best_chunks(queries, chunks, 4).collect())) == sorted(map(str, want.collect()))
