@@ -62,7 +62,31 @@ def op4_language(spark, sf_dir):
     return language.identify(docs, language.train(docs)).withColumnRenamed("id", "doc_id")
 
 
-@query("op6_licenses")
+_TEMPLATE_WORDS = ", ".join(f"('{label}', {i}, '{w}')" for label, text, _ in licenses.TEMPLATES for i, w in enumerate(text.split()))
+_TEMPLATE_SIZES = ", ".join(f"('{label}', {len(text.split())}, {licenses.needed(len(text.split()))})" for label, text, _ in licenses.TEMPLATES)
+_KEY_PLACES = ", ".join(
+    f"('{label}', {k}, {list(range(i, i + len(key.split())))})" for label, text, keys in licenses.TEMPLATES for k, key in enumerate(keys)
+    for i in range(len(text.split())) if text.split()[i:i + len(key.split())] == key.split())
+_PHRASE_WORDS = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in licenses.PHRASES.items())
+_LICENSE_SQL = f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+dw as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 pos from d),
+tw(label, place, word) as (values {_TEMPLATE_WORDS}), ts(label, n, need) as (values {_TEMPLATE_SIZES}),
+kp(label, k, held) as (values {_KEY_PLACES}), ph(words, label) as (values {_PHRASE_WORDS}),
+aligned as (select doc_id, label, pos - place b, list(place) places, count(*) c from dw join tw using (word) group by doc_id, label, pos - place),
+keyed as (select doc_id, label, b, c, k, bool_or(list_has_all(places, held)) ok from aligned join kp using (label) group by doc_id, label, b, c, k),
+met as (select doc_id, label, b, c from keyed group by doc_id, label, b, c having bool_and(ok)),
+own as (select doc_id, label, max(c::double / n) share from met join ts using (label) where c >= need group by doc_id, label),
+base as (select doc_id, label, pos from dw join d using (doc_id) join ph on ph.words[1] = word where w[pos + 1:pos + len(ph.words)] = ph.words),
+counted as (select doc_id, count(*) n_base, min(pos) first_word, max(pos) last_word, string_agg(distinct label, ',' order by label) base_labels from base group by doc_id),
+named as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from base union select doc_id, label from own) group by doc_id)
+select doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
+  round(case when n_base > 0 then 1.0 else coalesce((select max(share) from own where own.doc_id = d.doc_id), 0.0) end, 6)::double score
+from d left join counted using (doc_id) left join named using (doc_id)"""
+
+
+@query("op6_licenses", _LICENSE_SQL)
 def op6_licenses(spark, sf_dir):
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     own = F.transform("templates", lambda t: t["label"])

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RARE = 8
 AGREE = 0.6
+VOTES = 2
 
 # Phrases whose every place is reported.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -45,12 +45,21 @@ RESULT = T.StructType([
     T.StructField("templates", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("share", T.DoubleType())])))])
 
 
+@dataclass(frozen=True)
+class Template:
+    """``need``: words that must stand in place; ``votes``: those of its rarest words that then must."""
+    label: str
+    words: list[str]
+    keys: list[list[str]]
+    need: int
+    votes: int
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings``: word -> (template, place); ``order``: word -> rank by IDF, rarest first."""
-    templates: list[tuple[str, list[str], list[list[str]]]]
+    """``postings``: rare word -> (template, place); ``phrases``: a phrase's rarest word -> (label, place, words)."""
+    templates: list[Template]
     postings: dict[str, list[tuple[int, int]]]
-    order: dict[str, int]
     phrases: dict[str, list[tuple[str, int, list[str]]]]
 
 
@@ -80,35 +89,43 @@ def word_counts(docs: DataFrame, terms: Iterable[str], text_column: str = "text"
     return counts.pop(None, 0), counts
 
 
-def build_index(total: int, counts: dict[str, int], templates=TEMPLATES, phrases=PHRASES) -> Index:
-    """Postings of all templates; the words in order of falling IDF; each phrase under its rarest word."""
+def needed(length: int, agree: float = AGREE) -> int:
+    return math.ceil(agree * length - 1e-9)
+
+
+def build_index(total: int, counts: dict[str, int], templates=TEMPLATES, phrases=PHRASES, agree: float = AGREE) -> Index:
+    """Postings of each template's words of highest IDF, and each phrase under its rarest word.
+
+    A match has ``need`` words in place, so it misses at most ``n - need``: of the ``n - need + votes`` rarest, at least ``votes``
+    stand in place.  Only those are looked up, and nothing is lost.
+    """
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary(templates, phrases)}
     order = {w: rank for rank, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
-    split = [(label, text.split(), [k.split() for k in keys]) for label, text, keys in templates]
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, ws, _) in enumerate(split):
-        for place, w in enumerate(ws):
-            postings.setdefault(w, []).append((t, place))
-    anchored: dict[str, list[tuple[str, int, list[str]]]] = {}
+    kept, postings, anchored = [], {}, {}
+    for t, (label, text, keys) in enumerate(templates):
+        ws = text.split()
+        need = needed(len(ws), agree)
+        votes = min(VOTES, need)
+        for place in sorted(range(len(ws)), key=lambda i: (order[ws[i]], i))[:len(ws) - need + votes]:
+            postings.setdefault(ws[place], []).append((t, place))
+        kept.append(Template(label, ws, [k.split() for k in keys], need, votes))
     for phrase, label in phrases.items():
         ws = phrase.split()
         place = min(range(len(ws)), key=lambda i: order[ws[i]])
         anchored.setdefault(ws[place], []).append((label, place, ws))
-    return Index(split, postings, order, anchored)
+    return Index(kept, postings, anchored)
 
 
 def _stands(ws: list[str], at: int, phrase: list[str]) -> bool:
     return at >= 0 and ws[at:at + len(phrase)] == phrase
 
 
-def scan(text: str | None, index: Index, rare: int = RARE, agree: float = AGREE) -> dict:
-    """What one text holds: number of words, places of phrases (start, label), and labels of templates with their share of
-    agreeing words.
+def scan(text: str | None, index: Index) -> dict:
+    """What one text holds: number of words, places of phrases (start, label), and templates with their share of words in place.
 
-    A template is tried at the alignments (place in the text less place in the template) of the ``rare`` licence words of the text
-    with the highest IDF; words that all alignments have in common are looked at once.  At an alignment, the
-    share of template words in their place must reach ``agree``, and each key phrase must stand in full
-    where the alignment puts it.
+    The text's rare licence words propose alignments (place in the text less place in the template); those that enough words
+    have in common are looked at: enough words must be in place, and each key phrase must stand in full where
+    the alignment puts it.
     """
     ws = re.findall(WORD, text) if text else []
     n = len(ws)
@@ -116,46 +133,49 @@ def scan(text: str | None, index: Index, rare: int = RARE, agree: float = AGREE)
     for i, w in enumerate(ws):
         if w.isascii():
             w = ws[i] = w.lower()
-        if w in index.order:
+        else:
+            w = ws[i] = w.translate(_LOWER)
+        if w in index.postings or w in index.phrases:
             at.setdefault(w, []).append(i)
     places = sorted((p - place, label) for w in index.phrases if w in at for p in at[w]
                     for label, place, phrase in index.phrases[w] if _stands(ws, p - place, phrase))
-    tried: dict[tuple[int, int], int] = {}
-    for w in sorted(at, key=index.order.__getitem__)[:rare]:
+    votes: dict[tuple[int, int], int] = {}
+    for w, found in at.items():
         for t, place in index.postings.get(w, ()):
-            for p in at[w]:
-                tried[t, p - place] = tried.get((t, p - place), 0) + 1
+            for p in found:
+                votes[t, p - place] = votes.get((t, p - place), 0) + 1
     labels: dict[str, float] = {}
-    for (t, begin), met in tried.items():
-        label, template, keys = index.templates[t]
-        rarest = sum(w in at for w in sorted(set(template), key=index.order.__getitem__)[:2])
-        if met < min(2, rarest):
+    for (t, begin), met in votes.items():
+        template = index.templates[t]
+        if met < template.votes:
             continue
-        share = sum(0 <= begin + i < n and ws[begin + i] == w for i, w in enumerate(template)) / len(template)
-        if share >= agree and all(any(_stands(ws, begin + i, k) for i in range(len(template)) if template[i:i + len(k)] == k) for k in keys):
-            labels[label] = max(labels.get(label, 0.0), share)
+        words = template.words
+        standing = sum(0 <= begin + i < n and ws[begin + i] == w for i, w in enumerate(words))
+        if standing >= template.need and all(any(_stands(ws, begin + i, k) for i in range(len(words)) if words[i:i + len(k)] == k)
+                                             for k in template.keys):
+            labels[template.label] = max(labels.get(template.label, 0.0), standing / len(words))
     return {"n_words": n, "places": [{"start": s, "label": x} for s, x in places],
             "templates": [{"label": x, "share": s} for x, s in sorted(labels.items())]}
 
 
 def find_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates=TEMPLATES, phrases=PHRASES,
-                  rare: int = RARE, agree: float = AGREE) -> DataFrame:
+                  agree: float = AGREE) -> DataFrame:
     """One row per document: ``id``, ``n_words``, ``places`` array<struct<start, label>> of all phrases in order,
     ``templates`` array<struct<label, share>> of templates met, with their share of words in place.
 
     IDF comes from all documents: one pass counts the licence words, whose number the templates bound; the
     index is as small as the templates and goes along with the tasks.  Every place of every phrase is found: a place
-    holds the phrase's rarest word.  ``rare`` limits how many different words propose template alignments.
+    holds the phrase's rarest word; and every alignment of every template with ``agree`` of its words in place.
 
     Null and empty texts have no words; repeated rows and null ids are judged each on their own; an empty
     table gives an empty one.  Other columns are not read.
     """
-    index = build_index(*word_counts(docs, vocabulary(templates, phrases), text_column), templates, phrases)
+    index = build_index(*word_counts(docs, vocabulary(templates, phrases), text_column), templates, phrases, agree)
 
     @F.pandas_udf(RESULT)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([scan(t, index, rare, agree) for t in batch], columns=["n_words", "places", "templates"])
+            yield pd.DataFrame([scan(t, index) for t in batch], columns=["n_words", "places", "templates"])
 
     return docs.select(F.col(id_column).alias("id"), found(F.col(text_column)).alias("f")).select(
         "id", "f.n_words", "f.places", "f.templates")

@@ -95,16 +95,17 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     packed = docs.select(F.struct("*").alias("doc")).select("doc", *(k.alias(f"k{i}") for i, k in enumerate(key)))
     found = find_secrets(packed.select(F.struct("k0", "k1", "k2").alias("key"), F.col("doc")[text_column].alias("text")), "key", "text")
     found = found.where(F.size("spans") > 0).groupBy("id").agg(F.first("spans").alias("spans")).select(
-        *(F.col("id")[f"k{i}"].alias(f"f{i}") for i in range(3)), "spans")
+        *(F.col("id")[f"k{i}"].alias(f"f{i}") for i in range(3)),
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     found = checkpointed(found)
-    found = F.broadcast(found) if fits(found, F.size("spans") * 128 + 128) else found
+    found = F.broadcast(found) if fits(found, F.size("spans") * 64 + 128) else found
     text = F.col("doc")[text_column]
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
     def add(done: Column, span: Column) -> Column:
         """Text up to the span and the mark; a span that begins inside the last one only lengthens it."""
         apart = F.concat(done["text"], F.substring(text, done["at"] + 1, span["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.when((span["start"] >= done["at"]) | (done["at"] == 0), apart).otherwise(done["text"]).alias("text"),
+        return F.struct(F.when(span["start"] >= done["at"], apart).otherwise(done["text"]).alias("text"),
                         F.greatest(done["at"], span["end"]).alias("at"))
     redacted = F.aggregate("spans", start, add, lambda done: F.concat(
         done["text"], F.substring(text, done["at"] + 1, F.length(text))))

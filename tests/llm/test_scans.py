@@ -143,18 +143,19 @@ def test_licence_templates_agree_with_all_alignments():
     index = licenses.build_index(10, {"the": 9, "to": 9})
     for label, template, keys in licenses.TEMPLATES:
         ws = template.split()
-        for text in (template, "so " + template + " end", " ".join(ws[:1] + ["odd"] + ws[2:]), " ".join(ws[:len(ws) // 2])):
+        everything = " ".join(t for _, t, _ in licenses.TEMPLATES)
+        for text in (template, everything, "so " + template + " end", " ".join(w if i % 4 else "odd" for i, w in enumerate(ws)), " ".join(ws[:1] + ["odd"] + ws[2:]), " ".join(ws[:len(ws) // 2])):
             got = {t["label"]: t["share"] for t in licenses.scan(text, index)["templates"]}
             tw = text.split()
             best = {}
             for other, t2, k2 in licenses.TEMPLATES:
                 t2 = t2.split()
                 for begin in range(-len(t2) + 1, len(tw)):
-                    share = sum(0 <= begin + i < len(tw) and tw[begin + i] == w for i, w in enumerate(t2)) / len(t2)
+                    standing = sum(0 <= begin + i < len(tw) and tw[begin + i] == w for i, w in enumerate(t2))
                     hold = all(any(begin + i >= 0 and tw[begin + i:begin + i + len(k.split())] == k.split() for i in range(len(t2))
                                    if t2[i:i + len(k.split())] == k.split()) for k in k2)
-                    if share >= licenses.AGREE and hold:
-                        best[other] = max(best.get(other, 0), share)
+                    if standing >= licenses.needed(len(t2)) and hold:
+                        best[other] = max(best.get(other, 0), standing / len(t2))
             assert got == best, (label, text)
 
 
