@@ -35,10 +35,8 @@ def page_lookup(spark, sf):
 @query("section_lookup", f"""WITH {FLAT_SQL} SELECT chunk_id, section_hierarchy, starts_with(section_hierarchy, '2|2.2') AS by_prefix,
   contains('|' || section_hierarchy || '|', '|2.2|') AS by_element FROM flat WHERE starts_with(section_hierarchy, '2|2.2')""")
 def section_lookup(spark, sf):
-    flat = flat_notes(spark, sf)
-    exact = L.in_section(flat, "2.2").select("chunk_id", F.lit(True).alias("e"))
-    return (L.in_section(flat, "2|2.2", exact=False).join(exact, "chunk_id", "left")
-            .select("chunk_id", "section_hierarchy", F.lit(True).alias("by_prefix"), F.coalesce("e", F.lit(False)).alias("by_element")))
+    return L.in_section(flat_notes(spark, sf), "2|2.2", exact=False).select(
+        "chunk_id", "section_hierarchy", F.lit(True).alias("by_prefix"), L.section_hit("2.2").alias("by_element"))
 
 
 WANTED_SECTIONS = """wanted AS (SELECT DISTINCT (o_orderkey % 5) || '.' || (o_custkey % 7) AS section_number FROM orders)"""

@@ -21,16 +21,20 @@ def on_pages(chunks: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ()) -
     return join_checked(covered, wanted.select(*keys, "page").distinct(), [*keys, "page"]).withColumn("score", F.lit(1.0))
 
 
-def in_section(chunks: DataFrame, number: str | Column, exact: bool = True) -> DataFrame:
-    """Chunks of a section of the flat table.
+def section_hit(number: str | Column, exact: bool = True) -> Column:
+    """Whether a row of the flat table is of the section.
 
     ``exact`` matches an element of the hierarchy; otherwise the hierarchy string has
     to start with the prefix, which Parquet can filter on.
     """
     number = F.lit(number) if isinstance(number, str) else number
-    hit = (F.contains(F.concat(F.lit("|"), "section_hierarchy", F.lit("|")), F.concat(F.lit("|"), number, F.lit("|")))
-           if exact else F.col("section_hierarchy").startswith(number))
-    return chunks.where(hit).withColumn("score", F.lit(1.0))
+    return (F.contains(F.concat(F.lit("|"), "section_hierarchy", F.lit("|")), F.concat(F.lit("|"), number, F.lit("|")))
+            if exact else F.col("section_hierarchy").startswith(number))
+
+
+def in_section(chunks: DataFrame, number: str | Column, exact: bool = True) -> DataFrame:
+    """Chunks of a section of the flat table."""
+    return chunks.where(section_hit(number, exact)).withColumn("score", F.lit(1.0))
 
 
 def sections_of(chunks: DataFrame, wanted: DataFrame, k: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck():
 
 def plain(df):
     def text(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     df = df[sorted(df.columns)]
