@@ -59,7 +59,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     if in_window is None:
         in_window = windows.select("win", "ws", F.lit(0).alias("off"), F.lit(0).cast("long").alias("shingle")).limit(0)
     in_window = checkpointed(in_window)
-    vocabulary = in_window.select("shingle").distinct()
+    # written, as are the other small sides: a join of two written tables can split a key that very many rows have
+    vocabulary = checkpointed(in_window.select("shingle").distinct())
+    owners = checkpointed(owners)
 
     tokens = docs.select(*key, words(F.col("text")).alias("w"))
     each = F.array(*(F.coalesce(_shingles("w", s), F.expr("cast(array() as array<bigint>)")) for s in sizes)) if sizes else \
@@ -91,7 +93,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     checked = checkpointed(checked.select(*key, F.transform(occurs, lambda c: F.struct(
         c["start"].alias("start"), F.size(c["ws"]).alias("size"), c["win"].alias("win"))).alias("found")).where(F.size("found") > 0))
     positions = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))))
-    names = checked.select(*key, F.explode(F.array_distinct(F.transform("found", lambda c: c["win"]))).alias("win")).join(owners, "win")
+    names = checked.select(*key, F.explode(F.array_distinct(F.transform("found", lambda c: c["win"]))).alias("win")).join(
+        F.broadcast(owners) if fits(owners, F.octet_length("win") + 64) else owners, "win")
     names = names.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     names = names.select(*(F.col(k).alias(f"i_{k}") for k in key), "items")
     hits = checked.select(*key, positions.alias("hit_positions")).join(

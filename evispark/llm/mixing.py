@@ -83,8 +83,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     Sums run over the documents of a block, the blocks of a super-block (about the root of a source's blocks) and its
     super-blocks, so no task gets a whole source.  Null texts have no tokens, null sources are a
-    source of their own, null ids and repeated rows are dealt like others; an empty table gives an
-    empty one.  Other columns are not read.
+    source of their own, null ids and repeated rows (the same id and text: one block) are dealt like others; an
+    empty table gives an empty one.  Other columns are not read.
     """
     source = F.col(source_column).cast("string")
     text = F.coalesce(F.col(text_column), F.lit(""))
