@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +21,13 @@ class Settings:
     """Words are hashed to ``buckets``; the ``classes ** 2 - shared`` most frequent buckets of the corpus are tokens of their
     own, the others share ``shared`` tokens.  The network sees ``span`` tokens on each side through ``width`` hidden
     units and predicts a token's class (its rank's block of ``classes``), then the token within the class.
-    Each training round masks ``masked`` of all tokens of all documents."""
+    Each of the ``rounds`` of training masks another fold of the tokens of all documents; together they mask every token once."""
     buckets: int = 1 << 16
     classes: int = 32
     shared: int = 32
     span: int = 2
     width: int = 16
     rounds: int = 2
-    masked: float = 0.15
     rate: float = 0.15
     batch: int = 2048
     chunks: int = 64
@@ -150,14 +150,22 @@ def train_step(tokens: np.ndarray, around: np.ndarray, flat: np.ndarray, squares
         move(0, np.add.reduceat(back[order], starts, axis=0), (k, ids[starts]))
 
 
-def _train_round(docs: DataFrame, token: np.ndarray, flat: np.ndarray, s: Settings) -> np.ndarray:
+def fold(found: list[np.ndarray], turn: int, s: Settings) -> np.ndarray:
+    """Places, over the documents' buckets in a row, that a round masks: every ``rounds``-th of each document, wherever it is."""
+    folds = [(np.arange(len(b)) + int(b.sum())) % s.rounds for b in found]
+    return np.flatnonzero(np.concatenate(folds) == turn) if folds else np.zeros(0, int)
+
+
+def _train_round(docs: DataFrame, token: np.ndarray, flat: np.ndarray, s: Settings, turn: int) -> np.ndarray:
     """Every task trains its own copy on all its documents; the copies are averaged by their masked tokens, in chunks
     that Spark brings together, each a running sum of fixed size."""
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, squares, rng, weight = flat.copy(), np.zeros_like(flat), np.random.default_rng(s.seed), 0
+        rng = np.random.default_rng([s.seed, turn, TaskContext.get().partitionId()])
+        own, squares, weight = flat.copy(), np.zeros_like(flat), 0
         for batch in batches:
-            tokens, around = contexts([token[buckets_of(t, s)] for t in batch["text"]], s)
-            at = rng.permutation(np.flatnonzero(rng.random(len(tokens)) < s.masked))
+            found = [buckets_of(t, s) for t in batch["text"]]
+            tokens, around = contexts([token[b] for b in found], s)
+            at = rng.permutation(fold(found, turn, s))
             for begin in range(0, len(at), s.batch):
                 part = at[begin:begin + s.batch]
                 train_step(tokens[part], around[part], own, squares, s)
@@ -185,8 +193,8 @@ def train(docs: DataFrame, s: Settings = Settings(), text_column: str = "text")
     """Vocabulary and network of all documents."""
     docs = docs.select(F.col(text_column).alias("text")).where("text is not null")
     token, flat = vocabulary(docs, s), initial(s)
-    for _ in range(s.rounds):
-        flat = _train_round(docs, token, flat, s)
+    for turn in range(s.rounds):
+        flat = _train_round(docs, token, flat, s, turn)
     return token, flat
 
 
