@@ -102,4 +102,5 @@ def op6_licenses(spark, sf_dir):
 @query("op8_language_model")
 def op8_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs)).withColumnRenamed("id", "doc_id")
+    model = lm.train(docs)
+    return lm.score(docs, model, rare=lm.rare_words(docs, model[0])).withColumnRenamed("id", "doc_id")

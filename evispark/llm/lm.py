@@ -8,11 +8,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xxhash import xxh64_intdigest
+
+from ..session import checkpointed
 from .common import word_blocks
 
 
@@ -21,7 +25,8 @@ class Settings:
     """Words are hashed to ``buckets``; the ``classes ** 2 - shared`` most frequent buckets of the corpus are tokens of their
     own, the others share ``shared`` tokens.  The network sees ``span`` tokens on each side through ``width`` hidden
     units and predicts a token's class (its rank's block of ``classes``), then the token within the class.
-    Each of the ``rounds`` of training masks another fold of the tokens of all documents; together they mask every token once."""
+    Each of the ``rounds`` of training masks another fold of the tokens of all documents; together they mask every token once.
+    Words that share a token are told apart by their own counts (``rare_words``)."""
     buckets: int = 1 << 16
     classes: int = 32
     shared: int = 32
@@ -198,6 +203,46 @@ def train(docs: DataFrame, s: Settings = Settings(), text_column: str = "text")
     return token, flat
 
 
+def _rare(text: str | None, token: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a text that share a token: hash (the whole word's), token and how often it stands there."""
+    found = []
+    for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
+        at = token[np.fromiter(map(crc32, block), np.uint32, len(block)) % np.uint32(s.buckets)]
+        found += [(xxh64_intdigest(block[i]), at[i]) for i in np.flatnonzero(at >= s.tokens - s.shared)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    words, first, n = np.unique(np.array([w for w, _ in found], np.uint64), return_index=True, return_counts=True)
+    return words.view(np.int64), np.array([t for _, t in found], np.int32)[first], n
+
+
+def _rare_of(docs: DataFrame, token: np.ndarray, s: Settings) -> DataFrame:
+    """``row``, ``text`` -> ``row``, ``word``, ``token``, ``n``."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                rows = [_rare(t.as_py(), token, s) for t in part.column("text")]
+                ids = np.repeat(part.column("row").to_numpy(), [len(w) for w, _, _ in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(np.concatenate(x)) for x in zip(*rows)], ["row", "word", "token", "n"])
+    return docs.select("row", "text").mapInArrow(listed, "row long, word long, token int, n long")
+
+
+def rare_words(docs: DataFrame, token: np.ndarray, s: Settings = Settings(), text_column: str = "text") -> DataFrame:
+    """How often all documents have each word that shares a token: ``word``, ``token``, ``n``, a table that grows with the corpus."""
+    texts = docs.select(F.lit(0).cast("long").alias("row"), F.col(text_column).alias("text"))
+    return checkpointed(_rare_of(texts, token, s).groupBy("word", "token").agg(F.sum("n").alias("n")))
+
+
+def _within(docs: DataFrame, rare: DataFrame, token: np.ndarray, s: Settings) -> DataFrame:
+    """``row``, ``within``: log-probabilities of the row's rare words within their tokens.  Every word counts half a time more
+    than it was seen, and so do all unseen ones together."""
+    total = F.broadcast(rare.groupBy("token").agg((F.sum("n") + (F.count(F.lit(1)) + 1) / 2).alias("all")))   # at most ``shared`` rows
+    known = rare.select("word", "token", F.col("n").alias("seen"))
+    own = _rare_of(docs, token, s).join(known, ["word", "token"], "left").join(total, "token", "left")
+    log = F.log((F.coalesce("seen", F.lit(0)) + 0.5) / F.coalesce("all", F.lit(0.5)))
+    return own.groupBy("row").agg(F.sum(F.col("n") * log).alias("within"))
+
+
 def score_texts(texts: pd.Series, token: np.ndarray, flat: np.ndarray, s: Settings) -> pd.DataFrame:
     documents = [token[buckets_of(t, s)] for t in texts]
     sizes = np.array([len(d) for d in documents])
@@ -210,13 +255,14 @@ def score_texts(texts: pd.Series, token: np.ndarray, flat: np.ndarray, s: Settin
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings(), id_column: str = "doc_id",
-          text_column: str = "text") -> DataFrame:
+          text_column: str = "text", rare: DataFrame | None = None) -> DataFrame:
     """One row per document: ``id``, ``n_tokens``, ``log_prob`` (sum of each token's log-probability given both sides),
     ``score`` (their mean; higher is more like the corpus).
 
     Null, empty and blank texts have no tokens, a sum of zero and a null score; repeated rows and null ids are
     scored each on their own; an empty table gives an empty one.  Other columns are not read.  The network depends
-    on how the rows are split into tasks, as its copies are trained apart and averaged.
+    on how the rows are split into tasks, as its copies are trained apart and averaged.  With ``rare`` (of ``rare_words``)
+    a word that shares a token also counts by its probability among the words of that token.
     """
     token, flat = model
 
@@ -226,5 +272,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = S
         for batch in texts:
             yield score_texts(batch, token, flat, s)
 
-    return docs.select(F.col(id_column).alias("id"), scored(F.col(text_column)).alias("s")).select(
-        "id", "s.n_tokens", "s.log_prob", "s.score")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    if rare is None:
+        return texts.select("id", scored("text").alias("s")).select("id", "s.n_tokens", "s.log_prob", "s.score")
+    texts = checkpointed(texts.withColumn("row", F.monotonically_increasing_id()))   # rows keep their numbers
+    within = _within(texts, rare, token, s)
+    each = texts.select("id", "row", scored("text").alias("s")).join(within, "row", "left")
+    total = F.col("s.log_prob") + F.coalesce("within", F.lit(0.0))
+    return each.select("id", "s.n_tokens", F.round(total, 4).alias("log_prob"),
+                       F.when(F.col("s.n_tokens") > 0, F.round(total / F.col("s.n_tokens"), 6)).alias("score"))
