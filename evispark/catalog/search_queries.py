@@ -116,10 +116,14 @@ def topk_routed(spark, sf):
     return S.top_k(*vectors(spark, sf), k=5, routed=True)
 
 
+#: Of the approximate search and of the check of its recall.
+ANN = {"bands": 26, "bits": 5}
+
+
 @query("ann_bucketed")
 def ann_bucketed(spark, sf):
     """Approximate neighbours by shared hyperplane signatures."""
-    return S.approximate_top_k(*vectors(spark, sf), k=5)
+    return S.approximate_top_k(*vectors(spark, sf), k=5, **ANN)
 
 
 @query("vector_norms", """SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm,

@@ -15,7 +15,7 @@ from ..sources import chunk_files
 from ..sources.collection import Collection, read_or_build
 from . import query
 from .derived import table
-from .search_queries import vectors
+from .search_queries import ANN, vectors
 from .text_queries import FLAT_SQL, flat_notes
 
 
@@ -126,7 +126,7 @@ def read_or_build_steps(spark, sf):
 def ann_recall(spark, sf):
     """Approximate neighbours: each score is the exact cosine, each query has five, and nine in ten of the exact ones are found."""
     q, c = vectors(spark, sf)
-    found = checkpointed(S.approximate_top_k(q, c, k=5, bands=24, bits=4))
+    found = checkpointed(S.approximate_top_k(q, c, k=5, **ANN))
     exact = S.top_k(q, c, k=5)
     sides = found.join(q.select("query_id", F.col("embedding").alias("qv")), "query_id").join(
         c.select("chunk_id", F.col("embedding").alias("cv")), "chunk_id")
