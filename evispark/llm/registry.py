@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import corpus_queries, dedup_queries, scan_queries  # noqa: F401
+    from . import corpus_queries, dedup_queries, scan_queries, sequence_queries  # noqa: F401
