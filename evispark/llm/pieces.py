@@ -1,18 +1,19 @@
 """SentencePiece BPE encoding that keeps offsets, and decoding.
 
 Normalisation takes, at every place of a text, the longest prefix that the model's compiled character map holds, and
-notes for each byte of the normal form where in the text it came from.  Pieces are merged inside segments that begin
-with a run of space marks: no piece of the model goes on behind a mark that stands after another character, so merges
-never leave a segment, and each distinct segment is merged once per task.  A piece's span of bytes follows from the alignment.
+notes for each byte of the normal form where in the text it came from.  Pieces are merged inside segments that begin with a
+run of space marks, or with a sign that no piece has behind a letter: no piece of the model reaches over such a border, so
+merges never leave a segment, and a segment met again is remembered.  A piece's span of bytes follows from the alignment.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import struct
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 SPACE, REPLACED = "▁", "�"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-#: Segments up to this length are remembered, at most so many at once.
-REMEMBERED_LENGTH, REMEMBERED = 48, 1 << 17
+#: Segments up to so many characters are merged in a list and remembered, at most so many of them at once.
+SHORT, REMEMBERED = 32, 1 << 18
 
 
 class CharacterMap:
@@ -103,7 +104,14 @@ class Model:
         self.end = self.ids.get(trained.eos_piece or "</s>", -1)
         self.shown = [{CONTROL: "", UNKNOWN: trained.unk_surface}.get(k, p.replace(SPACE, " ")) for p, k in zip(self.pieces, self.kinds)]
         self.bytes = {i: int(p[1:-1], 16) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        self.known: dict[str, tuple[tuple, tuple]] = {}
+        self.numbers = {m: {p: (struct.pack("=i", self.ids[p]), struct.pack("=i", len(p.encode()) - (len(SPACE.encode()) - m) * p.count(SPACE)))
+                            for p in self.scores} for m in (1, len(SPACE.encode()))}
+        self.lowest = min(self.scores.values(), default=0.0) - 1
+        self.known: dict[int, dict[str, tuple[bytes, bytes]]] = {1: {}, len(SPACE.encode()): {}}
+        # Signs that no piece has behind a letter begin a segment there, as space marks do everywhere: no merge crosses.
+        after = {p[k + 1] for p in self.scores for k in range(len(p) - 1) if p[k].isalpha()}
+        signs = re.escape("".join(c for c in string.punctuation + "\n" if c not in after))
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}][^{SPACE}{signs}]*(?:(?<![^\\W\\d_])[{signs}][^{SPACE}{signs}]*)*|{SPACE}+")
 
     # -- normal form ---------------------------------------------------------------------------------------------------
 
@@ -142,13 +150,48 @@ class Model:
 
     # -- pieces --------------------------------------------------------------------------------------------------------
 
-    def merged(self, segment: str) -> tuple[tuple, tuple]:
-        """Ids of a segment's pieces, and the bytes of the segment that each covers."""
-        known = self.known.get(segment)
+    def merged(self, segment: str, mark: int = len(SPACE.encode())) -> tuple[bytes, bytes]:
+        """Ids of a segment's pieces, and how many bytes each covers if a space mark has ``mark`` bytes; both as 32-bit numbers."""
+        known = self.known[mark].get(segment)
         if known is not None:
             return known
-        chars, scores, heap = list(segment), self.scores, []
-        n = len(chars)
+        parts = self._short(list(segment)) if len(segment) <= SHORT else self._long(list(segment))
+        numbers = self.numbers[mark]
+        found = [numbers.get(p) or self._foreign(p, mark) for p in parts]
+        joined = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        if len(segment) <= SHORT:
+            if len(self.known[mark]) >= REMEMBERED:
+                self.known[mark].clear()
+            self.known[mark][segment] = joined
+        return joined
+
+    def _foreign(self, char: str, mark: int) -> tuple[bytes, bytes]:
+        """A character of no piece: its bytes, of which the last covers it, or one unknown id."""
+        data = char.encode("utf-8", "surrogatepass")
+        size = mark if char == SPACE else len(data)
+        ids, sizes = ([self.fallback[b] for b in data], [0] * (len(data) - 1) + [size]) if self.fallback else ([self.unknown], [size])
+        return array("i", ids).tobytes(), array("i", sizes).tobytes()
+
+    def _short(self, parts: list[str]) -> list[str]:
+        """Merges of few characters: the scores of all neighbours stand in a list, the best goes first, the leftmost of equals."""
+        get, none = self.scores.get, self.lowest
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            k = pairs.index(best)
+            parts[k] += parts.pop(k + 1)
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+        return parts
+
+    def _long(self, chars: list[str]) -> list[str]:
+        """The same by a heap, in n log n steps."""
+        scores, heap, n = self.scores, [], len(chars)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
 
         def offer(left: int, right: int) -> None:
@@ -158,7 +201,7 @@ class Model:
                 heappush(heap, (-score, left, right, both))
         for k in range(n - 1):
             offer(k, k + 1)
-        while heap:                               # the best pair first, the leftmost of equals
+        while heap:
             _, left, right, both = heappop(heap)
             if not chars[left] or not chars[right] or chars[left] + chars[right] != both:
                 continue
@@ -169,26 +212,7 @@ class Model:
                 offer(left, after[right])
             if before[left] >= 0:
                 offer(before[left], left)
-        ids, sizes = [], []
-        for piece in chars:
-            if not piece:
-                continue
-            data = piece.encode("utf-8", "surrogatepass")
-            if piece in scores:
-                ids.append(self.ids[piece])
-                sizes.append(len(data))
-            elif self.fallback:                   # all but the last byte piece cover nothing
-                ids.extend(self.fallback[b] for b in data)
-                sizes.extend([0] * (len(data) - 1) + [len(data)])
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(data))
-        found = tuple(ids), tuple(sizes)
-        if n <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[segment] = found
-        return found
+        return [c for c in chars if c]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and per id the first byte and the end of its span in the text; without control ids."""
@@ -199,17 +223,13 @@ class Model:
             form, align = self.normal(text)
         if not text or not form:
             return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        found = [self.merged(s) for s in SEGMENT.findall(form)]
-        ids = np.fromiter(chain.from_iterable(f[0] for f in found), np.int32)
-        edges = np.append(0, np.cumsum(np.fromiter(chain.from_iterable(f[1] for f in found), np.int64)))
-        if plain:
-            # A mark has three bytes where the text has one space, the added one none.
-            marks = np.frombuffer(form.encode("utf-8", "surrogatepass"), np.uint8)
-            first = (marks[:-2] == 0xE2) & (marks[1:-1] == 0x96) & (marks[2:] == 0x81) if len(marks) > 2 else np.zeros(0, bool)
-            at = np.flatnonzero(first)
-            edges = edges - 2 * np.searchsorted(at, edges, "left") - (edges > 0 if self.prefix else 0)
-        else:
-            edges = align[edges]
+        mark = 1 if plain else len(SPACE.encode())
+        known, merged = self.known[mark].get, self.merged
+        found = [known(s) or merged(s, mark) for s in self.segment.findall(form)]
+        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+        edges = np.append(0, np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.int32), dtype=np.int64))
+        # In the plain case a mark stands for one space, the added one for nothing.
+        edges = np.maximum(edges - self.prefix, 0) if plain else align[edges]
         if self.fallback is None and len(ids):    # neighbouring unknown pieces are one
             keep = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
             return ids[keep], edges[:-1][keep].astype(np.int32), np.append(edges[:-1][keep][1:], edges[-1]).astype(np.int32)
@@ -243,9 +263,6 @@ class Model:
         return "".join(out)
 
 
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
 def _valid(data: bytearray) -> str:
     """Bytes as UTF-8; each byte that is part of no character becomes a replacement."""
     try:
@@ -267,8 +284,10 @@ def _valid(data: bytearray) -> str:
     return "".join(out)
 
 
-def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", end: bool = True) -> DataFrame:
-    """Per document ``id``, ``ids``, ``begins`` and ``ends`` (bytes of the text that each piece covers, end exclusive).
+def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", end: bool = True,
+           decoded: bool = False) -> DataFrame:
+    """Per document ``id``, ``ids``, ``begins`` and ``ends`` (bytes of the text that each piece covers, end exclusive); with
+    ``decoded`` also the text that the ids give back.
 
     ``model_file`` is a path that the driver can read; the model (half a megabyte, a fixed size) goes to the tasks with the
     function.  With ``end`` the model's end id follows, over no bytes.  A character of no piece becomes its bytes, of which the last
@@ -283,7 +302,7 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_col
         last = [np.array([model.end], np.int32)] if end else []
         for batch in batches:
             for part in _slices(batch):
-                ids, begins, ends, sizes = [], [], [], [0]
+                ids, begins, ends, sizes, back = [], [], [], [0], []
                 for text in part.column("text").to_pylist():
                     a, b, e = model.encode(text or "")
                     over = [np.array([len((text or "").encode("utf-8", "surrogatepass"))], np.int32)] if end else []
@@ -291,13 +310,16 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_col
                     begins += [b, *over]
                     ends += [e, *over]
                     sizes.append(len(a) + len(last))
+                    if decoded:
+                        back.append(model.decode(a.tolist() + [model.end] * end))
                 offsets = pa.array(np.cumsum(sizes).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (ids, begins, ends))],
-                    ["id", "ids", "begins", "ends"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (ids, begins, ends)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *lists, *([pa.array(back, pa.string())] if decoded else [])],
+                                                 ["id", "ids", "begins", "ends", *["decoded"] * decoded])
 
     numbers = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *(T.StructField(c, numbers) for c in ("ids", "begins", "ends"))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *(T.StructField(c, numbers) for c in ("ids", "begins", "ends")),
+                           *[T.StructField("decoded", T.StringType())] * decoded])
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(work, schema)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -18,7 +19,7 @@ TEXTS = ["", " ", "  ", "Hello", "  Hello   wörld ½ ﬁ \t x\n\ny 你好😀 "
 
 def random_texts(n=300, seed=4):
     rng = random.Random(seed)
-    alphabet = list("abcdefghij      \n\t▁éß½ﬁǺ　你😀0123.,-<>") + ["the ", "ing", "  ", "tion"]
+    alphabet = list("abcdefghij      \n\t▁éß½ﬁǺ　你😀0123.,-<>'_;!") + ["the ", "ing", "  ", "tion"]
     return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(n)]
 
 
@@ -68,10 +69,7 @@ def test_fast_way_is_the_general_way():
             continue
         fast = [x.tolist() for x in model.encode(text)]
         form, align = model.normal(text)
-        edges = [0]
-        for s in pieces.SEGMENT.findall(form):
-            for size in model.merged(s)[1]:
-                edges.append(edges[-1] + size)
+        edges = np.append(0, np.cumsum(np.frombuffer(b"".join(model.merged(s)[1] for s in model.segment.findall(form)), np.int32)))
         assert fast[1] == align[edges[:-1]].tolist() and fast[2] == align[edges[1:]].tolist()
 
 
@@ -84,6 +82,13 @@ def test_decode_any_ids():
         assert model.decode(ids) == theirs.decode(ids), ids
 
 
+def test_lists_and_heaps_agree():
+    model = pieces.Model(open(FILE, "rb").read())
+    for text in random_texts(400, 12):
+        assert model._short(list(text)) == model._long(list(text))
+        assert "".join(model.segment.findall(text)) == text
+
+
 def test_unsuitable_models():
     proto = sentencepiece_model_pb2.ModelProto.FromString(open(FILE, "rb").read())
     proto.trainer_spec.model_type = 1
@@ -95,7 +100,7 @@ def test_frames(spark):
     theirs = sentencepiece.SentencePieceProcessor(model_file=FILE)
     rows = [(None, None, 1)] + [(i % 40, t, 2) for i, t in enumerate(TEXTS + random_texts(60))] + [(7, "long words " * 60_000, 3)]
     docs = spark.createDataFrame(rows, "key long, body string, ids int")
-    out = pieces.encode(docs, FILE, "key", "body")
+    out = pieces.encode(docs, FILE, "key", "body", decoded=True)
     got = sorted((str(r["id"]), tuple(r["ids"]), tuple(r["begins"])) for r in out.collect())
     want = []
     for key, text, _ in rows:
@@ -104,6 +109,7 @@ def test_frames(spark):
     assert got == sorted(want)
     decode = pieces.decoder(FILE)
     assert sorted(r[0] for r in out.select(decode(out["ids"])).collect()) == sorted((t or "").replace(pieces.SPACE, " ") for _, t, _ in rows)
+    assert sorted(r["decoded"] for r in out.collect()) == sorted((t or "").replace(pieces.SPACE, " ") for _, t, _ in rows)
     assert [list(r["ids"]) for r in pieces.encode(docs.where("key is null"), FILE, "key", "body", end=False).collect()] == [[]]
     assert pieces.encode(docs.limit(0), FILE, "key", "body").collect() == []
 
