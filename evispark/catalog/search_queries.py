@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import query_text
 from ..functions import vectors as V
 from ..functions.predicates import clinical_filter, compile_filter
-from ..operators import embedding, retrieval
+from ..operators import embedding, keywords, retrieval
 from ..operators import search as S
 from ..operators.sizes import spread
 from . import query
@@ -217,6 +217,38 @@ def retrieve_texts(spark, sf):
     return retrieved(spark, sf).select("query_id", "rank", "chunk_id", "score", "total_candidates")
 
 
+_TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+KEYWORD_CTE = f"""ct AS (SELECT chunk_id, {_TERMS.format("coalesce(text, '')")} AS w FROM flat),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM ct),
+tf AS (SELECT term, chunk_id, len(w) AS length, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM ct) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+imp AS (SELECT term, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS impact FROM tf JOIN df USING (term), size),
+qt AS (SELECT DISTINCT query_id, unnest({_TERMS.format("query")}) AS term FROM asked),
+""" + ranked_sql("kw", "SELECT query_id, chunk_id, round(sum(impact), 6) AS score FROM qt JOIN imp USING (term) GROUP BY ALL", 10)
+ASKED_CTE = f"asked AS (SELECT query_id, {sql_expand('query')} AS query FROM (SELECT item_id AS query_id, {BENCH_TEXT} AS query FROM benchmark))"
+
+
+def keyword_index(spark, sf):
+    return keywords.build_index(flat_notes(spark, sf).select("chunk_id", "text"))
+
+
+@query("keyword_search", f"WITH {FLAT_SQL}, {ASKED_CTE}, {KEYWORD_CTE} SELECT query_id, rank, chunk_id, score FROM kw")
+def keyword_search(spark, sf):
+    """BM25 over all chunks for every expanded question."""
+    asked = bench_queries(spark, sf).select("query_id", query_text.expand_query(F.col("query")).alias("query"))
+    return keywords.keyword_search(asked, keyword_index(spark, sf), 10)
+
+
+@query("retrieve_hybrid", f"WITH {RETRIEVE_CTE}, {ASKED_CTE}, {KEYWORD_CTE}, sem AS (SELECT * FROM wide WHERE score >= 0.2), "
+       + ranked_sql("fused", """SELECT query_id, chunk_id, round(coalesce(1 / (60 + s.rank), 0) + coalesce(1 / (60 + k.rank), 0), 9) AS score,
+         count(*) OVER (PARTITION BY query_id) AS total_candidates, s.rank AS semantic_rank, k.rank AS keyword_rank
+         FROM (SELECT query_id, chunk_id, rank FROM sem) s FULL JOIN (SELECT query_id, chunk_id, rank FROM kw) k USING (query_id, chunk_id)""", 5)
+       + " SELECT query_id, rank, chunk_id, score, total_candidates, semantic_rank, keyword_rank FROM fused")
+def retrieve_hybrid(spark, sf):
+    """Vector and keyword hits of the expanded questions, fused by rank."""
+    return retrieval.retrieve_hybrid(bench_queries(spark, sf), search_chunks(spark, sf), keyword_index(spark, sf), embed, 5, threshold=0.2)
+
+
 PATIENT_QUERY_CTE = (f"{CHUNK_VECTORS_SQL}, {PATIENTS_SQL}, q AS (SELECT patient_id AS query_id, patient_id % 5 = 0 AS urgent_only, cancer, "
                      f"{sql_vector(sql_patient_query('presenting_complaint', 'age', 'symptoms', 'cancer'), DIM)} AS e FROM patients)")
 

@@ -11,14 +11,34 @@ from ..functions.tagging import parse_tag_field
 from .sizes import join_checked
 
 
-def on_pages(chunks: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _range_nodes(first: Column, last: Column) -> Column:
+    """The fewest dyadic nodes (level, number) that cover a range of whole numbers: at most two of each level."""
+    def of(level: Column) -> Column:
+        size = F.lit(1).cast("long") * F.pow(F.lit(2.0), level).cast("long")
+        low, high = F.ceil(first / size), F.floor((last + 1) / size)
+        return F.array_compact(F.array(
+            F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), F.struct(level.alias("level"), low.cast("long").alias("node"))),
+            F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), F.struct(level.alias("level"), (high - 1).cast("long").alias("node")))))
+    top = F.floor(F.log2((last - first + 1).cast("double"))).cast("int")
+    return F.when(first <= last, F.flatten(F.transform(F.sequence(F.lit(0), top), of)))
+
+
+def _ancestors(page: Column, levels: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(
+        level.alias("level"), F.floor(page / F.pow(F.lit(2.0), level)).cast("long").alias("node")))
+
+
+def on_pages(chunks: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = (), levels: int = 31) -> DataFrame:
     """Chunks covering the wanted ``page`` (per document, with ``keys``).
 
-    The range condition becomes an equi-join: a chunk covers few pages, so it is
-    exploded to them.  Score is 1.0, as this is not a similarity search.
+    The range condition becomes an equi-join: a chunk's range of n pages is cut into at most 2 log n dyadic nodes, a wanted page
+    stands for the nodes above it, and they share exactly one if the chunk covers the page.  Ranges without an end, or that end
+    before they begin, cover nothing.  Score is 1.0, as this is not a similarity search.
     """
-    covered = chunks.withColumn("page", F.explode(F.sequence("page_start", "page_end")))
-    return join_checked(covered, wanted.select(*keys, "page").distinct(), [*keys, "page"]).withColumn("score", F.lit(1.0))
+    at = ["_level", "_number"]
+    covered = chunks.select("*", F.inline(_range_nodes(F.col("page_start"), F.col("page_end"))).alias(*at))
+    asked = wanted.select(*keys, "page").distinct().select("*", F.inline(_ancestors(F.col("page"), levels)).alias(*at))
+    return join_checked(covered, asked, [*keys, *at]).drop(*at).withColumn("score", F.lit(1.0))
 
 
 def section_hit(number: str | Column, exact: bool = True) -> Column:

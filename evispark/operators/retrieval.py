@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import query_text
 from ..session import checkpointed
+from .keywords import KeywordIndex, fuse, keyword_search
 from .lookups import with_citations
 from .search import Names, rank_hits, top_k
 from .sizes import join_checked
@@ -44,6 +45,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed
     return finish(hits, k, threshold)
 
 
+def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, index: KeywordIndex, embed: Embed, k: int = fixed.DEFAULT_TOP_K,
+                    expand: bool = True, threshold: float = fixed.SIMILARITY_THRESHOLD, names: Names = Names()) -> DataFrame:
+    """Vector and keyword hits of the same text, 2k of each, fused by their ranks; the threshold holds for vector hits.
+
+    Returns ``query_id, rank, chunk_id, score, total_candidates, semantic_rank, keyword_rank``.
+    """
+    text = query_text.expand_query(F.col("query")) if expand else F.col("query")
+    asked = checkpointed(queries.select("query_id", text.alias("query")))
+    near = top_k(asked.select("query_id", embed(F.col("query")).alias("embedding")), chunks, 2 * k, min_score=threshold, names=names)
+    return fuse({"semantic": near, "keyword": keyword_search(asked, index, 2 * k)}, k)
+
+
 def retrieve_for_patients(requests: DataFrame, chunks: DataFrame, embed: Embed, k: int = fixed.DEFAULT_TOP_K,
                           threshold: float = fixed.SIMILARITY_THRESHOLD, mode: str = "pre", overfetch: int = 3,
                           names: Names = Names()) -> DataFrame:
