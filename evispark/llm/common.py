@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, shared_folder
 
 BROADCAST_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
@@ -73,17 +74,27 @@ def word_blocks(data: bytes, size: int = 1) -> Iterator[list[bytes]]:
         last, begin = part[max(0, len(part) - size + 1):], end
 
 
-def components(edges: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder.  Unlike a checkpoint, which keeps the size that its plan was estimated at, the
+    table has its real size: in a loop over joins the estimates square with every step, until planning takes longer than all tasks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Connected components: ``a``, ``b`` longs -> ``node``, ``component`` (its smallest node), for every node of an edge.
 
     Alternating large-star and small-star steps.  A hub's neighbours are never brought into one
     task: minima are combined before the shuffle and written, and the join to them splits skewed keys.
+    ``cut`` cuts the lineage of the edges after each step: ``written`` where the graph may take many of them.
     """
-    edges = checkpointed(edges.where("a <> b").select(
+    edges = cut(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
     while True:
-        edges = _star(_star(edges, large=True), large=False)
+        edges = _star(_star(edges, True, cut), False, cut)
         after = _mark(edges)
         if after == mark:
             break
@@ -96,7 +107,7 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``edges`` has a > b.  Large: every node sends its greater neighbours to the least of all; small: itself and its lesser ones."""
     seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
@@ -106,5 +117,5 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     new = sent.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         new = new.union(least.select("u", "m"))
-    return checkpointed(new.where("a <> b").select(
+    return cut(new.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -2,31 +2,27 @@
 
 import re
 
-import xxhash
 
-
-def fingerprint(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    ws = re.findall(r"[^\x20\x09-\x0D]+", low)
-    shingles = [" ".join(ws[i:i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []
-    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+def shingles(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
 
 
 def near_duplicate_groups(texts):
-    """A group number per text: fingerprints within three bits, and what they reach."""
-    prints = [fingerprint(t) for t in texts]
-    group = list(range(len(prints)))
+    """A group number per text: 5-word Jaccard similarity of 0.8 or more, and what it reaches."""
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(sets)))
 
     def find(i):
         while group[i] != i:
             i = group[i]
         return i
-    for i, a in enumerate(prints):
+    for i, a in enumerate(sets):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 3:
-                group[max(find(i), find(j))] = min(find(i), find(j))
-    return [find(i) for i in range(len(prints))]
+            if a == sets[j] or a and len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = find(i), find(j)
+                group[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
 
 
 def words(text):
