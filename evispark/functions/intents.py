@@ -47,8 +47,10 @@ def stated_age(low: Column, whole_words: bool = False) -> Column:
 
 
 def symptom_mask(low: Column, table: dict[str, list[str]] | None = None) -> Column:
-    """One bit per symptom, so that a running union is a ``bit_or``."""
+    """One bit per symptom, so that a running union is a ``bit_or``.  More symptoms than a long has bits are an error."""
     table = table or fixed.TURN_SYMPTOMS
+    if len(table) > 63:
+        raise ValueError(f"{len(table)} symptoms, 63 at most")
     mask = F.lit(0).cast("long")
     for bit, words_ in enumerate(table.values()):
         mask = mask + F.when(contains_any(low, words_), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.display import citation, snippet
 from ..functions.tagging import parse_tag_field
+from ..session import checkpointed
 from .sizes import join_checked
 
 
@@ -88,25 +89,39 @@ def by_id(chunks: DataFrame, wanted: DataFrame, key: str = "chunk_id") -> DataFr
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, hit_id: str = "chunk_id") -> DataFrame:
-    """Add text of the previous and next chunk of each hit (two equi-joins on ids)."""
-    base = hits.select(*hits.columns)
+    """Add text of the previous and next chunk of each hit.
+
+    The hits are written first and measured; the table's texts are read once, for the ids that the hits name, and only
+    those texts meet the hits.
+    """
+    base = checkpointed(hits)
     if "prev_chunk_id" not in base.columns:
-        links = chunks.select(F.col("chunk_id").alias(hit_id), "prev_chunk_id", "next_chunk_id")
-        base = base.join(links, hit_id, "left")
-    side = lambda link, name: chunks.select(F.col("chunk_id").alias(link), F.col("text").alias(name))
-    return (base.join(side("prev_chunk_id", "prev_text"), "prev_chunk_id", "left")
-            .join(side("next_chunk_id", "next_text"), "next_chunk_id", "left"))
+        own = base.select(F.col(hit_id).alias("chunk_id")).distinct()
+        links = join_checked(chunks.select("chunk_id", "prev_chunk_id", "next_chunk_id"), own, "chunk_id", "left_semi")
+        base = checkpointed(join_checked(base, checkpointed(links.withColumnRenamed("chunk_id", hit_id)), hit_id, "left"))
+    named = base.select(F.col("prev_chunk_id").alias("chunk_id")).union(base.select("next_chunk_id")).where("chunk_id is not null").distinct()
+    texts = checkpointed(join_checked(chunks.select("chunk_id", "text"), named, "chunk_id", "left_semi"))
+    for link, name in (("prev_chunk_id", "prev_text"), ("next_chunk_id", "next_text")):
+        base = join_checked(base, texts.select(F.col("chunk_id").alias(link), F.col("text").alias(name)), link, "left")
+    return base
 
 
 def statistics(chunks: DataFrame, collection: str = "guidelines", values: bool = False) -> DataFrame:
-    """Totals of the flat table in one row; with ``values``, the sorted cancer types and urgency levels too (small sets by contract)."""
-    count_true = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int"))
-    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(parse_tag_field(F.col("cancer_types")))))).alias("cancer_types"),
-             F.array_sort(F.collect_set(F.nullif("urgency", F.lit("")))).alias("urgency_levels")] if values else []
-    return chunks.agg(F.lit(collection).alias("collection_name"), F.count(F.lit(1)).alias("total_chunks"),
-                      count_true("is_urgent").alias("urgent_chunks"),
-                      count_true("has_recommendation").alias("recommendation_chunks"),
-                      count_true("has_table").alias("table_chunks"), *lists).fillna(0)
+    """Totals of the flat table in one row; with ``values``, the sorted cancer types and urgency levels too (small sets by contract).
+
+    Rows are counted per combination of tag list and urgency first; single values are made distinct before they are listed.
+    """
+    flags = {"urgent_chunks": "is_urgent", "recommendation_chunks": "has_recommendation", "table_chunks": "has_table"}
+    counts = [F.count(F.lit(1)).alias("total_chunks"), *(F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).alias(n) for n, c in flags.items())]
+    name = F.lit(collection).alias("collection_name")
+    if not values:
+        return chunks.agg(name, *counts).fillna(0)
+    combined = checkpointed(chunks.groupBy("cancer_types", "urgency").agg(*counts))
+    types = combined.select(F.explode(parse_tag_field(F.col("cancer_types"))).alias("type")).distinct()
+    levels = combined.select(F.nullif("urgency", F.lit("")).alias("level")).where("level is not null").distinct()
+    rows = combined.select("total_chunks", *flags).unionByName(types, allowMissingColumns=True).unionByName(levels, allowMissingColumns=True)
+    return rows.agg(name, F.coalesce(F.sum("total_chunks"), F.lit(0)).alias("total_chunks"), *(F.sum(n).alias(n) for n in flags),
+                    F.array_sort(F.collect_list("type")).alias("cancer_types"), F.array_sort(F.collect_list("level")).alias("urgency_levels")).fillna(0)
 
 
 def cancer_type_facet(chunks: DataFrame) -> DataFrame:
