@@ -101,6 +101,6 @@ def op6_licenses(spark, sf_dir):
 
 @query("op8_language_model")
 def op8_language_model(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs)
-    return lm.score(docs, model, rare=lm.rare_words(docs, model[0])).withColumnRenamed("id", "doc_id")
+    blocks = lm.cut(table(spark, sf_dir, "documents"))
+    counts = lm.word_counts(blocks)
+    return lm.score(blocks, lm.train(blocks, counts), counts=counts).withColumnRenamed("id", "doc_id")

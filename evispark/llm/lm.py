@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -13,21 +13,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
 from xxhash import xxh64_intdigest
 
-from ..session import checkpointed
-from .common import word_blocks
+from ..session import shared_folder
+from .common import word_blocks, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words are hashed to ``buckets``; the ``classes ** 2 - shared`` most frequent buckets of the corpus are tokens of their
-    own, the others share ``shared`` tokens.  The network sees ``span`` tokens on each side through ``width`` hidden
-    units and predicts a token's class (its rank's block of ``classes``), then the token within the class.
+    """The ``classes ** 2 - shared`` most frequent words of the corpus are tokens of their own, the others share ``shared``
+    tokens by their hash.  The network sees ``span`` tokens on each side through ``width`` hidden units and predicts a
+    token's class (its rank's block of ``classes``, 255 at most), then the token within the class.
     Each of the ``rounds`` of training masks another fold of the tokens of all documents; together they mask every token once.
-    Words that share a token are told apart by their own counts (``rare_words``)."""
-    buckets: int = 1 << 16
+    Words that share a token are told apart by their own counts (``word_counts``).  Texts are cut once into blocks of whole
+    documents; a block is full at ``block`` words or ``distinct`` different ones."""
     classes: int = 32
     shared: int = 32
     span: int = 2
@@ -37,6 +36,8 @@ class Settings:
     batch: int = 2048
     chunks: int = 64
     seed: int = 42
+    block: int = 1 << 20
+    distinct: int = 1 << 18
 
     @property
     def tokens(self) -> int:
@@ -63,121 +64,197 @@ def initial(s: Settings) -> np.ndarray:
     return (np.random.default_rng(s.seed).standard_normal(sum(int(np.prod(x)) for x in shapes(s))) * 0.1).astype(np.float32)
 
 
-def buckets_of(text: str | None, s: Settings) -> np.ndarray:
-    """Bucket of each word of the whole text, A-Z in lower case."""
-    parts = [np.fromiter(map(crc32, block), np.uint32) for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower())]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)) % np.uint32(s.buckets)
+def cut(docs: DataFrame, s: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Whole texts as blocks of word numbers, written once: the only pass over text.
 
+    ``block``, ``ids`` and ``sizes`` (words) of its documents, ``codes`` (every word's place among the block's different words),
+    ``words`` (64-bit hashes of these, A-Z in lower case) and ``counts`` (how often each stands there)."""
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, ids, sizes, codes, seen = TaskContext.get().partitionId() << 33, 0, [], [], [], {}
 
-def vocabulary(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Token of each bucket, by the number of words that all documents have in it."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(s.buckets, np.int64)
+        def full() -> pa.RecordBatch:
+            row = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+            words = np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+            lists = [pa.concat_arrays(ids), pa.array(sizes, pa.int32()), pa.array(words), pa.array(np.bincount(row, minlength=len(seen)))]
+            ids_, sizes_, words_, counts_ = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
+            return pa.RecordBatch.from_arrays([pa.array([number]), ids_, sizes_, pa.array([packed(row)]), words_, counts_],
+                                              ["block", "ids", "sizes", "codes", "words", "counts"])
         for batch in batches:
-            for text in batch["text"]:
-                np.add.at(seen, buckets_of(text, s), 1)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": at, "n": seen[at]})
-    found = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    return ranked(found["bucket"].to_numpy(), found["n"].to_numpy(), s)
+            own = batch.column("id")
+            for i, text in enumerate(batch.column("text")):
+                data, size = (text.as_py() or "").encode("utf-8", "surrogatepass").lower(), 0   # bytes: only A-Z change
+                for part in word_blocks(data):
+                    codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in part), np.uint32, len(part)))
+                    size += len(part)
+                ids.append(own.slice(i, 1))
+                sizes.append(size)
+                held += size
+                if held >= s.block or len(seen) >= s.distinct or len(sizes) >= s.distinct:
+                    yield full()
+                    number, held, ids, sizes, codes, seen = number + 1, 0, [], [], [], {}
+        if ids:
+            yield full()
+
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(texts.schema["id"].dataType)),
+                           T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()),
+                           T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    path = f"{shared_folder(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    # rows are large: look at the size of a row group after each
+    texts.mapInArrow(cutting, schema).write.options(**{
+        "compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1",
+        "parquet.page.size.row.check.min": "1"}).parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Low halves, then high halves, which are nearly all zero."""
+    return codes.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, "<u2").reshape(2, -1)
+    return low.astype(np.int64) | high.astype(np.int64) << 16
 
 
-def ranked(bucket: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
-    order = bucket[np.lexsort((bucket, -n))][:s.tokens - s.shared].astype(np.int64)
-    token = s.tokens - s.shared + np.arange(s.buckets) % s.shared
-    token[order] = np.arange(len(order))
-    return token.astype(np.int32)
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """How often all documents have each word: ``word`` (hash), ``n``; a table that grows with the corpus."""
+    each = blocks.select(F.inline(F.arrays_zip("words", "counts"))).toDF("word", "n")
+    return written(each.groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def contexts(documents: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def vocabulary(counts: DataFrame, s: Settings = Settings()) -> np.ndarray:
+    """The words that are tokens of their own, the most frequent first; at most ``classes ** 2 - shared``."""
+    top = counts.orderBy(F.desc("n"), "word").limit(s.tokens - s.shared).collect()
+    return np.array([r["word"] for r in top], np.int64)
+
+
+def tokens_of(words: np.ndarray, vocab: np.ndarray, s: Settings) -> np.ndarray:
+    """Token of each word (hash)."""
+    token = (s.tokens - s.shared + words % s.shared).astype(np.uint16)
+    if len(vocab):
+        order = np.argsort(vocab)
+        at = order[np.minimum(np.searchsorted(vocab, words, sorter=order), len(vocab) - 1)]
+        token = np.where(vocab[at] == words, at, token).astype(np.uint16)
+    return token
+
+
+def contexts(row: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the documents in a row, and the tokens on both sides of each; nothing is seen across an end."""
-    beyond = np.full(s.span, s.tokens, np.int32)
-    row = np.concatenate([beyond] + [x for d in documents for x in (d, beyond)])
-    own = np.flatnonzero(row != s.tokens)
-    places = [p for p in range(-s.span, s.span + 1) if p]
-    return row[own], row[own[:, None] + np.array(places)] if len(own) else np.zeros((0, 2 * s.span), np.int32)
+    sizes = np.asarray(sizes, np.int64)
+    own = np.arange(len(row)) + np.repeat(np.arange(1, len(sizes) + 1) * s.span, sizes)
+    wide = np.full(len(row) + (len(sizes) + 1) * s.span, s.tokens, np.uint16)
+    wide[own] = row
+    around = np.empty((len(row), 2 * s.span), np.uint16)
+    for k, place in enumerate(p for p in range(-s.span, s.span + 1) if p):
+        around[:, k] = wide[own + place]
+    return np.asarray(row, np.uint16), around
 
 
 def _hidden(around: np.ndarray, net: list[np.ndarray]) -> np.ndarray:
     total = np.repeat(net[1][None, :], len(around), 0)
     for k in range(around.shape[1]):
         total += net[0][k][around[:, k]]
-    return np.tanh(total)
+    return np.tanh(total, out=total)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _by_class(tokens: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the tokens by class, the classes that occur and where each begins in that order."""
+    group = (tokens // s.classes).astype(np.uint8)
+    ends = np.cumsum(np.bincount(group, minlength=s.classes))
+    present = np.flatnonzero(np.diff(ends, prepend=0))
+    return np.argsort(group, kind="stable"), present, np.r_[0, ends[:-1]][present]
+
+
+def _inner(h: np.ndarray, net: list[np.ndarray], present: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of rows by class: the scores of the tokens within their class."""
+    out = np.empty((len(h), net[5].shape[1]), h.dtype)
+    for c, begin, end in zip(present, starts, np.r_[starts[1:], len(h)]):
+        np.matmul(h[begin:end], net[4][c], out=out[begin:end])
+        out[begin:end] += net[5][c]
+    return out
+
+
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place."""
+    x -= x.max(1, keepdims=True)
+    return x[np.arange(len(x)), at].astype(np.float64) - np.log(np.exp(x).sum(1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def log_probabilities(tokens: np.ndarray, around: np.ndarray, flat: np.ndarray, s: Settings) -> np.ndarray:
     """Of each token, given the tokens on both sides."""
     net, out = split(flat, s), np.empty(len(tokens))
     for begin in range(0, len(tokens), 4 * s.batch):
-        part = slice(begin, begin + 4 * s.batch)
-        h, group, inner = _hidden(around[part], net), tokens[part] // s.classes, tokens[part] % s.classes
-        each = _log_softmax(h @ net[2] + net[3])[np.arange(len(h)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            c = group[rows[0]]
-            each[rows] += _log_softmax(h[rows] @ net[4][c] + net[5][c])[np.arange(len(rows)), inner[rows]]
-        out[part] = each
+        part = tokens[begin:begin + 4 * s.batch]
+        order, present, starts = _by_class(part, s)
+        own, h = part[order], _hidden(around[begin + order], net)
+        out[begin + order] = _log_of(h @ net[2] + net[3], own // s.classes) + _log_of(_inner(h, net, present, starts), own % s.classes)
     return out
 
 
 def train_step(tokens: np.ndarray, around: np.ndarray, flat: np.ndarray, squares: np.ndarray, s: Settings) -> None:
     """One AdaGrad step on a batch of masked tokens, in place."""
     net, past, m = split(flat, s), split(squares, s), len(tokens)
-    h, group, inner = _hidden(around, net), tokens // s.classes, tokens % s.classes
-
-    def move(k: int, gradient: np.ndarray, at=...) -> None:
-        past[k][at] += gradient * gradient
-        net[k][at] -= s.rate * gradient / np.sqrt(past[k][at] + 1e-6)
-    outer = np.exp(_log_softmax(h @ net[2] + net[3]))
-    outer[np.arange(m), group] -= 1
-    back = outer @ net[2].T
-    order = np.argsort(group, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        c = group[rows[0]]
-        p = np.exp(_log_softmax(h[rows] @ net[4][c] + net[5][c]))
-        p[np.arange(len(rows)), inner[rows]] -= 1
-        back[rows] += p @ net[4][c].T
-        move(4, h[rows].T @ p / m, c)
-        move(5, p.sum(0) / m, c)
-    move(2, h.T @ outer / m)
-    move(3, outer.sum(0) / m)
+    order, present, starts = _by_class(tokens, s)
+    tokens, around = tokens[order], around[order]
+    h, rows = _hidden(around, net), np.arange(m)
+
+    def move(values: np.ndarray, sums: np.ndarray, gradient: np.ndarray, at=...) -> None:
+        total = sums[at] + gradient * gradient
+        sums[at] = total
+        values[at] -= s.rate * gradient / np.sqrt(total + 1e-6)
+    outer = _softmax(h @ net[2] + net[3])
+    outer[rows, tokens // s.classes] -= 1
+    p = _softmax(_inner(h, net, present, starts))
+    p[rows, tokens % s.classes] -= 1
+    back, inner = outer @ net[2].T, np.empty((len(present), s.width, s.classes), flat.dtype)
+    for k, (c, begin, end) in enumerate(zip(present, starts, np.r_[starts[1:], m])):
+        back[begin:end] += p[begin:end] @ net[4][c].T
+        np.matmul(h[begin:end].T, p[begin:end], out=inner[k])
+    move(net[4], past[4], inner / m, present)
+    move(net[5], past[5], np.add.reduceat(p, starts, axis=0) / m, present)
+    move(net[2], past[2], h.T @ outer / m)
+    move(net[3], past[3], outer.sum(0) / m)
     back *= (1 - h * h) / m
-    move(1, back.sum(0))
+    move(net[1], past[1], back.sum(0))
     for k in range(around.shape[1]):
-        order = np.argsort(around[:, k], kind="stable")
+        order = np.argsort(around[:, k], kind="stable")   # 16 bits: by radix
         ids = around[order, k]
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        move(0, np.add.reduceat(back[order], starts, axis=0), (k, ids[starts]))
+        begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        move(net[0][k], past[0][k], np.add.reduceat(back[order], begins, axis=0), ids[begins])
 
 
-def fold(found: list[np.ndarray], turn: int, s: Settings) -> np.ndarray:
-    """Places, over the documents' buckets in a row, that a round masks: every ``rounds``-th of each document, wherever it is."""
-    folds = [(np.arange(len(b)) + int(b.sum())) % s.rounds for b in found]
-    return np.flatnonzero(np.concatenate(folds) == turn) if folds else np.zeros(0, int)
+def fold(row: np.ndarray, sizes: np.ndarray, turn: int, s: Settings) -> np.ndarray:
+    """Places, over the documents' tokens in a row, that a round masks: every ``rounds``-th of each document, wherever it is."""
+    sizes = np.asarray(sizes, np.int64)
+    ends = np.cumsum(sizes)
+    sums = np.diff(np.r_[0, np.cumsum(row, dtype=np.int64)][np.r_[0, ends]])
+    return np.flatnonzero((np.arange(len(row)) + np.repeat(sums - ends + sizes, sizes)) % s.rounds == turn)
 
 
-def _train_round(docs: DataFrame, token: np.ndarray, flat: np.ndarray, s: Settings, turn: int) -> np.ndarray:
-    """Every task trains its own copy on all its documents; the copies are averaged by their masked tokens, in chunks
+def _train_round(blocks: DataFrame, vocab: np.ndarray, flat: np.ndarray, s: Settings, turn: int) -> np.ndarray:
+    """Every task trains its own copy on all its blocks; the copies are averaged by their masked tokens, in chunks
     that Spark brings together, each a running sum of fixed size."""
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([s.seed, turn, TaskContext.get().partitionId()])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, squares, weight = flat.copy(), np.zeros_like(flat), 0
-        for batch in batches:
-            found = [buckets_of(t, s) for t in batch["text"]]
-            tokens, around = contexts([token[b] for b in found], s)
-            at = rng.permutation(fold(found, turn, s))
+        for block in _rows(batches):
+            row, sizes = tokens_of(block["words"], vocab, s)[block["codes"]], block["sizes"]
+            tokens, around = contexts(row, sizes, s)
+            at = np.random.default_rng([s.seed, turn, block["block"]]).permutation(fold(row, sizes, turn, s))
             for begin in range(0, len(at), s.batch):
                 part = at[begin:begin + s.batch]
                 train_step(tokens[part], around[part], own, squares, s)
             weight += len(at)
         if weight:
-            yield pd.DataFrame({"chunk": range(s.chunks), "weight": float(weight),
-                                "part": [x.tobytes() for x in np.array_split(own, s.chunks)]})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(s.chunks), pa.int32()), "weight": [float(weight)] * s.chunks,
+                                              "part": [x.tobytes() for x in np.array_split(own, s.chunks)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, tuple[float, np.ndarray]] = {}
@@ -187,97 +264,87 @@ def _train_round(docs: DataFrame, token: np.ndarray, flat: np.ndarray, s: Settin
                 sums[chunk] = total + weight, vector + weight * np.frombuffer(part, np.float32).astype(np.float64)
         yield pd.DataFrame({"chunk": list(sums), "part": [(v / t).astype(np.float32).tobytes() for t, v in sums.values()]})
 
-    learned = docs.select("text").mapInPandas(learn, "chunk int, weight double, part binary")
+    learned = blocks.select("block", "sizes", "codes", "words").mapInArrow(learn, "chunk int, weight double, part binary")
     rows = learned.repartition("chunk").mapInPandas(add, "chunk int, part binary").collect()   # the size of one network
     if not rows:
         return flat
     return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
 
 
-def train(docs: DataFrame, s: Settings = Settings(), text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary and network of all documents."""
-    docs = docs.select(F.col(text_column).alias("text")).where("text is not null")
-    token, flat = vocabulary(docs, s), initial(s)
-    for turn in range(s.rounds):
-        flat = _train_round(docs, token, flat, s, turn)
-    return token, flat
-
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one at a time: lists of numbers as arrays, word numbers unpacked, ids as they are."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            read = {"block": lambda x: x.as_py(), "codes": lambda x: unpacked(x.as_buffer()), "sizes": lambda x: x.values.to_numpy(),
+                    "words": lambda x: x.values.to_numpy(), "ids": lambda x: x.values, "found": lambda x: x.values}
+            yield {name: read[name](value) for name, value in row.items()}
 
-def _rare(text: str | None, token: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of a text that share a token: hash (the whole word's), token and how often it stands there."""
-    found = []
-    for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        at = token[np.fromiter(map(crc32, block), np.uint32, len(block)) % np.uint32(s.buckets)]
-        found += [(xxh64_intdigest(block[i]), at[i]) for i in np.flatnonzero(at >= s.tokens - s.shared)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    words, first, n = np.unique(np.array([w for w, _ in found], np.uint64), return_index=True, return_counts=True)
-    return words.view(np.int64), np.array([t for _, t in found], np.int32)[first], n
 
-
-def _rare_of(docs: DataFrame, token: np.ndarray, s: Settings) -> DataFrame:
-    """``row``, ``text`` -> ``row``, ``word``, ``token``, ``n``."""
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows = [_rare(t.as_py(), token, s) for t in part.column("text")]
-                ids = np.repeat(part.column("row").to_numpy(), [len(w) for w, _, _ in rows])
-                yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(np.concatenate(x)) for x in zip(*rows)], ["row", "word", "token", "n"])
-    return docs.select("row", "text").mapInArrow(listed, "row long, word long, token int, n long")
-
-
-def rare_words(docs: DataFrame, token: np.ndarray, s: Settings = Settings(), text_column: str = "text") -> DataFrame:
-    """How often all documents have each word that shares a token: ``word``, ``token``, ``n``, a table that grows with the corpus."""
-    texts = docs.select(F.lit(0).cast("long").alias("row"), F.col(text_column).alias("text"))
-    return checkpointed(_rare_of(texts, token, s).groupBy("word", "token").agg(F.sum("n").alias("n")))
-
-
-def _within(docs: DataFrame, rare: DataFrame, token: np.ndarray, s: Settings) -> DataFrame:
-    """``row``, ``within``: log-probabilities of the row's rare words within their tokens.  Every word counts half a time more
-    than it was seen, and so do all unseen ones together."""
-    total = F.broadcast(rare.groupBy("token").agg((F.sum("n") + (F.count(F.lit(1)) + 1) / 2).alias("all")))   # at most ``shared`` rows
-    known = rare.select("word", "token", F.col("n").alias("seen"))
-    own = _rare_of(docs, token, s).join(known, ["word", "token"], "left").join(total, "token", "left")
-    log = F.log((F.coalesce("seen", F.lit(0)) + 0.5) / F.coalesce("all", F.lit(0.5)))
-    return own.groupBy("row").agg(F.sum(F.col("n") * log).alias("within"))
-
-
-def score_texts(texts: pd.Series, token: np.ndarray, flat: np.ndarray, s: Settings) -> pd.DataFrame:
-    documents = [token[buckets_of(t, s)] for t in texts]
-    sizes = np.array([len(d) for d in documents])
-    each = log_probabilities(*contexts(documents, s), flat, s)
-    total, full = np.zeros(len(sizes)), np.flatnonzero(sizes)
+def train(blocks: DataFrame, counts: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary and network of all documents (``blocks`` of ``cut``, ``counts`` of ``word_counts``)."""
+    vocab, flat = vocabulary(counts, s), initial(s)
+    for turn in range(s.rounds):
+        flat = _train_round(blocks, vocab, flat, s, turn)
+    return vocab, flat
+
+
+def _known(blocks: DataFrame, counts: DataFrame, vocab: np.ndarray, s: Settings) -> DataFrame:
+    """``block``, ``found``: of each of its words the place, the token and, if it shares the token, the log-probability within.
+    Every word counts half a time more than it was seen, and so do all unseen ones together."""
+    spark = blocks.sparkSession
+    own = F.broadcast(spark.createDataFrame([(int(w), k) for k, w in enumerate(vocab)], "word long, own int"))   # below classes ** 2 rows
+    common = F.lit(s.tokens - s.shared) + F.pmod("word", F.lit(s.shared)).cast("int")
+    total = F.broadcast(counts.join(own, "word", "left_anti").groupBy(common.alias("shared")).agg(
+        (F.sum("n") + (F.count(F.lit(1)) + 1) / 2).alias("all")))   # at most ``shared`` rows
+    each = blocks.select("block", F.posexplode("words").alias("at", "word")).join(counts, "word", "left").join(own, "word", "left")
+    each = each.withColumn("shared", F.when(F.col("own").isNull(), common)).join(total, "shared", "left")
+    log = F.log((F.coalesce("n", F.lit(0)) + 0.5) / F.coalesce("all", F.lit(0.5)))
+    within = F.when(F.col("own").isNull(), log).otherwise(F.lit(0.0)).cast("float")
+    return each.groupBy("block").agg(F.collect_list(F.struct("at", F.coalesce("own", "shared").alias("token"), within.alias("within"))).alias("found"))
+
+
+def score_rows(row: np.ndarray, sizes: np.ndarray, flat: np.ndarray, s: Settings, within: np.ndarray | float = 0.0) -> pd.DataFrame:
+    """Scores of the documents whose tokens stand in a row."""
+    each, full = log_probabilities(*contexts(row, sizes, s), flat, s) + within, np.flatnonzero(sizes)
+    total = np.zeros(len(sizes))
     if len(full):
         total[full] = np.add.reduceat(each, np.r_[0, np.cumsum(sizes[full])[:-1]])
-    mean = pd.Series(np.round(total / np.maximum(sizes, 1), 6)).astype(object).where(sizes > 0, None)
+    mean = pd.Series(np.round(total / np.maximum(sizes, 1), 6)).where(sizes > 0)
     return pd.DataFrame({"n_tokens": sizes.astype(np.int64), "log_prob": np.round(total, 4), "score": mean})
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings(), id_column: str = "doc_id",
-          text_column: str = "text", rare: DataFrame | None = None) -> DataFrame:
-    """One row per document: ``id``, ``n_tokens``, ``log_prob`` (sum of each token's log-probability given both sides),
-    ``score`` (their mean; higher is more like the corpus).
+def score(blocks: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings(), counts: DataFrame | None = None) -> DataFrame:
+    """One row per document of the blocks (of ``cut``): ``id``, ``n_tokens``, ``log_prob`` (sum of each token's log-probability
+    given both sides), ``score`` (their mean; higher is more like the corpus).
 
     Null, empty and blank texts have no tokens, a sum of zero and a null score; repeated rows and null ids are
     scored each on their own; an empty table gives an empty one.  Other columns are not read.  The network depends
-    on how the rows are split into tasks, as its copies are trained apart and averaged.  With ``rare`` (of ``rare_words``)
-    a word that shares a token also counts by its probability among the words of that token.
+    on how the rows were cut into blocks, as its copies are trained apart and averaged; the blocks are written, so a task that
+    runs again does the same.  With ``counts`` (of ``word_counts``) a word that shares a token also counts by its probability
+    among the words of that token.
     """
-    token, flat = model
-
-    @F.pandas_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()),
-                                T.StructField("score", T.DoubleType())]))
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield score_texts(batch, token, flat, s)
-
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if rare is None:
-        return texts.select("id", scored("text").alias("s")).select("id", "s.n_tokens", "s.log_prob", "s.score")
-    texts = checkpointed(texts.withColumn("row", F.monotonically_increasing_id()))   # rows keep their numbers
-    within = _within(texts, rare, token, s)
-    each = texts.select("id", "row", scored("text").alias("s")).join(within, "row", "left")
-    total = F.col("s.log_prob") + F.coalesce("within", F.lit(0.0))
-    return each.select("id", "s.n_tokens", F.round(total, 4).alias("log_prob"),
-                       F.when(F.col("s.n_tokens") > 0, F.round(total / F.col("s.n_tokens"), 6)).alias("score"))
+    vocab, flat = model
+    schema = T.StructType([T.StructField("id", blocks.schema["ids"].dataType.elementType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("log_prob", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _rows(batches):
+            codes, within = block["codes"], 0.0
+            if "words" in block:
+                token = tokens_of(block["words"], vocab, s)
+            else:
+                found = block["found"]
+                size = 0 if found is None else len(found)
+                token, logs = np.zeros(size, np.uint16), np.zeros(size)
+                if size:
+                    at = found.field("at").to_numpy()
+                    token[at], logs[at] = found.field("token").to_numpy(), found.field("within").to_numpy()
+                within = logs[codes]
+            out = score_rows(token[codes], block["sizes"], flat, s, within)
+            yield pa.RecordBatch.from_arrays([block["ids"]] + [pa.Array.from_pandas(out[c]) for c in out], ["id", *out])
+
+    if counts is None:
+        return blocks.select("ids", "sizes", "codes", "words").mapInArrow(scored, schema)
+    known = _known(blocks, counts, vocab, s)
+    return blocks.select("block", "ids", "sizes", "codes").join(known, "block", "left").select("ids", "sizes", "codes", "found").mapInArrow(scored, schema)

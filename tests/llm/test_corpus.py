@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.llm import language, lm, mixing
 
@@ -66,7 +67,6 @@ def test_language_of_hard_rows(spark, documents):
 
 def test_labels_of_held_out_rows_are_not_learned(spark, documents):
     model = language.train(documents)
-    import pyspark.sql.functions as F
     turned = documents.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
     other = language.train(turned)
     assert other.labels == model.labels and np.array_equal(other.weights, model.weights) and other.temperature == model.temperature
@@ -79,13 +79,18 @@ def test_calibration_finds_the_temperature():
     assert language.calibrate(scores * 5, truth) == pytest.approx(5, rel=0.1)
 
 
-SMALL = lm.Settings(buckets=256, classes=4, shared=4, width=5, batch=64, chunks=4)
+SMALL = lm.Settings(classes=4, shared=4, width=5, batch=64, chunks=4)
 
 
-def plain_score(text, token, flat, s):
+def plain_token(word, vocab, s):
+    h = int(np.uint64(lm.xxh64_intdigest(word)).view(np.int64))
+    return vocab.index(h) if h in vocab else s.tokens - s.shared + h % s.shared
+
+
+def plain_score(text, vocab, flat, s):
     """Each word from the two on either side, one at a time."""
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-    ids = [s.tokens] * s.span + [int(token[zlib.crc32(w) % s.buckets]) for w in words] + [s.tokens] * s.span
+    ids = [s.tokens] * s.span + [plain_token(w, vocab, s) for w in words] + [s.tokens] * s.span
     tables, bias, outer, outer_bias, inner, inner_bias = [x.astype(float) for x in lm.split(flat, s)]
     total = 0.0
     for i in range(s.span, len(ids) - s.span):
@@ -98,19 +103,32 @@ def plain_score(text, token, flat, s):
 
 
 def test_scores_are_sums_over_tokens(spark):
-    token = np.random.default_rng(1).integers(0, SMALL.tokens, SMALL.buckets).astype(np.int32)
+    vocab = np.array([lm.xxh64_intdigest(w) for w in (b"two", b"one", b"four", b"\xc3\xbc")], np.uint64).view(np.int64)
     flat = lm.initial(SMALL) * 5
-    texts = [None, "", " \n", "one", "One two THREE four five six " * 40, "é\x85x ü"]
+    texts = [None, "", " \n", "one", "One two THREE four five six " * 40, "é\x85x ü", "one more " * 300000]
     rows = [(i, t, 1.0) for i, t in enumerate(texts)] + [(None, "one", 1.0), (3, "one", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    got = sorted(lm.score(df, (token, flat), SMALL).collect(), key=str)
-    assert len(got) == len(rows)
-    by = {r["id"]: r for r in got}
-    for i, t in enumerate(texts):
-        n, total = plain_score(t, token, flat, SMALL)
-        assert by[i]["n_tokens"] == n and by[i]["log_prob"] == pytest.approx(total, abs=2e-3)
-        assert by[i]["score"] == (pytest.approx(total / n, abs=1e-4) if n else None)
-    assert lm.score(df.limit(0), (token, flat), SMALL).count() == 0
+    for s in (SMALL, replace(SMALL, block=3), replace(SMALL, distinct=1)):
+        blocks = lm.cut(df, s)
+        got = sorted(lm.score(blocks, (vocab, flat), s).collect(), key=str)
+        assert len(got) == len(rows)
+        by = {r["id"]: r for r in got}
+        for i, t in enumerate(texts[:-1]):
+            n, total = plain_score(t, vocab.tolist(), flat, SMALL)
+            assert by[i]["n_tokens"] == n and by[i]["log_prob"] == pytest.approx(total, abs=2e-3)
+            assert by[i]["score"] == (pytest.approx(total / n, abs=1e-4) if n else None)
+        assert by[6]["n_tokens"] == 600000 and by[6]["score"] == pytest.approx(
+            (plain_score("one more " * 40, vocab.tolist(), flat, SMALL)[1] - plain_score("one more " * 20, vocab.tolist(), flat, SMALL)[1]) / 40, abs=1e-4)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c a", 2.0, "x")], "doc_id long, text string, score double, codes string")
+    for part, n in ((df, 1), (df.limit(0), 0), (df.withColumn("text", F.lit(None).cast("string")), 1)):
+        blocks = lm.cut(part, SMALL)
+        counts = lm.word_counts(blocks)
+        model = lm.train(blocks, counts, SMALL)
+        assert lm.score(blocks, model, SMALL, counts).count() == lm.score(blocks, model, SMALL).count() == n
+        assert len(model[0]) == counts.count()
 
 
 def test_gradients():
@@ -130,13 +148,21 @@ def test_gradients():
 
 
 def test_training_beats_the_start(documents):
-    s = lm.Settings(buckets=4096, classes=8, shared=8)
-    token, flat = lm.train(documents, s)
-    texts = pd.Series([r[0] for r in documents.select("text").limit(50).collect()])
-    words = [" ".join(random.Random(1).sample(t.split(), len(t.split()))) for t in texts]
-    trained = lm.score_texts(texts, token, flat, s)["log_prob"].sum()
-    assert trained > lm.score_texts(texts, token, lm.initial(s), s)["log_prob"].sum()
-    assert np.array_equal(token, lm.vocabulary(documents.select("text"), s)) and len(words) == len(texts)
+    s = lm.Settings(classes=8, shared=8)
+    blocks = lm.cut(documents, s)
+    counts = lm.word_counts(blocks)
+    vocab, flat = lm.train(blocks, counts, s)
+    trained, start = (lm.score(blocks, (vocab, net), s).agg(F.sum("log_prob")).first()[0] for net in (flat, lm.initial(s)))
+    assert trained > start
+    words = Counter(w for r in documents.collect() for w in re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower()))
+    plain = Counter({int(np.uint64(lm.xxh64_intdigest(w)).view(np.int64)): n for w, n in words.items()})
+    assert {r["word"]: r["n"] for r in counts.collect()} == plain
+    assert vocab.tolist() == sorted(plain, key=lambda w: (-plain[w], w))[:s.tokens - s.shared]
+
+
+def test_codes_survive_packing():
+    for codes in ([], [0], [1, 65535, 65536, 1 << 31, 5]):
+        assert lm.unpacked(lm.packed(np.array(codes, np.uint32))).tolist() == codes
 
 
 def plain_mark(*parts):

@@ -8,7 +8,7 @@ import pytest
 
 from evispark.llm import lm
 
-S = lm.Settings(buckets=256, classes=4, shared=4, width=5, batch=64, chunks=4)
+S = lm.Settings(classes=4, shared=4, width=5, batch=64, chunks=4)
 
 
 def test_junk_is_less_likely_than_rare_words(spark):
@@ -16,23 +16,26 @@ def test_junk_is_less_likely_than_rare_words(spark):
     common, rare = [f"c{i}" for i in range(12)], [f"rare{i}" for i in range(300)]
     docs = [(i, " ".join(rng.choice(common) if rng.random() < .7 else rng.choice(rare) for _ in range(80))) for i in range(200)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    token, flat = lm.train(df, S)
-    table = lm.rare_words(df, token, S)
-    n = {(r["word"], r["token"]): r["n"] for r in table.collect()}
-    shared = {w for w in rare + common if token[lm.buckets_of(w, S)][0] >= S.tokens - S.shared}
+    blocks = lm.cut(df, S)
+    counts = lm.word_counts(blocks)
+    vocab, flat = lm.train(blocks, counts, S)
+    n = {r["word"]: r["n"] for r in counts.collect() if r["word"] not in vocab.tolist()}
+
+    def hashed(w):
+        return int(np.uint64(lm.xxh64_intdigest(w.encode())).view(np.int64))
+    shared = {w for w in rare + common if hashed(w) in n}
     assert len(n) == len(shared) > 200
     prose, junk = " ".join(rng.sample(sorted(shared), 60)), " ".join(f"{rng.getrandbits(60):x}" for _ in range(60))
     rows = [(1, prose), (2, junk), (2, junk), (None, "c1 c2"), (3, None), (4, "")]
     asked = spark.createDataFrame(rows, "doc_id long, text string")
-    got, without = lm.score(asked, (token, flat), S, rare=table).collect(), lm.score(asked, (token, flat), S).collect()
+    cut = lm.cut(asked, S)
+    got, without = lm.score(cut, (vocab, flat), S, counts).collect(), lm.score(cut, (vocab, flat), S).collect()
     assert len(got) == len(rows)
     by, plain = {r["id"]: r for r in got}, {r["id"]: r for r in without}
     assert by[1]["score"] > by[2]["score"] + 0.5
     assert by[3]["score"] is None and by[4]["log_prob"] == 0
     want = plain[1]["log_prob"]
     for w in prose.split():
-        t = int(token[lm.buckets_of(w, S)][0])
-        seen = n[(int(np.uint64(lm.xxh64_intdigest(w.encode())).view(np.int64)), t)]
-        of = [c for (_, u), c in n.items() if u == t]
-        want += math.log((seen + .5) / (sum(of) + (len(of) + 1) / 2))
+        of = [c for u, c in n.items() if u % S.shared == hashed(w) % S.shared]
+        want += math.log((n[hashed(w)] + .5) / (sum(of) + (len(of) + 1) / 2))
     assert by[1]["log_prob"] == pytest.approx(want, abs=1e-2)
