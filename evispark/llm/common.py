@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,10 +86,27 @@ def word_blocks(data: bytes, size: int = 1) -> Iterator[list[bytes]]:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder.  Unlike a checkpoint, which keeps the size that its plan was estimated at, the
     table has its real size: in a loop over joins the estimates square with every step, until planning takes longer than all tasks."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    return _table(df, shared_folder(df.sparkSession))
+
+
+def _table(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Like ``written``, in a folder of the shared one that is removed at the end: what stays has to be written elsewhere before.
+
+    A table is read in as many tasks as its bytes need.  A checkpoint keeps the partitions of its last exchange, however little
+    they hold, and the next exchange writes files for each of them."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df: _table(df, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
@@ -120,7 +138,7 @@ def _star(edges: DataFrame, large: bool, cut: Callable[[DataFrame], DataFrame])
     seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         seen = seen.union(edges.select("b", "a"))
-    least = checkpointed(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = cut(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     sent = seen.where("v > u") if large else seen
     new = sent.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
