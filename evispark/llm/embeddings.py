@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpointed
 from .common import components, is_small
@@ -20,6 +19,9 @@ BAND = 12
 CONFIDENCE = 4.0
 BLOCK = 1024
 SMALL = 64
+#: Bits of a rotated value where it meets another vector's code: 16 levels between a vector's least and greatest value.
+LEVELS = 4
+PAIRS = 16384
 
 
 @dataclass(frozen=True)
@@ -69,70 +71,129 @@ def _valid(vector: Column) -> Column:
     return F.coalesce((low == 1) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _keys(settings: Settings):
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    out = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), np.uint8)
+    out[:, :packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def pack(turned: np.ndarray, signs: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is stored of each vector: the words of its signs and of its values in ``LEVELS`` bit planes (rows, 1 + LEVELS, words),
+    the least value and the step between two levels.  Values are rounded up or down by one fixed random threshold a
+    dimension, so that they are right on average and the same wherever the vector is encoded."""
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / ((1 << LEVELS) - 1), 1e-12)
+    edge = np.random.default_rng(settings.seed + 1).random(turned.shape[1])
+    level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + edge), 0, (1 << LEVELS) - 1).astype(np.uint8)
+    return np.stack([_words(signs > 0), *(_words(level >> j & 1) for j in range(LEVELS))], axis=1), low, step
+
+
+def band_keys(words: np.ndarray, settings: Settings, bits: int) -> np.ndarray:
+    """The meeting keys of sign words: the number of the band before its bits."""
+    bands = bits // settings.band
+    signs = np.unpackbits(words.view(np.uint8), axis=1)[:, :bands * settings.band]
+    return signs.reshape(len(words), bands, settings.band) @ (1 << np.arange(settings.band)) + (np.arange(bands) << settings.band)
+
+
+CODE = "keys array<bigint>, code binary, factor double, low double, step double"
+
+
+def _codes(settings: Settings):
+    """Rotates and encodes every vector, once."""
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         turns: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(settings.band)
         for batch in batches:
-            out = [None] * len(batch)
+            keys, code, values = [None] * len(batch), [None] * len(batch), np.zeros((3, len(batch)))
             sizes = batch.map(len).to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 turn = turns.setdefault(int(size), rotation(int(size), settings))
-                signs = unit(np.stack(batch.iloc[at].to_numpy())) @ turn >= 0
-                bands = signs.shape[1] // settings.band
-                key = signs[:, :bands * settings.band].reshape(len(at), bands, settings.band) @ weights
-                key = key + (np.arange(bands) << settings.band)
-                for i, k in zip(at, key):
-                    out[i] = k
-            yield pd.Series(out)
-    return F.pandas_udf(keys, T.ArrayType(T.LongType()))
-
-
-def _candidates(groups: np.ndarray, turned: np.ndarray, signs: np.ndarray, factor: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (``groups``: where they begin, and the end) whose cosine may reach the threshold by either code.
-
-    Small groups are paired row by row at equal distances, all groups at once; large ones are multiplied."""
-    n = turned.shape[1]
-    error, scale = errors(factor, n, settings), np.sqrt(n) * factor
-    turned, signs = turned.astype(np.float32), signs.astype(np.float32)
+                turned, signs, factor = encode(unit(np.stack(batch.iloc[at].to_numpy())), turn)
+                words, low, step = pack(turned, signs, settings)
+                values[:, at] = factor, low, step
+                for i, key, word in zip(at, band_keys(np.ascontiguousarray(words[:, 0]), settings, turned.shape[1]), words):
+                    keys[i], code[i] = key, word.tobytes()
+            yield pd.DataFrame({"keys": keys, "code": code, "factor": values[0], "low": values[1], "step": values[2]})
+    return F.pandas_udf(codes, CODE)
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Stored codes of some vectors of one length, ready to be compared."""
+    bits: int
+    words: np.ndarray
+    factor: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, settings: Settings) -> "Codes":
+        bits = max(settings.bits, int(frame["dims"].iloc[0]))
+        words = np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(len(frame), 1 + LEVELS, -1)
+        return cls(bits, words, *(frame[c].to_numpy(np.float64) for c in ("factor", "low", "step")))
+
+    def upper(self, x: np.ndarray, y: np.ndarray, settings: Settings) -> np.ndarray:
+        """Upper bounds of the cosines of x and y, from the signs of x and the levels of y: products are counted bits."""
+        weights = 1 << np.arange(LEVELS)
+        counts = lambda words: np.bitwise_count(words).sum(-1, dtype=np.int64)
+        own, levels = self.words[x, 0], self.words[y, 1:]
+        product = self.low[y] * (2 * counts(own) - self.bits) + self.step[y] * (2 * (counts(own[:, None] & levels) @ weights) - counts(levels) @ weights)
+        rounding = settings.confidence * self.step[y] / 2 / self.factor[x]
+        return product / (np.sqrt(self.bits) * self.factor[x]) + np.hypot(errors(self.factor[x], self.bits, settings), rounding)
+
+
+def _candidates(groups: np.ndarray, codes: Codes, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (``groups``: where they begin, and the end) whose cosine may reach the threshold by both codes.
+
+    Small groups are paired row by row at equal distances, all groups at once; large ones a few rows at a time."""
     begins, sizes = groups[:-1], np.diff(groups)
     group = np.repeat(np.arange(len(sizes)), sizes)
     small = np.flatnonzero(sizes[group] <= SMALL)
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def kept(a: np.ndarray, b: np.ndarray) -> None:
-        for begin in range(0, len(a), 16384):
-            x, y = a[begin:begin + 16384], b[begin:begin + 16384]
-            upper = np.minimum(np.einsum("ij,ij->i", signs[x], turned[y]) / scale[x] + error[x],
-                               np.einsum("ij,ij->i", signs[y], turned[x]) / scale[y] + error[y])
-            found.append((x[upper >= settings.threshold], y[upper >= settings.threshold]))
+        for begin in range(0, len(a), PAIRS):
+            x, y = a[begin:begin + PAIRS], b[begin:begin + PAIRS]
+            for one, other in ((0, 1), (1, 0)):
+                near = codes.upper((x, y)[one], (x, y)[other], settings) >= settings.threshold
+                x, y = x[near], y[near]
+            found.append((x, y))
     for apart in range(1, min(SMALL, int(sizes.max(initial=0)))):
         small = small[small + apart < len(group)]
         small = small[group[np.minimum(small + apart, len(group) - 1)] == group[small]]
         kept(small, small + apart)
     for g in np.flatnonzero(sizes > SMALL):
         rows = np.arange(begins[g], begins[g] + sizes[g])
-        upper = signs[rows] @ turned[rows].T / scale[rows][:, None] + error[rows][:, None]
-        x, y = np.nonzero(np.triu(np.minimum(upper, upper.T) >= settings.threshold, 1))
-        found.append((rows[x], rows[y]))
+        for begin in range(0, len(rows), 16):
+            x, y = np.nonzero(np.arange(begin, min(begin + 16, len(rows)))[:, None] < np.arange(len(rows)))
+            kept(rows[x + begin], rows[y])
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
 
 
-def _links(frame: pd.DataFrame, groups: np.ndarray, turn: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of whole groups -> pairs of rows that link, each at the first of its bands."""
-    units = unit(np.stack(frame["embedding"].to_numpy()))
-    a, b = _candidates(groups, *encode(units, turn), settings)
+def _near(frame: pd.DataFrame, groups: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole groups -> pairs of rows that the codes leave, each at the first of its bands."""
+    codes = Codes.of(frame, settings)
+    a, b = _candidates(groups, codes, settings)
     own, mixed = frame["own"].to_numpy(), (frame["bi"] != frame["bj"]).to_numpy()
     apart = ~mixed[a] | (own[a] != own[b])   # two blocks that meet: only pairs across them
     a, b = a[apart], b[apart]
-    keys, band = np.stack(frame["keys"].to_numpy()), frame["key"].to_numpy() >> settings.band
-    ahead = np.arange(keys.shape[1])
+    keys, band = band_keys(np.ascontiguousarray(codes.words[:, 0]), settings, codes.bits), frame["key"].to_numpy() >> settings.band
+    ahead, good = np.arange(keys.shape[1]), np.ones(len(a), bool)
+    for begin in range(0, len(a), PAIRS):
+        x, y = a[begin:begin + PAIRS], b[begin:begin + PAIRS]
+        good[begin:begin + PAIRS] = ~((keys[x] == keys[y]) & (ahead < band[x][:, None])).any(1)
+    return a[good], b[good]
+
+
+def _exact(frame: pd.DataFrame, a: np.ndarray, b: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at the threshold or above, in double precision."""
+    units = unit(np.stack(frame["embedding"].to_numpy()))
     good = np.ones(len(a), bool)
-    for begin in range(0, len(a), 16384):
-        x, y = a[begin:begin + 16384], b[begin:begin + 16384]
-        first = ~((keys[x] == keys[y]) & (ahead < band[x][:, None])).any(1)
-        good[begin:begin + 16384] = first & (np.einsum("ij,ij->i", units[x], units[y]) >= settings.threshold)
+    for begin in range(0, len(a), PAIRS):
+        x, y = a[begin:begin + PAIRS], b[begin:begin + PAIRS]
+        good[begin:begin + PAIRS] = np.einsum("ij,ij->i", units[x], units[y]) >= settings.threshold
     return a[good], b[good]
 
 
@@ -152,29 +213,39 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return moved, label[moved]
 
 
-def _blocks(settings: Settings):
-    """Rows sorted by (dims, key, bi, bj) -> what they add to each vector's partners, and edges of a spanning forest."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turns: dict[int, np.ndarray] = {}
+PLACE = ["dims", "key", "bi", "bj", "own", "id"]
+
 
+def _wanted(frame: pd.DataFrame, groups: np.ndarray, settings: Settings) -> Iterator[pd.DataFrame]:
+    """The rows that are in a pair that the codes leave: only their vectors are brought."""
+    a, b = _near(frame, groups, settings)
+    if len(a):
+        yield frame.iloc[np.unique(np.r_[a, b])][PLACE]
+
+
+def _linked(frame: pd.DataFrame, groups: np.ndarray, settings: Settings) -> Iterator[pd.DataFrame]:
+    """What links add to each vector's partners, and edges of a spanning forest."""
+    a, b = _exact(frame, *_near(frame, groups, settings), settings)
+    if not len(a):
+        return
+    ids, place = np.unique(frame["id"].to_numpy(), return_inverse=True)
+    sizes = frame["size"].to_numpy(np.float64)
+    partners = (np.bincount(place[a], sizes[b], len(ids)) + np.bincount(place[b], sizes[a], len(ids))).astype(np.int64)
+    seen = np.flatnonzero(partners)
+    node, least = _forest(place[a], place[b], len(ids))
+    yield pd.DataFrame({"id": np.r_[ids[seen], ids[node]], "partners": np.r_[partners[seen], np.zeros(len(node), np.int64)],
+                        "other": pd.array([None] * len(seen) + ids[least].tolist(), "Int64")})[["id", "other", "partners"]]
+
+
+def _blocks(work, settings: Settings):
+    """Rows sorted by (dims, key, bi, bj) -> what ``work`` makes of whole groups of vectors of one length."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(frame: pd.DataFrame, groups: np.ndarray) -> Iterator[pd.DataFrame]:
-            """Whole groups; vectors of one length at a time."""
             dims = frame["dims"].to_numpy()[groups[:-1]]
             for size in np.unique(dims):
                 at = np.flatnonzero(dims == size)   # they follow each other, as rows are sorted by it
                 begin, end = groups[at[0]], groups[at[-1] + 1]
-                part = frame.iloc[begin:end]
-                turn = turns.setdefault(int(size), rotation(int(size), settings))
-                a, b = _links(part, np.append(groups[at], end) - begin, turn, settings)
-                if not len(a):
-                    continue
-                ids, place = np.unique(part["id"].to_numpy(), return_inverse=True)
-                sizes = part["size"].to_numpy(np.float64)
-                partners = (np.bincount(place[a], sizes[b], len(ids)) + np.bincount(place[b], sizes[a], len(ids))).astype(np.int64)
-                seen = np.flatnonzero(partners)
-                node, least = _forest(place[a], place[b], len(ids))
-                yield pd.DataFrame({"id": np.r_[ids[seen], ids[node]], "partners": np.r_[partners[seen], np.zeros(len(node), np.int64)],
-                                    "other": pd.array([None] * len(seen) + ids[least].tolist(), "Int64")})[["id", "other", "partners"]]
+                yield from work(frame.iloc[begin:end], np.append(groups[at], end) - begin, settings)
 
         rest = None
         for batch in batches:
@@ -195,9 +266,10 @@ def find_near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_c
                          settings: Settings = Settings()) -> DataFrame:
     """One row per vector: ``id``, ``n_links`` (other vectors at the threshold or above), ``component`` (smallest id reachable).
 
-    Equal vectors are one node that counts as many.  Nodes meet on bands of their rotated sign codes; within a key,
-    code estimates and their bounds leave the pairs to compute exactly, in double precision, and only those at
-    the threshold link.  Keys are cut into blocks, and a task returns partner counts and edges of a spanning forest,
+    Equal vectors are one node that counts as many.  Every vector is rotated and encoded once.  Nodes meet on bands of their sign
+    codes; only stored codes travel to the bands, where estimates by counted bits and their bounds leave the pairs to
+    compute exactly.  The vectors of those alone are then brought, in double precision, and only pairs at
+    the threshold link.  Keys are cut into blocks, and a task returns rows, partner counts and edges of a spanning forest,
     never pairs.  A pair that meets at several bands counts at the first.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component; so
@@ -214,21 +286,25 @@ def find_near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_c
     nodes = rows.where("embedding is not null").groupBy("k1", "k2").agg(
         F.min("id").alias("id"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
     nodes = checkpointed(nodes.select("k1", "k2", F.monotonically_increasing_id().alias("node"), "id", "size", "embedding",
-                                      F.size("embedding").alias("dims"), _keys(settings)("embedding").alias("keys")))
+                                      F.size("embedding").alias("dims"), _codes(settings)("embedding").alias("c")))
 
-    keyed = nodes.select("node", "dims", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "dims", F.explode("c.keys").alias("key"))
     crowded = keyed.groupBy("dims", "key").agg(F.count("*").alias("count")).where(F.col("count") > settings.block).select(
         "dims", "key", F.ceil(F.col("count") / settings.block).cast("int").alias("blocks"))
     crowded = checkpointed(crowded)
-    meeting = nodes.select(F.col("node").alias("id"), "size", "dims", F.explode("keys").alias("key"), "keys", "embedding").join(
+    code = ["c.code", "c.factor", "c.low", "c.step"]
+    meeting = nodes.select(F.col("node").alias("id"), "dims", F.explode("c.keys").alias("key"), *code).join(
         F.broadcast(crowded) if is_small(crowded, 24) else crowded, ["dims", "key"], "left")
     own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
     meeting = meeting.select("*", own.alias("own")).select(
         "*", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("with"))
     meeting = meeting.select("dims", "key", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own",
-                             "id", "size", "keys", "embedding")
-    met = meeting.repartition("dims", "key", "bi", "bj").sortWithinPartitions("dims", "key", "bi", "bj").mapInPandas(
-        _blocks(settings), "id long, other long, partners long")
+                             "id", "code", "factor", "low", "step")
+    block = ["dims", "key", "bi", "bj"]
+    wanted = checkpointed(meeting.repartition(*block).sortWithinPartitions(*block).mapInPandas(
+        _blocks(_wanted, settings), "dims int, key long, bi int, bj int, own int, id long"))
+    brought = wanted.join(nodes.select(F.col("node").alias("id"), "size", "embedding", *code), "id")
+    met = brought.repartition(*block).sortWithinPartitions(*block).mapInPandas(_blocks(_linked, settings), "id long, other long, partners long")
     met = checkpointed(met.where("other is null or id <> other").groupBy("id", "other").agg(F.sum("partners").alias("partners")))
     degrees = checkpointed(met.where("other is null").select(F.col("id").alias("node"), "partners"))
     edges = met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))

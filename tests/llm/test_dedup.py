@@ -226,3 +226,26 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 2e-3
     bound = settings.confidence * np.sqrt((1 - factor ** 2) / factor ** 2 / (settings.bits - 1))
     assert (np.abs(estimate - units @ units.T) <= bound[:, None])[off].mean() > 0.999
+
+
+def test_stored_codes_leave_few_pairs():
+    """Bounds by counted bits hold, and few pairs far below the threshold are left to compute exactly."""
+    rng = np.random.default_rng(3)
+    settings = embeddings.Settings()
+    units = rng.standard_normal((500, 96))
+    units[250:] = units[:250] + rng.standard_normal((250, 96)) * 0.3
+    units = embeddings.unit(units)
+    turned, signs, factor = embeddings.encode(units, embeddings.rotation(96, settings))
+    words, low, step = embeddings.pack(turned, signs, settings)
+    codes = embeddings.Codes(256, words, factor, low, step)
+    x, y = map(np.ravel, np.meshgrid(np.arange(500), np.arange(500)))
+    exact = (units @ units.T)[x, y]
+    upper = codes.upper(x, y, settings)
+    assert (upper >= exact)[x != y].mean() > 0.999
+    bound = np.hypot(embeddings.errors(factor, 256, settings)[x], settings.confidence * step[y] / 2 / factor[x])
+    assert abs((upper - bound - exact)[x != y].mean()) < 2e-3
+    for groups in (np.array([0, 500]), np.arange(0, 501, 50)):
+        a, b = embeddings._candidates(groups, codes, settings)
+        got, within = set(zip(a.tolist(), b.tolist())), np.searchsorted(groups, np.arange(500), side="right")
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(units @ units.T >= 0.9, 1))) if within[i] == within[j]}
+        assert want <= got and len(got) <= len(want) + 25
