@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import search as S
 from ..operators import turns
+from ..plans.ingest import chunk_documents
 from ..session import checkpointed, shared_folder
 from ..sources import chunk_files
 from ..sources.collection import Collection, read_or_build
+from ..streaming.ingest import ingest_stream
 from . import query
 from .derived import table
 from .search_queries import ANN, vectors
@@ -49,6 +51,30 @@ def collection_upsert(spark, sf):
     return store.read().select("chunk_id", "text", "is_urgent")
 
 
+@query("ingest_stream_rows", "SELECT doc_id, true AS once, true AS embedded, true AS as_batch FROM documents")
+def ingest_stream_rows(spark, sf):
+    """Documents streamed into a collection, the first epoch replayed as after a lost commit; per document: every chunk is there
+    once and has a vector, and the chunks are those of the batch form (none for a text too short for one)."""
+    store, state = Collection(spark, _folder(spark, "streamed")), _folder(spark, "stream-state")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    source = _folder(spark, "stream-source")
+    docs.write.parquet(source)
+    for _ in range(2):
+        ingest_stream(spark.readStream.schema(docs.schema).parquet(source), store, state, dim=8).awaitTermination()
+        commit = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits/0")
+        commit.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commit, False)
+
+    def per_document(chunks, mark):
+        rows = chunks.select(F.split("chunk_id", "_")[1].cast("long").alias("doc_id"), "chunk_id", F.xxhash64("chunk_id", "text", "section").alias("h"), mark)
+        return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("ids"),
+                                          F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.min("vector").alias("embedded"))
+    streamed = per_document(store.read(), F.col("embedding").isNotNull().alias("vector"))
+    batch = per_document(chunk_documents(docs), F.lit(True).alias("vector")).select("doc_id", F.col("n").alias("m"), F.col("h").alias("g"))
+    return docs.select("doc_id").join(streamed, "doc_id", "left").join(batch, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("n") == F.col("ids"), F.lit(True)).alias("once"), F.coalesce("embedded", F.lit(True)).alias("embedded"),
+        (F.col("n").eqNullSafe(F.col("m")) & F.col("h").eqNullSafe(F.col("g"))).alias("as_batch"))
+
+
 def _steps(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "step string, added long, urgent long, recommendations long, held long")
 

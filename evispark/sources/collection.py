@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -44,51 +46,37 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
-CONTROL = ["c_generation", "c_writer", "c_batch", "c_seq"]
+CONTROL = ["c_writer", "c_batch"]
+ORDER = ["c_at", "c_row"]     # when the batch was first written, and the row's place in it
 
 
 class Collection:
-    """Every write is a batch of its own; reading keeps the newest row per id.
+    """Plain batches, partitioned by writer and batch number; reading keeps the newest row per id.
 
-    A batch belongs to a writer (appends, or one stream) and gets the next sequence number when it is first written.
-    Writing a writer's batch again overwrites only that batch and keeps its number, so a replay adds nothing, and
-    writers never touch each other's rows.  Within a batch, the later row of an id wins.  A forced ingest
-    is written as a new generation, which readers see in place of the old one once it is there.
+    An append is a writer of its own, a stream is one writer with its epochs as batches.  Writing a batch again overwrites only that
+    batch and keeps its time, so a replay adds nothing, and writers never touch each other's rows.  Within a batch, the
+    later row of an id wins; of batches with one time, the one of the greater writer name.  No state is kept but the rows.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str = "guidelines"):
         self.spark, self.path, self.name = spark, path, name
 
-    def _raw(self) -> DataFrame | None:
-        """The rows of the newest generation, with their control columns."""
-        raw = read_if_present(self.spark, self.path)
-        if raw is None or "c_generation" not in raw.columns:
-            return raw
-        newest = raw.agg(F.max("c_generation")).first()[0]   # answered from partition values
-        return raw.where(F.col("c_generation") == F.lit(-1 if newest is None else newest))
-
-    def append(self, chunks: DataFrame, batch: int | None = None, writer: str = "append") -> dict[str, int]:
-        """Write one batch; the counts are observed while it is written."""
-        return self._write(chunks, self._raw(), batch, writer, new=False)
-
-    def _write(self, chunks: DataFrame, raw: DataFrame | None, batch: int | None, writer: str, new: bool) -> dict[str, int]:
-        known = None if raw is None or "c_generation" not in raw.columns else raw
-        mine = F.col("c_writer") == writer
-        top = {"g": None, "seq": None, "batch": None} if known is None else known.agg(
-            F.max("c_generation").alias("g"), F.max("c_seq").alias("seq"), F.max(F.when(mine, F.col("c_batch"))).alias("batch")).first().asDict()
-        number = (-1 if top["batch"] is None else top["batch"]) + 1 if batch is None else batch
-        before = None if known is None or batch is None or new else known.where(mine & (F.col("c_batch") == batch)).select("c_seq").first()
-        seq = before[0] if before else (-1 if top["seq"] is None else top["seq"]) + 1
-        generation = (0 if top["g"] is None else top["g"]) + int(new)
+    def append(self, chunks: DataFrame, batch: int = 0, writer: str | None = None) -> dict[str, int]:
+        """Write one batch, of a new writer unless one is named; the counts are observed while it is written."""
+        before, at = None, time.time_ns()
+        if writer is not None:
+            raw = read_if_present(self.spark, self.path)
+            before = None if raw is None else raw.where((F.col("c_writer") == writer) & (F.col("c_batch") == batch)).select("c_at").first()
+        return self._write(chunks, before[0] if before else at, batch, writer or f"append-{uuid.uuid4().hex}", "dynamic")
 
+    def _write(self, chunks: DataFrame, at: int, batch: int, writer: str, overwrite: str) -> dict[str, int]:
         seen = Observation()
         flag = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int"))
         observed = chunks.observe(seen, F.count(F.lit(1)).alias("added"), flag("is_urgent").alias("urgent"),
                                   flag("has_recommendation").alias("recommendations"))
-        # Dynamic overwrite of this batch only, so a repeated write of the same batch adds nothing.
-        (observed.withColumns({"c_row": F.monotonically_increasing_id(), "c_generation": F.lit(generation), "c_writer": F.lit(writer),
-                               "c_batch": F.lit(number).cast("long"), "c_seq": F.lit(seq).cast("long")}).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*CONTROL).parquet(self.path))
+        (observed.withColumns({"c_row": F.monotonically_increasing_id(), "c_at": F.lit(at).cast("long"), "c_writer": F.lit(writer),
+                               "c_batch": F.lit(batch).cast("long")}).write.mode("overwrite")
+         .option("partitionOverwriteMode", overwrite).partitionBy(*CONTROL).parquet(self.path))
         return {k: v or 0 for k, v in seen.get.items()}
 
     def read(self) -> DataFrame | None:
@@ -96,34 +84,28 @@ class Collection:
 
         Only ids that are there more than once take part in a join, on narrow rows; conditions on the result reach the scan.
         """
-        raw = self._raw()
-        if raw is None or "c_row" not in raw.columns:
-            return raw if raw is None else raw.drop(*CONTROL)
-        place = F.struct("c_seq", "c_row")
+        raw = read_if_present(self.spark, self.path)
+        if raw is None:
+            return None
+        place = F.struct("c_at", "c_writer", "c_row")
         again = checkpointed(raw.groupBy("chunk_id").agg(F.max(place).alias("c_newest"), F.count(F.lit(1)).alias("c_n")).where(
             "c_n > 1").select(F.col("chunk_id").alias("c_id"), "c_newest"))
         if again.isEmpty():
-            return raw.drop("c_row", *CONTROL)
+            return raw.drop(*ORDER, *CONTROL)
         rows = raw.join(F.broadcast(again) if fits(again) else again, F.col("chunk_id") == F.col("c_id"), "left")
-        return rows.where(F.col("c_newest").isNull() | (place == F.col("c_newest"))).drop("c_row", "c_id", "c_newest", *CONTROL)
+        return rows.where(F.col("c_newest").isNull() | (place == F.col("c_newest"))).drop("c_id", "c_newest", *ORDER, *CONTROL)
 
     def count(self) -> int:
-        df = self._raw()
-        return 0 if df is None else df.agg(F.count_distinct("chunk_id")).first()[0]
+        raw = read_if_present(self.spark, self.path)
+        return 0 if raw is None else raw.agg(F.count_distinct("chunk_id")).first()[0]
 
     def ingest(self, chunks: DataFrame, force: bool = False) -> dict[str, int]:
-        """Write only into an empty collection, unless forced; forced, it is replaced by one write."""
-        raw = self._raw()
+        """Write only into an empty collection, unless forced; forced, it is overwritten (by rows that are not read from it)."""
+        raw = read_if_present(self.spark, self.path)
         full = raw is not None and not raw.isEmpty()
         if full and not force:
             return {"added": 0, "urgent": 0, "recommendations": 0}
-        return self._write(chunks, raw, None, "append", new=full)
-
-    def compact(self) -> None:
-        """Write the newest rows as a generation of their own, without the ones they replaced."""
-        current = self.read()
-        if current is not None:
-            self._write(current, self._raw(), None, "append", new=True)
+        return self._write(chunks, time.time_ns(), 0, f"append-{uuid.uuid4().hex}", "static")
 
     def clear(self) -> None:
         """Drop all rows, keep the table: one empty batch holds its schema."""
@@ -131,10 +113,8 @@ class Collection:
         if raw is None:
             return
         empty = self.spark.createDataFrame([], raw.drop(*CONTROL).schema)
-        empty.withColumns({"c_generation": F.lit(-1), "c_writer": F.lit("none"), "c_batch": F.lit(-1).cast("long"),
-                           "c_seq": F.lit(-1).cast("long")}).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").partitionBy(*CONTROL).parquet(self.path)
-        empty.write.mode("overwrite").parquet(self.path + "/c_generation=-1/c_writer=none/c_batch=-1/c_seq=-1")
+        self.reset()
+        empty.write.parquet(f"{self.path}/c_writer=none/c_batch=0")
 
     def reset(self) -> None:
         """Drop the table."""
