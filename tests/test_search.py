@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import one
@@ -120,3 +122,28 @@ def test_recall_report(spark):
     exact = S.top_k(qs, cs, 3)
     row = one(S.recall_against(exact, exact))
     assert row["exact_hits"] == row["found_hits"] == 120
+
+
+def test_a_block_is_scored_in_bounded_memory():
+    q, c = rng.standard_normal((600, 8)), np.repeat(rng.standard_normal((10, 8)), 4000, axis=0)
+    q, c = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, c))
+    tracemalloc.start()
+    found = [np.array(rows) for rows in S._score(q, c, np.arange(len(c))[::-1], 5, None)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    last = brute(q[:1], c[::-1], 5)[0]
+    assert [(len(c) - 1 - int(j), s) for i, j, s in zip(*found[0]) if i == 0] == last
+
+
+def test_queries_alike_are_searched_once(spark):
+    q, c, qs, cs = frames(spark)
+    copies = qs.where("query_id < 6").crossJoin(spark.range(50).withColumnRenamed("id", "copy")).withColumn("query_id", F.col("query_id") * 50 + F.col("copy"))
+    found = S.top_k(copies, cs, 4, max_query_values=6 * 8)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = brute(q, c, 4)
+    same(collected(found), {i * 50 + j: expected[i] for i in range(6) for j in range(50)})
+
+
+def test_a_query_travels_once_to_neighbouring_cells():
+    assert S._packs([3, 4, 5, 20, 1, 2], 10).tolist() == [0, 0, 1, 2, 3, 3]
