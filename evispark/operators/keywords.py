@@ -20,6 +20,8 @@ TERM = r"[\p{L}\p{N}]+"
 LEVELS, BLOCK_ROWS = 16, 1024
 #: Of sums of the same impacts in another order, the difference at most; bounds are loosened by it.
 SLACK = 1e-9
+#: A search that has to read more rows than this share of the postings, a row counted once per query, reads them all instead.
+DENSE = 0.5
 
 
 def terms(text: Column) -> Column:
@@ -49,17 +51,18 @@ class KeywordIndex:
 def build_index(chunks: DataFrame, text: str = "text", k1: float = 1.2, b: float = 0.75, block_rows: int = BLOCK_ROWS) -> KeywordIndex:
     """Postings of ``chunk_id`` and a text.  Impact: ``idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length))`` with
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``.  Chunks without terms count for N and the mean length."""
-    words = checkpointed(chunks.select("chunk_id", terms(F.col(text)).alias("w")).select("chunk_id", "w", F.size("w").alias("length")))
+    words = chunks.select("chunk_id", terms(F.col(text)).alias("w")).select("chunk_id", "w", F.size("w").alias("length"))
     n, mean = words.agg(F.count(F.lit(1)), F.avg("length")).first()
     counted = words.select("chunk_id", "length", F.explode("w").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    counted = checkpointed(counted)
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0) or 1.0)))
-    weighed = checkpointed(join_checked(counted, checkpointed(df), "term").select("term", "chunk_id", (idf * tf).alias("impact")))
-    tops = checkpointed(weighed.groupBy("term").agg(F.max("impact").alias("best")))
+    # The postings are written twice, here and as the index; what is known of a term is narrow.
+    counted = checkpointed(counted.select("term", "chunk_id", tf.alias("weight")))
+    stats = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = checkpointed(stats.select("term", idf.alias("idf"), (idf * F.col("most")).alias("best")))
+    weighed = join_checked(counted, stats, "term").withColumn("impact", F.col("idf") * F.col("weight"))
     level = F.least(F.floor((1 - F.col("impact") / F.col("best")) * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    levelled = checkpointed(join_checked(weighed, tops, "term").select("term", level.alias("level"), "chunk_id", "impact"))
+    levelled = weighed.select("term", level.alias("level"), "chunk_id", "impact")
     blocks = checkpointed(levelled.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("top")).withColumn(
         "blocks", F.ceil(F.col("n") / block_rows).cast("int")))
     dealt = join_checked(levelled, blocks.select("term", "level", "blocks"), ["term", "level"])
@@ -92,6 +95,13 @@ def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = 5) -> DataF
         "bound": F.coalesce("bound", F.lit(0.0)), "reach": F.sum("best").over(weakest), "rest": F.sum("best").over(whole) - F.col("best")})
     read = checkpointed(judged.where(F.col("reach") >= F.col("bound")).join(levels, "term").where(F.col("top") + F.col("rest") >= F.col("bound")).select(
         "query_id", "term", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    size = F.sum(F.col("n") / F.col("blocks"))
+    wide = read.join(index.blocks, ["term", "level"]).agg(size).first()[0] or 0
+    if wide > DENSE * (index.blocks.agg(F.sum("n")).first()[0] or 0):
+        # Long questions leave little to skip: each chunk's postings stay together and meet the terms of all queries there.
+        met = index.postings.select("chunk_id", "term", "impact").repartition("chunk_id")
+        scored = join_checked(met, asked.select("query_id", "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("impact"), 6).alias("score"))
+        return rank_hits(scored, k).select("query_id", "rank", "chunk_id", "score")
     found = index.postings.join(read, ["term", "level", "block"]).select("query_id", "chunk_id").distinct()
     wanted = found.join(asked.select("query_id", "term"), "query_id")
     scored = index.postings.join(wanted, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("impact"), 6).alias("score"))

@@ -92,3 +92,12 @@ def test_pages_by_dyadic_nodes(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and got.columns == ["chunk_id", "page_start", "page_end", "page", "score"]
     cut = chunks.select("chunk_id", F.size(lookups._range_nodes(F.col("page_start"), F.col("page_end"))).alias("n"))
     assert cut.agg({"n": "max"}).first()[0] < 50
+
+
+def test_long_questions_meet_the_postings_chunk_by_chunk(spark):
+    rows = [(i, "common " * (i % 5 + 1) + f"word{i % 7} rare{i}") for i in range(60)]
+    index = keywords.build_index(spark.createDataFrame(rows, "chunk_id long, text string"))
+    asked = spark.createDataFrame([(q, "common " + " ".join(f"word{j}" for j in range(7))) for q in range(5)], "query_id long, query string")
+    found = keywords.keyword_search(asked, index, 3)
+    assert "LeftSemi" not in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY_COL" in plan
+    assert found.count() == 15
