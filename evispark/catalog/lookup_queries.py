@@ -207,11 +207,10 @@ CONDITIONS = {
     f"SELECT '{name}' AS condition, chunk_id FROM flat WHERE {sql}" for name, (_, sql) in CONDITIONS.items()))
 def clinical_conditions(spark, sf):
     """Each condition of the combined filter on its own, and several at once."""
-    flat, out = flat_notes(spark, sf), None
-    for name, (wanted, _) in CONDITIONS.items():
-        rows = flat.where(compile_filter(clinical_filter(**wanted), flat.columns)).select(F.lit(name).alias("condition"), "chunk_id")
-        out = rows if out is None else out.union(rows)
-    return out
+    flat = flat_notes(spark, sf)
+    met = F.array_compact(F.array(*[F.when(compile_filter(clinical_filter(**wanted), flat.columns), F.lit(name)) for name, (wanted, _) in CONDITIONS.items()]))
+    # The outer form keeps the optimizer from pushing "array not empty" below the tags, which would tag the texts again inside a filter.
+    return flat.select("chunk_id", met.alias("met")).select(F.explode_outer("met").alias("condition"), "chunk_id").where(F.col("condition").isNotNull())
 
 
 @query("evaluation_fields", f"WITH {FLAT_SQL} SELECT chunk_id, cancer_types, symptoms, urgency, section FROM flat")

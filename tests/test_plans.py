@@ -95,3 +95,9 @@ def test_runs_are_graded_without_pairs(spark):
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "chunk_id")
     want = best.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_id", "rank", "chunk_id")
     assert sorted(map(str, E.best_chunks(queries, chunks, 4).collect())) == sorted(map(str, want.collect()))
+
+
+def test_clinical_conditions_tag_the_texts_once(spark):
+    from evispark.catalog.lookup_queries import clinical_conditions
+    plan = clinical_conditions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
