@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,7 +94,7 @@ def golay_keys(prints: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tup
 
 
 @F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
 
@@ -111,16 +111,37 @@ def _differ(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def paired(prints: DataFrame, hot: int = HOT, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame, DataFrame | None]:
+    """Links ``a``, ``b`` of the fingerprints ``fp`` that meet on Golay keys of at most ``hot`` askers, and the fingerprints at the
+    other keys (None: there are no such keys)."""
+    keyed = cut(prints.select("fp", _keys("fp").alias("k")).select("fp", "k.asking", "k.answering"))
+    asking = keyed.select("fp", F.explode("asking").alias("key"))
+    answering = keyed.select(F.col("fp").alias("other"), F.explode("answering").alias("key"))
+    heavy, members = cut(asking.groupBy("key").count().where(F.col("count") > hot).select("key")), None
+    if not heavy.isEmpty():
+        side = F.broadcast(heavy) if is_small(heavy, 16) else heavy
+        members = cut(asking.join(side, "key", "left_semi").select("fp").union(answering.join(side, "key", "left_semi").select("other")).distinct())
+        asking, answering = asking.join(side, "key", "left_anti"), answering.join(side, "key", "left_anti")
+    links = asking.join(answering, (asking["key"] == answering["key"]) & (F.col("fp") != F.col("other"))
+                        & (_differ("fp", "other") <= DIFFERENCES)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return links, members
+
+
+def around(prints: DataFrame) -> DataFrame:
+    """Every ``fp`` with all words within 2 bits of it; ``close``: within 1.  Two within 3 bits meet at a word within 1 of one and 2 of the other."""
+    bits = [0, *(1 << i for i in range(64))]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in sorted({a ^ b for a in bits for b in bits}, key=lambda m: (m.bit_count(), m))]
+    at = prints.select("*", F.posexplode(F.expr(f"array({', '.join(f'{m}L' if m != -(1 << 63) else 'bigint(-9223372036854775808)' for m in masks)})")).alias("i", "mask"))
+    return at.withColumns({"word": F.col("fp").bitwiseXOR(F.col("mask")), "close": F.col("i") < 65}).drop("i", "mask")
+
+
 def hot_links(prints: DataFrame) -> DataFrame:
     """Edges that connect all of ``fp`` within 3 bits, without comparing pairs: linear in the fingerprints.
 
     Every fingerprint goes to all words within 2 bits of it.  Two within 3 bits meet at a word within 1 of one and 2 of
     the other; and whatever is within 2 of a word is within 3 of each fingerprint within 1 of it.
     """
-    bits = [0, *(1 << i for i in range(64))]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in sorted({a ^ b for a in bits for b in bits}, key=lambda m: (m.bit_count(), m))]
-    at = prints.select("fp", F.posexplode(F.expr(f"array({', '.join(f'{m}L' if m != -(1 << 63) else 'bigint(-9223372036854775808)' for m in masks)})")).alias("i", "mask"))
-    at = at.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), (F.col("i") < 65).alias("close"))
+    at = around(prints.select("fp"))
     centre = at.where("close").groupBy("word").agg(F.min("fp").alias("centre"))
     return at.join(checkpointed(centre), "word").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
@@ -136,20 +157,11 @@ def find_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     labelled but never the label, and a component of such rows alone has a null one; repeated rows are
     members like others; an empty table gives an empty one.  Other columns are not read.
     """
-    docs = checkpointed(docs.select(F.col(id_column).alias("id"), _fingerprints(F.col(text_column)).alias("fp")))
+    docs = checkpointed(docs.select(F.col(id_column).alias("id"), fingerprints(F.col(text_column)).alias("fp")))
     prints = checkpointed(docs.groupBy("fp").agg(F.min("id").alias("least")))
-    keyed = checkpointed(prints.select("fp", _keys("fp").alias("k")).select("fp", "k.asking", "k.answering"))
-    asking = keyed.select("fp", F.explode("asking").alias("key"))
-    answering = keyed.select(F.col("fp").alias("other"), F.explode("answering").alias("key"))
-    heavy = checkpointed(asking.groupBy("key").count().where(F.col("count") > hot).select("key"))
-    crowded = not heavy.isEmpty()
-    if crowded:
-        side = F.broadcast(heavy) if is_small(heavy, 16) else heavy
-        members = asking.join(side, "key", "left_semi").select("fp").union(answering.join(side, "key", "left_semi").select("other"))
-        extra = hot_links(checkpointed(members.distinct()))
-        asking, answering = asking.join(side, "key", "left_anti"), answering.join(side, "key", "left_anti")
-    links = asking.join(answering, (asking["key"] == answering["key"]) & (F.col("fp") != F.col("other"))
-                        & (_differ("fp", "other") <= DIFFERENCES)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    links, members = paired(prints, hot)
+    crowded = members is not None
+    extra = hot_links(members) if crowded else None
     labels = components(links.union(extra) if crowded else links)
     labelled = checkpointed(prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")))
