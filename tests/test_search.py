@@ -147,3 +147,16 @@ def test_queries_alike_are_searched_once(spark):
 
 def test_a_query_travels_once_to_neighbouring_cells():
     assert S._packs([3, 4, 5, 20, 1, 2], 10).tolist() == [0, 0, 1, 2, 3, 3]
+
+
+def test_a_routed_block_is_scored_in_bounded_memory():
+    q, c = (rng.standard_normal((n, 8)) for n in (2000, 20_000))
+    mask = np.stack([np.arange(len(c)) % 2 == 0, np.ones(len(c), bool)]), np.arange(len(q)) % 2
+    tracemalloc.start()
+    found = [np.array(rows) for rows in S._score(q, c, np.arange(len(c)), 18, None, mask)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    for i in (0, 1):
+        best = np.sort(np.round((c @ q[i])[mask[0][i]], S.DIGITS))[::-1][:18]
+        assert [s for j, _, s in found[0].T if j == i] == best.tolist()
