@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.tagging import token_floor
 from ..functions.vectors import text_vector
-from ..session import checkpointed
+from ..session import checkpointed, small_batches
 
 # texts, mode ("document" or "query") -> one vector per text
 Provider = Callable[[list[str], str], list[list[float]]]
@@ -34,11 +34,12 @@ def attach(df: DataFrame, text: str = "embedding_text", provider: Provider | Non
     """Add ``embedding`` and ``embedding_error``.
 
     Without a provider the deterministic text vector is used (no Python).  With one,
-    it is called per token-limited batch of an Arrow batch; a failed batch keeps its
-    rows, with the error instead of a vector.
+    it is called per token-limited batch of an Arrow batch of a few megabytes; a failed
+    batch keeps its rows, with the error instead of a vector.
     """
     if provider is None:
         return df.withColumns({"embedding": text_vector(F.col(text), dim), "embedding_error": F.lit(None).cast("string")})
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())),
                            T.StructField("embedding_error", T.StringType())])
 

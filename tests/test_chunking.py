@@ -147,3 +147,16 @@ def test_long_texts_take_linear_time(spark):
     pages = plain.select(S.split_by_length(F.col("text")).alias("p")).select(F.inline("p")).collect()
     assert " ".join(p.markdown for p in pages).split() == ["word"] * (n * 20) or sum(len(p.markdown.replace(" ", "")) for p in pages) == n * 80
     assert time.time() - begun < 60
+
+
+def test_provider_holds_few_megabytes(spark):
+    """Texts go to the provider's task by bytes: 60 MB in one partition are never in one batch."""
+    import sys
+
+    def provider(texts, mode):
+        held = sys._getframe(1).f_locals["texts"]   # of the batch that is worked on
+        return [[float(sum(map(len, held)))] for _ in texts]
+
+    df = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+    row = embedding.attach(df, "text", provider).agg(F.count("*"), F.max(F.get("embedding", F.lit(0))), F.count("embedding_error")).first()
+    assert row[0] == 3000 and row[1] < 16 << 20 and row[2] == 0
