@@ -66,10 +66,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     tokens = docs.select(*key, words(F.col("text")).alias("w"))
     each = F.array(*(F.coalesce(_shingles("w", s), F.expr("cast(array() as array<bigint>)")) for s in sizes)) if sizes else \
         F.expr("cast(array() as array<array<bigint>>)")
+    # one row more for each document, without a shingle, keeps its number of words: texts are cut into words once
+    each = F.concat(each, F.array(F.array(F.lit(None).cast("long"))))
+    known = vocabulary.withColumn("known", F.lit(True))
     seen = tokens.select(*key, F.size("w").alias("n_words"), F.explode(each).alias("hashes")).select(
         *key, "n_words", F.posexplode("hashes").alias("pos", "shingle"))
-    seen = seen.join(F.broadcast(vocabulary) if is_small(vocabulary, 16) else vocabulary, "shingle")
+    seen = seen.join(F.broadcast(known) if is_small(vocabulary, 16) else known, "shingle", "left").where("known or shingle is null").drop("known")
     seen = checkpointed(seen)
+    counted, seen = seen.where("shingle is null").select(*key, "n_words"), seen.where("shingle is not null")
 
     counts = seen.groupBy("shingle").agg(F.count("*").alias("count"))
     prefix = in_window.join(counts, "shingle", "left").groupBy("win").agg(
@@ -102,8 +106,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_
         *(F.col(k).alias(f"c_{k}") for k in key), "hit_positions", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
     hits = checkpointed(hits)
 
-    plain = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"   # the same words, before A-Z are lower-cased
-    counted = docs.select(*key, F.coalesce(F.regexp_count("text", F.lit(plain)), F.lit(0)).alias("n_words"))
     return counted.join(hits, same(met), "left").select(
         *key, "n_words", F.coalesce(F.size("hit_positions"), F.lit(0)).alias("n_hit"),
         F.coalesce("hit_positions", F.expr("cast(array() as array<int>)")).alias("hit_positions"),

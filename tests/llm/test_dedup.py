@@ -141,6 +141,17 @@ def test_contamination(spark):
     assert decontaminate.find_contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_texts_are_cut_into_words_once(spark):
+    """The number of words comes from the rows of the shingles, for every row of a document and also where nothing is met."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, "x"), (None, "b c")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "b C")], "item_id string, text string")
+    found = decontaminate.find_contamination(docs, items)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"] or 0, r["n_words"], r["n_hit"]) for r in found.collect()) == [(0, 2, 2), (1, 3, 2), (1, 3, 2), (2, 0, 0), (3, 1, 0)]
+    none = decontaminate.find_contamination(docs, items.limit(0))
+    assert sorted((r["id"] or 0, r["n_words"], r["n_hit"]) for r in none.collect()) == [(0, 2, 0), (1, 3, 0), (1, 3, 0), (2, 0, 0), (3, 1, 0)]
+
+
 def test_contamination_of_shuffled_sides(spark, monkeypatch):
     """The plan without broadcasts gives the same rows."""
     docs = spark.createDataFrame([(i, f"w{i % 3} " + " ".join(f"b{j}" for j in range(i % 20))) for i in range(60)], "doc_id long, text string")
