@@ -39,3 +39,16 @@ def test_junk_is_less_likely_than_rare_words(spark):
         of = [c for u, c in n.items() if u % S.shared == hashed(w) % S.shared]
         want += math.log((n[hashed(w)] + .5) / (sum(of) + (len(of) + 1) / 2))
     assert by[1]["log_prob"] == pytest.approx(want, abs=1e-2)
+
+
+def test_rows_are_reduced_by_columns():
+    """The same highest values, logarithms and shares as row by row."""
+    x = np.random.default_rng(1).standard_normal((200, 32)).astype(np.float32) * 9
+    at, rows = np.random.default_rng(2).integers(0, 32, 200), np.arange(200)
+    assert np.array_equal(lm._highest(x), x.max(1, keepdims=True))
+    e = np.exp(x.astype(np.float64))
+    assert np.allclose(lm._softmax(x.copy()), e / e.sum(1, keepdims=True), atol=1e-6)
+    assert np.allclose(lm._log_of(x.copy(), at), np.log(e[rows, at] / e.sum(1)), atol=1e-5)
+    assert [lm.numbered()[w] for w in "ab"] == [0, 0]
+    seen = lm.numbered()
+    assert [seen[w] for w in "abac"] == [0, 1, 0, 2] and list(seen) == list("abc")
