@@ -39,7 +39,12 @@ def guarded_match(col: Column, regexes: Sequence[str], flags: str = "") -> Colum
 
 
 def lexicon_tags(low: str, terms: Sequence[str], word_boundary: bool = False) -> Column:
-    """Normalised terms found in a lower-cased text column, in lexicon order, distinct.
+    """Normalised terms found in a lower-cased text column, in lexicon order, distinct."""
+    return F.array_distinct(found_terms(low, terms, word_boundary))
+
+
+def found_terms(low: str, terms: Sequence[str], word_boundary: bool = False) -> Column:
+    """The same with an entry for every term that is found, also where two have one normal form.
 
     ``low`` is a column name: the whole list is one parsed expression, not a call per term.
     """
@@ -55,7 +60,7 @@ def lexicon_tags(low: str, terms: Sequence[str], word_boundary: bool = False) ->
         return f"contains(`{low}`, {sql_text(word)}) and {hit}" if word != term and shared[word] > 2 else hit
 
     cases = ", ".join(f"case when {found(t)} then {sql_text(normalise_term(t))} end" for t in terms)
-    return F.expr(f"array_distinct(array_compact(array({cases})))")
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def age_thresholds(text: Column) -> Column:
@@ -114,8 +119,15 @@ def content_type(text: Column, low: str) -> Column:
 def density(text: Column, low: str, terms: Sequence[str] | None = None) -> Column:
     """Distinct lexicon terms per 100 characters, at most 1."""
     terms = terms or [*fixed.CANCER_TYPES, *fixed.SYMPTOMS, *fixed.INVESTIGATIONS]
-    # Unconditional, so the term tests are shared with the tag columns of the same projection.
-    count = F.expr(" + ".join(f"cast(contains(`{low}`, {sql_text(t)}) as int)" for t in terms))
+    return _per_hundred(F.expr(" + ".join(f"cast(contains(`{low}`, {sql_text(t)}) as int)" for t in terms)), text)
+
+
+def density_of(text: Column, found: Sequence[str]) -> Column:
+    """The same from columns of ``found_terms``, which have looked the terms up already."""
+    return _per_hundred(F.when(text.isNotNull(), sum((F.size(c) for c in found), F.lit(0))), text)
+
+
+def _per_hundred(count: Column, text: Column) -> Column:
     return F.least(F.lit(1.0), count / (F.greatest(F.length(text), F.lit(1)) / F.lit(100.0)))
 
 

@@ -199,18 +199,20 @@ def _relay(parts: DataFrame, doc: str, size: ChunkSize, key: Column | None) -> D
 def enrich(chunks: DataFrame, lexicons: dict | None = None, chars_per_token: float = 4.0,
            run_ts: str | None = None, source: str = fixed.GUIDELINE, strict: bool = True) -> DataFrame:
     """All derived chunk columns: sizes, content type, density, tags, flags."""
-    lex = lexicons or {}
-    density_terms = [*lex.get("cancer_types", fixed.CANCER_TYPES), *lex.get("symptoms", fixed.SYMPTOMS),
-                     *lex.get("investigations", fixed.INVESTIGATIONS)]
+    lex = {"cancer_types": fixed.CANCER_TYPES, "symptoms": fixed.SYMPTOMS, "investigations": fixed.INVESTIGATIONS, **(lexicons or {})}
     text, low = F.col("text"), "text_lower"
-    out = chunks.withColumn("text_lower", F.lower("text")).withColumns({
+    # Looked up once, for the tags and for the density.
+    found = {k: f"_found_{k}" for k in ("cancer_types", "symptoms", "investigations")}
+    looked_up = chunks.withColumn(low, F.lower("text")).withColumns({c: tagging.found_terms(low, lex[k]) for k, c in found.items()})
+    out = looked_up.withColumns({
         "section_hierarchy": C.section_hierarchy(F.col("section")),
         "content_type": tagging.content_type(text, low),
         "token_count": tagging.token_estimate(text, chars_per_token),
         "char_count": F.length("text"),
-        "semantic_density": tagging.density(text, low, density_terms),
+        "semantic_density": tagging.density_of(text, list(found.values())),
         "created_at": F.lit(run_ts), "source": F.lit(source),
-        **tagging.tag_fields("text", lex, strict=strict)}).drop("text_lower")
+        **tagging.tag_fields("text", lex, strict=strict),
+        **{k: F.array_distinct(c) for k, c in found.items()}}).drop(low, *found.values())
     return tagging.flags(out)
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import one
 from pyspark.sql import functions as F
@@ -76,3 +78,16 @@ def test_flags_and_flat_form(spark):
 def test_guard_never_hides_a_match(spark, regex, text):
     df = spark.createDataFrame([(text,), ("nothing",)], "t string")
     assert [r[0] for r in df.select(T.guarded_match(F.col("t"), [regex])).collect()] == [True, False]
+
+
+def test_terms_are_looked_up_once(spark):
+    """For the tags and for the density, which counts every term, also where two have one tag; a null text keeps its density."""
+    lexicons = {"cancer_types": ["zebra"], "symptoms": ["sore-toe", "sore toe"], "investigations": ["scan"]}
+    df = spark.createDataFrame([("a sore-toe, a Sore toe " + "x" * 377, ""), (None, "")], "text string, section string")
+    tagged_rows = chunking.enrich(df, lexicons)
+    text = tagged_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Contains(text_lower") and len(re.findall(r"Contains\(text_lower#\d+, zebra\)", text)) == 1
+    first, none = tagged_rows.collect()
+    assert first["symptoms"] == ["sore_toe"] and first["semantic_density"] == 0.5
+    plain = [r[0] for r in df.withColumn("low", F.lower("text")).select(T.density(F.col("text"), "low", ["zebra", "sore-toe", "sore toe", "scan"])).collect()]
+    assert [first["semantic_density"], none["semantic_density"]] == plain and none["symptoms"] == []
