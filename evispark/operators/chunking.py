@@ -279,9 +279,11 @@ def chain_report(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
 def overlap_check(chunks: DataFrame, doc: str = "doc_id", window: int = 400, shared: int = 5) -> DataFrame:
     """Words shared by the end of a chunk and the start of the next (joined on index)."""
     from ..functions.text import words
-    ends = chunks.select(doc, "chunk_index", "chunk_id", F.right("text", F.lit(window)).alias("_end"))
-    starts = chunks.select(doc, (F.col("chunk_index") - 1).alias("chunk_index"),
-                           F.left("text", F.lit(window)).alias("_start"))
+    # Written once: both sides of the join would chunk the texts again.
+    edges = checkpointed(chunks.select(doc, "chunk_index", "chunk_id", F.right("text", F.lit(window)).alias("_end"),
+                                       F.left("text", F.lit(window)).alias("_start")))
+    ends = edges.drop("_start")
+    starts = edges.select(doc, (F.col("chunk_index") - 1).alias("chunk_index"), "_start")
     common = F.size(F.array_intersect(words(F.lower("_end")), words(F.lower("_start"))))
     return (ends.join(starts, [doc, "chunk_index"])
             .select(doc, "chunk_index", "chunk_id", common.alias("shared_words"),

@@ -101,3 +101,10 @@ def test_clinical_conditions_tag_the_texts_once(spark):
     from evispark.catalog.lookup_queries import clinical_conditions
     plan = clinical_conditions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
+def test_overlap_check_chunks_texts_once(spark):
+    """The plan of its result begins at written chunks: no document is read and packed for either side of the join."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = plan(chunking.overlap_check(chunking.chunk_texts(docs)))
+    assert "FileScan" not in text and "Generate" not in text
