@@ -1,6 +1,7 @@
 """BM25 search against a plain one, its blocks, and rank fusion; page lookups by dyadic nodes."""
 
 import math
+import os
 import random
 import re
 
@@ -101,3 +102,25 @@ def test_long_questions_meet_the_postings_chunk_by_chunk(spark):
     found = keywords.keyword_search(asked, index, 3)
     assert "LeftSemi" not in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY_COL" in plan
     assert found.count() == 15
+
+
+def test_index_and_long_questions_take_little_disk(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"c{i}", " ".join(f"w{int(rng.paretovariate(.6))}" for _ in range(80))) for i in range(3000)]
+    queries = [(q, " ".join(f"w{j}" for j in range(1, 30))) for q in range(5)] + [(5, "w1"), (5, "w2 w1"), (6, "w3")]     # one id twice
+    chunks = spark.createDataFrame(rows + [(None, "w1 w2 w2"), (None, "w1 w5 w6"), ("c0", rows[0][1]), ("c1", "w1 w1")], "chunk_id string, text string")
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+
+    def used():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(spark.conf.get("spark.checkpoint.dir")) for f in names)
+    before = used()
+    index = keywords.build_index(chunks)
+    assert used() - before < 20 * index.postings.count()
+    monkeypatch.setattr(keywords, "TILE", 50)
+    whole = keywords.keyword_search(asked, index, 7)
+    assert "MapInArrow" in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(keywords, "fits", lambda *_: False)
+    joined = keywords.keyword_search(asked, index, 7)
+    assert "MapInArrow" not in joined._jdf.queryExecution().toString()
+    got, want = (sorted(map(tuple, x.collect()), key=str) for x in (whole, joined))
+    assert len(got) == 49 and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
