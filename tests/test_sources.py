@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -79,6 +80,21 @@ def test_file_audit(spark, tmp_path):
     assert rows["good.pdf"].checksum_warning
 
 
+def test_file_audit_of_files_too_large_for_a_value(spark, tmp_path, monkeypatch):
+    (tmp_path / "good.pdf").write_bytes(b"%PDF-" + b"x" * 2000)
+    (tmp_path / "large.pdf").write_bytes(b"%PDF-" + bytes(range(256)) * 40)
+    (tmp_path / "wrong.pdf").write_bytes(b"%PD" + b"x" * 9000)
+    monkeypatch.setattr(page_files, "WHOLE", 4000, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5000)      # as files of 2 GiB are an error of the source
+    try:
+        rows = {r.path.split("/")[-1]: r for r in page_files.audit_files(spark, str(tmp_path), expected_sha256="0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {n: (r.length, r.sha256) for n, r in rows.items()} == {
+        p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.glob("*.pdf")}
+    assert [rows[n].valid for n in ("good.pdf", "large.pdf", "wrong.pdf")] == [True, True, False] and rows["large.pdf"].checksum_warning
+
+
 def test_patients(spark, tmp_path):
     p = [{"patient_id": "PT-1", "name": "Ann", "age": 3, "symptoms": ["a" * 60, "b" * 60]}, {"id": "x2", "age": 5}]
     (tmp_path / "list.json").write_text(json.dumps(p))
